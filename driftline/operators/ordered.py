@@ -6,6 +6,9 @@ right plan and is used as is. Otherwise the large keys are cut at quantiles of t
 column into ``pieces`` segments; windows run per (key, segment), one summary row per segment is
 carried across segments, and the small summary is joined back on the (key, segment) partitioning
 the window has already produced. Cut points are checkpointed, so a retried task sees the same ones.
+
+Counting reads the input once more. Callers therefore pass either a scan, of which the count needs
+the key column only, or an aggregate they have checkpointed.
 """
 
 from __future__ import annotations
@@ -180,7 +183,7 @@ def exact_quantiles(
     """
     df, keys, dummy = _keyed(df.filter(F.col(value).isNotNull()), keys)
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_sum(counts, keys, value, ["_n"], split=split)
+    ranked = running_sum(checkpointed(counts), keys, value, ["_n"], split=split)
     first, last = F.col("_n_before"), F.col("_n_before") + F.col("_n") - 1
     aggs = []
     for name, q in quantiles.items():

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.catalog import FAMILIES, OTHER
-from driftline.operators.ordered import Split, running_sum
+from driftline.operators.ordered import Split, checkpointed, running_sum
 
 ALL_FAMILIES = (*FAMILIES, OTHER)
 PRIMARY_METRICS = (
@@ -37,7 +37,7 @@ def auc(
         F.sum(F.when(F.col("y") == 1, w).otherwise(zero)).alias("pos"),
         F.sum(F.when(F.col("y") == 0, w).otherwise(zero)).alias("neg"),
     )
-    ranked = running_sum(counts, list(keys), "score", ["neg"], split=split)
+    ranked = running_sum(checkpointed(counts), list(keys), "score", ["neg"], split=split)
     pos, neg, before = F.col("pos"), F.col("neg"), F.col("neg_before")
     if not weight:
         pos, neg, before = pos.cast(COUNT), neg.cast(COUNT), before.cast(COUNT)
@@ -63,7 +63,8 @@ def concordance(
         aggs.append(F.sum(((family == f) & (y == 1)).cast("bigint")).alias(f"pos_{f}"))
         aggs.append(F.sum(((family == f) & (y == 0)).cast("bigint")).alias(f"neg_{f}"))
     counts = scored.groupBy(*keys, "score").agg(*aggs)
-    ranked = running_sum(counts, list(keys), "score", [f"neg_{f}" for f in families], split=split)
+    negatives = [f"neg_{f}" for f in families]
+    ranked = running_sum(checkpointed(counts), list(keys), "score", negatives, split=split)
 
     def twice(f: str, g: str) -> Column:
         below = (F.col(f"neg_{g}_before") * 2 + F.col(f"neg_{g}")).cast(COUNT)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.scalar import next_double
-from driftline.operators.ordered import Split, running_sum, small_side
+from driftline.operators.ordered import Split, checkpointed, running_sum, small_side
 
 NO_NEGATIVES_THRESHOLD = 0.5
 
@@ -16,7 +16,7 @@ NO_NEGATIVES_THRESHOLD = 0.5
 def _negative_suffix(scored: DataFrame, keys: Sequence[str], split: Split) -> DataFrame:
     """Per distinct score: negatives at it, negatives at or above it, and all negatives."""
     counts = scored.groupBy(*keys, "score").agg(F.sum((F.col("y") == 0).cast("bigint")).alias("neg"))
-    ranked = running_sum(counts, list(keys), "score", ["neg"], split=split)
+    ranked = running_sum(checkpointed(counts), list(keys), "score", ["neg"], split=split)
     return ranked.withColumn("at_or_above", F.col("neg_total") - F.col("neg_before"))
 
 

@@ -321,11 +321,17 @@ rates AS (SELECT seed, any_value(threshold) AS threshold, {RATE.format(f='normal
   {RATE.format(f='recon', y=1)} AS recall_event_recon, count(*) FILTER (family = 'recon' AND y = 1) AS n_recon_attack_rows FROM pr GROUP BY seed)"""
 
 
-def gated_columns(attack: str) -> str:
-    return f"""round(r_{attack}.mean, 6) AS recall_episode_{attack}, round(r_{attack}.lo, 6) AS recall_episode_{attack}_lo,
-  round(r_{attack}.hi, 6) AS recall_episode_{attack}_hi, r_{attack}.n_episodes AS n_episodes_{attack},
-  'ground_truth_phase' AS episode_basis_{attack}, round(l_{attack}.med, 6) AS latency_{attack}_median_sec,
-  l_{attack}.det AS latency_{attack}_n_detected, l_{attack}.miss AS latency_{attack}_n_missed"""
+def gated_columns(attack: str) -> list[str]:
+    return [
+        f"round(r_{attack}.mean, 6) AS recall_episode_{attack}",
+        f"round(r_{attack}.lo, 6) AS recall_episode_{attack}_lo",
+        f"round(r_{attack}.hi, 6) AS recall_episode_{attack}_hi",
+        f"r_{attack}.n_episodes AS n_episodes_{attack}",
+        f"'ground_truth_phase' AS episode_basis_{attack}",
+        f"round(l_{attack}.med, 6) AS latency_{attack}_median_sec",
+        f"l_{attack}.det AS latency_{attack}_n_detected",
+        f"l_{attack}.miss AS latency_{attack}_n_missed",
+    ]
 
 
 GATED_JOIN = " ".join(
@@ -333,7 +339,7 @@ GATED_JOIN = " ".join(
     for a in ("manipulation", "recon")
 )
 
-SOURCE_ROWS = {"main_rows": "6000", "main_normal_rows": "4728", "main_attack_rows": "1272", "stress_rows": "570"}
+SOURCE_ROWS = {"main_rows": "6298", "main_normal_rows": "5026", "main_attack_rows": "1272", "stress_rows": "570"}
 
 LABELLED = f"""WITH {TGT}, lb AS (SELECT event_id, run_id, phase AS phase_name, label AS phase_label FROM tgt)"""
 
@@ -546,7 +552,7 @@ pt AS (SELECT metric, value, lo, hi FROM (UNPIVOT (SELECT {PRIMARY} FROM prim) O
     "transfer_schema": TRANSFER,
     "lodo_eval": f"""{gated_base()}
 SELECT m.seed, m.n_reasons = 0 AS ready, CASE WHEN m.n_reasons = 0 THEN 'headline' ELSE 'contract' END AS mode, m.n_reasons::BIGINT AS n_reasons,
-  {{shown}} FROM modes m JOIN rates USING (seed) JOIN load USING (seed) {GATED_JOIN}""",
+  {{shown}} FROM modes m JOIN rates USING (seed) JOIN load USING (seed) {GATED_JOIN}""",  # metrics are filled in below
     "lodo_multiseed": f"""{gated_base()},
 v AS (SELECT rates.seed, round(fpr_normal, 4) AS fpr_normal, round(fpr_fault, 4) AS fpr_fault, round(recall_event_manipulation, 4) AS recall_event_manipulation,
   round(recall_event_recon, 4) AS recall_event_recon, round(a.mean, 3) AS recall_episode_manipulation, round(b.mean, 3) AS recall_episode_recon
@@ -578,7 +584,7 @@ UNION ALL SELECT event_id, '$.extra[1]', 'unexpected', NULL, 'string', NULL, '"x
     "phase_row_counts": f"{LABELLED} SELECT run_id, phase_name, phase_label, count(*) AS n_rows FROM lb GROUP BY ALL",
     "run_label": f"{LABELLED} SELECT run_id, coalesce(max(phase_label) FILTER (phase_label <> 'normal'), 'normal') AS run_label, count(DISTINCT phase_label) > 1 AS label_is_phase_level FROM lb GROUP BY run_id",
     "phase_backdate": f"""WITH {TGT}, late AS (SELECT run_id, name, t_us + CASE WHEN name = 'act' THEN 172800000000 ELSE 0 END AS marker_us FROM timeline),
-m AS (SELECT *, lag(marker_us) OVER (PARTITION BY run_id ORDER BY marker_us) AS prev, CASE name WHEN 'act' THEN 0.2::DOUBLE ELSE 0.7::DOUBLE END AS setpoint FROM late),
+m AS (SELECT *, lag(marker_us) OVER (PARTITION BY run_id ORDER BY marker_us) AS prev, CASE name WHEN 'act' THEN 0.21::DOUBLE ELSE 0.73::DOUBLE END AS setpoint FROM late),
 w AS (SELECT m.run_id, m.name, m.marker_us, min(t.t_us) AS write_us FROM m LEFT JOIN tgt t ON t.run_id = m.run_id AND t.modbus_function IN (5, 6, 15, 16)
   AND t.throttle_command_left = m.setpoint AND t.t_us <= m.marker_us AND (m.prev IS NULL OR t.t_us > m.prev) GROUP BY ALL)
 SELECT run_id, name, marker_us, coalesce(write_us, marker_us) AS start_us, CASE WHEN write_us IS NULL THEN 'marker' ELSE 'setpoint' END AS anchor,
@@ -591,9 +597,12 @@ SELECT run_id, count(*) AS flow_rows, sum(spans)::BIGINT AS flow_rows_spanning_b
 SHOWN = (
     ["round(threshold, 6) AS threshold"]
     + [f"round({c}, 6) AS {c}" for c in ("fpr_normal", "fpr_fault", "recall_event_manipulation", "recall_event_recon")]
-    + ["n_normal", "n_fault", "n_manipulation_attack_rows", "n_recon_attack_rows"]
-    + ["round(a_mean, 6) AS alarms_per_run_mean", "a_max AS alarms_per_run_max", "n_runs",
+    + [f"{c} AS {c}" for c in ("n_normal", "n_fault", "n_manipulation_attack_rows", "n_recon_attack_rows")]
+    + ["round(a_mean, 6) AS alarms_per_run_mean", "a_max AS alarms_per_run_max", "n_runs AS n_runs",
        "round(per_hour, 6) AS alarms_per_hour", "round(hours, 6) AS observed_hours"]
-    + [gated_columns("manipulation"), gated_columns("recon")]
+    + gated_columns("manipulation") + gated_columns("recon")
+)
+# A refused seed keeps its row and loses its numbers.
+SQL["lodo_eval"] = SQL["lodo_eval"].replace(
+    "{shown}", ", ".join("CASE WHEN m.n_reasons = 0 THEN {} END AS {}".format(*c.rsplit(" AS ", 1)) for c in SHOWN)
 )
-SQL["lodo_eval"] = SQL["lodo_eval"].replace("{shown}", ", ".join(SHOWN))

@@ -699,7 +699,7 @@ def source_contract(spark, d):
     total = spark.read.parquet(f"{d}/events.parquet").count()
     expected = {
         "event_types": ("flow", "modbus"), "fault_runs": fx.FAULT_RUNS, "labels": ("normal", "attack"),
-        "raw_rows": total, "raw_runs": 26, "main_rows": 6000, "main_normal_rows": 4728,
+        "raw_rows": total, "raw_runs": 26, "main_rows": 6298, "main_normal_rows": 5026,
         "main_attack_rows": 1272, "main_runs": main_runs, "stress_rows": 570, "stress_cells": 24,
         "stress_scenarios": fx.FAULT_SCENARIOS,
     }
@@ -936,11 +936,11 @@ def run_label(spark, d):
 
 @query
 def phase_backdate(spark, d):
-    """Marker moved two days late; writes carry a setpoint of 0.2 or 0.7 on the left throttle."""
+    """Marker moved two days late; writes carry a setpoint of 0.21 or 0.73 on the left throttle."""
     late = timeline(spark, d).withColumn("t_us", F.col("t_us") + F.when(F.col("name") == "act", 172800000000).otherwise(0))
     setpoints = (
         fx.load(spark, d, "events").agg(F.count(F.lit(1)).alias("n"))
-        .select(F.explode(F.create_map(F.lit("act"), F.lit(0.2), F.lit("baseline"), F.lit(0.7))).alias("name", "setpoint"))
+        .select(F.explode(F.create_map(F.lit("act"), F.lit(0.21), F.lit("baseline"), F.lit(0.73))).alias("name", "setpoint"))
     )
     return labelling.phase_backdate(target(spark, d), late, setpoints, "throttle_command_left")
 
