@@ -11,9 +11,11 @@ pairs of runs, and no resampled copy exists.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,7 @@ from driftline.operators.ordered import Split, checkpointed, running_sum, small_
 from driftline.operators.ranking import ALL_FAMILIES, PRIMARY_METRICS, metric_columns
 
 DRAW_BLOCK = 4096
+SEGMENT_CELLS = 1_000_000
 
 
 def _draws(strata: DataFrame, replicates: int, size: str) -> DataFrame:
@@ -65,10 +68,10 @@ def resample_multiplicity(
 
 def _vectors(multiplicity: DataFrame, replicates: int) -> DataFrame:
     """One row per run with its draw counts over all replicates as a dense array."""
-    pairs = F.map_from_entries(F.collect_list(F.struct("replicate", F.col("m").cast("int"))))
+    pairs = F.map_from_entries(F.collect_list(F.struct("replicate", F.col("m").cast("smallint").alias("m"))))
     at = F.transform(
         F.sequence(F.lit(0), F.lit(replicates - 1)),
-        lambda b: F.coalesce(F.try_element_at(F.col("_map"), b), F.lit(0)),
+        lambda b: F.coalesce(F.try_element_at(F.col("_map"), b), F.lit(0).cast("smallint")),
     )
     return multiplicity.groupBy("run_id").agg(pairs.alias("_map")).select("run_id", at.alias("m"))
 
@@ -113,17 +116,31 @@ def _segment_pairs(families: Sequence[str], replicates: int):
     return compute
 
 
+def _with_segment(cells: DataFrame, segments: int) -> DataFrame:
+    """Cut the distinct scores into about equal parts; the bucketizer searches the cuts in O(log n)."""
+    if segments == 1:
+        return cells.withColumn("segment", F.lit(0.0))
+    fractions = [i / segments for i in range(1, segments)]
+    edges = (
+        cells.select("score").distinct()
+        .agg(F.percentile_approx("score", fractions, 10 * segments).alias("edges"))
+        .first()["edges"]
+    )
+    cuts = [float("-inf"), *sorted(set(edges)), float("inf")]
+    return Bucketizer(splits=cuts, inputCol="score", outputCol="segment").transform(cells)
+
+
 def replicate_metrics(
     scored: DataFrame,
     replicates: int,
     seed: int,
-    segments: int = 32,
     families: Sequence[str] = ALL_FAMILIES,
+    segment_cells: int = SEGMENT_CELLS,
 ) -> DataFrame:
     """The four primary metrics of every replicate, family weights recomputed inside each.
 
-    Tasks hold one score segment: about ``1/segments`` of the distinct (score, run, family) rows.
-    Raise ``segments`` with the number of distinct scores.
+    A task holds one score segment of about ``segment_cells`` entries, an entry being the draw
+    counts of one (score, run, family). Only one number per cut passes through the driver.
     """
     cells = checkpointed(
         scored.groupBy("score", "run_id", "family").agg(
@@ -133,20 +150,13 @@ def replicate_metrics(
     )
     multiplicity = resample_multiplicity(cells, replicates, seed)
     vectors = small_side(_vectors(multiplicity, replicates), 8_000_000 // replicates)
-    fractions = [i / segments for i in range(1, segments)]
-    # A fixed number of cut points, so passing them as literals is safe at any size.
-    edges = (
-        cells.select("score").distinct()
-        .agg(F.percentile_approx("score", fractions, 10 * segments).alias("edges"))
-        .first()["edges"]
-    ) or []
-    cuts = F.array(*[F.lit(e) for e in edges]).cast("array<double>")
-    located = cells.withColumn("segment", F.size(F.filter(cuts, lambda e: e < F.col("score"))))
+    segments = max(1, ceil(cells.count() * replicates / segment_cells))
+    located = _with_segment(cells, segments)
     rows = located.join(vectors, "run_id").select("segment", "score", "family", "pos", "neg", "m")
     names = [f"{s}_{f}" for f in families for s in ("pos", "neg")]
     pairs = [(f, g) for f in families for g in families]
     schema = T.StructType(
-        [T.StructField("segment", T.IntegerType()), T.StructField("replicate", T.IntegerType())]
+        [T.StructField("segment", T.DoubleType()), T.StructField("replicate", T.IntegerType())]
         + [T.StructField(n, T.DoubleType()) for n in [*names, *[f"twice_{f}_{g}" for f, g in pairs]]]
     )
     parts = rows.groupBy("segment").applyInPandas(_segment_pairs(families, replicates), schema)
@@ -170,10 +180,10 @@ def bootstrap_intervals(
     replicates: int = 2000,
     seed: int = 20260817,
     quantiles: tuple[float, float] = (0.025, 0.975),
-    segments: int = 32,
+    segment_cells: int = SEGMENT_CELLS,
 ) -> DataFrame:
     """``(metric, lo, hi)`` over replicates of a family-stratified run bootstrap."""
-    values = replicate_metrics(scored, replicates, seed, segments).unpivot(
+    values = replicate_metrics(scored, replicates, seed, segment_cells=segment_cells).unpivot(
         ["replicate"], list(PRIMARY_METRICS), "metric", "value"
     )
     # ``replicates`` values per metric: a fixed bound, so exact percentiles in one task are fine.

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.catalog import OTHER
+from driftline.operators.ordered import checkpointed
 from driftline.operators.pools import with_family
 from driftline.operators.splits import TRAIN, VALIDATION
 
@@ -89,6 +90,19 @@ def set_check(
     return check(row, name, column, f"{len(wanted)} known, 0 other", actual, good)
 
 
+def value_profile(df: DataFrame, columns: Sequence[str], times: bool = False) -> DataFrame:
+    """Row counts per combination of the contract columns present, checkpointed.
+
+    Contracts look at a table from many sides; this is the one pass over its rows. Combinations of
+    run, scenario, label and type are few next to the events.
+    """
+    have = [c for c in columns if c in df.columns]
+    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    if times and "t_us" in df.columns:
+        aggs += [F.min("t_us").alias("lo"), F.max("t_us").alias("hi")]
+    return checkpointed(df.groupBy(*have).agg(*aggs))
+
+
 def readiness_checks(
     test: DataFrame,
     entries: DataFrame | None,
@@ -97,11 +111,12 @@ def readiness_checks(
 ) -> DataFrame:
     """Is the test domain fit for headline numbers? Checks whose columns are absent are left out."""
     have = set(test.columns)
+    seen = value_profile(test, ["run_id", "scenario", "label"], times=True)
     parts = []
     if "run_id" in have:
-        per_run = test.groupBy("run_id").agg(
+        per_run = seen.groupBy("run_id").agg(
             *([F.count_distinct("label").alias("n_labels")] if "label" in have else []),
-            *([F.min("t_us").alias("lo"), F.max("t_us").alias("hi")] if "t_us" in have else []),
+            *([F.min("lo").alias("lo"), F.max("hi").alias("hi")] if "t_us" in have else []),
         )
         parts.append(_phase_check(per_run, entries))
         if "label" in have:
@@ -116,12 +131,12 @@ def readiness_checks(
             actual = F.coalesce(seconds.cast("string"), F.lit("no time"))
             parts.append(check(per_run, "run_duration_sec", F.col("run_id"), f">={min_duration}", actual, ~short))
     if "scenario" in have:
-        row = with_family(test.select("scenario").distinct()).agg(
+        row = with_family(seen.select("scenario").distinct()).agg(
             F.count(F.when(F.col("family") == OTHER, 1)).alias("n")
         )
         parts.append(check(row, "scenario_mapped", "unmapped scenario names", 0, F.col("n"), F.col("n") == 0))
         if "run_id" in have:
-            runs = with_family(test).groupBy("family").agg(F.count_distinct("run_id").alias("n"))
+            runs = with_family(seen).groupBy("family").agg(F.count_distinct("run_id").alias("n"))
             parts.append(
                 check(runs, "family_repeats", F.col("family"), f">={min_repeats}", F.col("n"), F.col("n") >= min_repeats)
             )
@@ -223,34 +238,40 @@ def source_contract(raw: DataFrame, main: DataFrame, stress: DataFrame, expected
     required = [c for c in ("run_id", "label", "scenario", "event_type") if c not in raw.columns]
     if required:
         raise ContractError(f"required columns missing: {required}")
-    strict = F.col("run_id").cast("int")
+    columns = ["run_id", "label", "scenario", "event_type"]
+    seen, kept, held = (value_profile(df, columns) for df in (raw, main, stress))
+    total = F.coalesce(F.sum("n_rows"), F.lit(0))
     accepted = F.col("event_type").isin(list(expected["event_types"]))
-    fault_runs = raw.filter(accepted & (F.col("label") == "fault"))
-    leak = main.filter(
+    fault_runs = seen.filter(accepted & (F.col("label") == "fault"))
+    leak = kept.filter(
         F.col("run_id").isin(list(expected["fault_runs"]))
         | ~F.col("label").isin(list(expected["labels"]))
         | ~accepted
     )
+
+    def of_label(label: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("label") == label, F.col("n_rows"))), F.lit(0))
+
     return union_checks(
-        expect(raw.withColumn("_run", strict), {
-            "raw_rows": (F.count(F.lit(1)), expected["raw_rows"]),
+        expect(seen.withColumn("_run", F.col("run_id").cast("int")), {
+            "raw_rows": (total, expected["raw_rows"]),
             "raw_runs": (F.count_distinct("_run"), expected["raw_runs"]),
         }),
         set_check(fault_runs, "run_id", "fault_run_set", expected["fault_runs"]),
-        expect(main, {
-            "main_rows": (F.count(F.lit(1)), expected["main_rows"]),
-            "main_normal_rows": (F.count(F.when(F.col("label") == "normal", 1)), expected["main_normal_rows"]),
-            "main_attack_rows": (F.count(F.when(F.col("label") == "attack", 1)), expected["main_attack_rows"]),
+        expect(kept, {
+            "main_rows": (total, expected["main_rows"]),
+            "main_normal_rows": (of_label("normal"), expected["main_normal_rows"]),
+            "main_attack_rows": (of_label("attack"), expected["main_attack_rows"]),
         }),
-        set_check(main, "run_id", "main_run_set", expected["main_runs"]),
-        set_check(main, "label", "main_label_set", expected["labels"]),
-        expect(leak, {"main_leaked_rows": (F.count(F.lit(1)), 0)}),
-        expect(stress, {
-            "stress_rows": (F.count(F.lit(1)), expected["stress_rows"]),
+        set_check(kept, "run_id", "main_run_set", expected["main_runs"]),
+        set_check(kept, "label", "main_label_set", expected["labels"]),
+        expect(leak, {"main_leaked_rows": (total, 0)}),
+        expect(held, {
+            "stress_rows": (total, expected["stress_rows"]),
             "stress_cells": (F.count_distinct("run_id", "scenario"), expected["stress_cells"]),
         }),
-        set_check(stress, "run_id", "stress_run_set", expected["fault_runs"]),
-        set_check(stress, "scenario", "stress_scenario_set", expected["stress_scenarios"]),
+        set_check(held, "run_id", "stress_run_set", expected["fault_runs"]),
+        set_check(held, "scenario", "stress_scenario_set", expected["stress_scenarios"]),
     )
 
 
@@ -262,18 +283,17 @@ def target_contract(
 
     ``declared`` is ``(run, rows)``; ``target`` carries ``run`` (the file a row came from) and ``run_id``.
     """
-    actual = target.groupBy("run").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("run_id").alias("ids")
-    )
+    seen = with_family(value_profile(target, ["run", "run_id", "scenario", "label", "event_type"]))
+    actual = seen.groupBy("run").agg(F.sum("n_rows").alias("n"), F.count_distinct("run_id").alias("ids"))
     files = declared.join(actual, "run", "full_outer")
-    runs = with_family(target).groupBy("family").agg(F.count_distinct("run_id").alias("n"))
+    runs = seen.groupBy("family").agg(F.count_distinct("run_id").alias("n"))
     return union_checks(
         check(files, "run_rows", F.col("run"), F.coalesce(F.col("rows").cast("string"), F.lit("none")),
               F.coalesce(F.col("n").cast("string"), F.lit("none")), F.col("rows") == F.col("n")),
         check(files, "single_run_id", F.col("run"), 1, F.coalesce("ids", F.lit(0)), F.col("ids") == 1),
-        set_check(target, "event_type", "event_type_set", event_types, subset=True),
-        set_check(with_family(target), "family", "family_set", families),
-        set_check(target, "label", "label_set", labels),
+        set_check(seen, "event_type", "event_type_set", event_types, subset=True),
+        set_check(seen, "family", "family_set", families),
+        set_check(seen, "label", "label_set", labels),
         check(runs, "family_runs", F.col("family"), repeats, F.col("n"), F.col("n") == repeats),
     )
 
@@ -308,10 +328,14 @@ def metric_preconditions(scored: DataFrame, keys: Sequence[str], families: Seque
         "manipulation_positives": (fam == "manipulation") & (y == 1),
         "recon_positives": (fam == "recon") & (y == 1),
     }
-    row = scored.groupBy(*keys).agg(
+    # Counting cells first keeps the distinct counts below off the raw rows.
+    cells = scored.groupBy(*keys, "family", "run_id", "y").agg(
+        F.count(F.when(~finite, 1)).alias("bad"), F.count(F.lit(1)).alias("n_rows")
+    )
+    row = cells.groupBy(*keys).agg(
         F.count_distinct("y").alias("classes"),
-        F.count(F.when(~finite, 1)).alias("bad"),
-        *[F.count(F.when(m, 1)).alias(n) for n, m in masks.items()],
+        F.sum("bad").alias("bad"),
+        *[F.coalesce(F.sum(F.when(m, F.col("n_rows"))), F.lit(0)).alias(n) for n, m in masks.items()],
         *[F.count_distinct(F.when(fam == f, F.col("run_id"))).alias(f"runs_{f}") for f in families],
     )
     specs = [

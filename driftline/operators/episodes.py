@@ -7,7 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.operators.ordered import Split, carry_forward, exact_quantiles, small_side
+from driftline.operators.ordered import (
+    BROADCAST_ROWS,
+    Split,
+    carry_forward,
+    checkpointed,
+    exact_quantiles,
+    small_side,
+)
 
 PRE_PHASE = "pre-phase"
 BASIS_PHASES, BASIS_COLUMN, BASIS_RUN = "ground_truth_phase", "phase_column", "run_id"
@@ -57,10 +64,13 @@ def asof_phase(
     to the run's intervals, which needs no shuffle of the events when the timeline is small. Dense
     timelines are merged with the events and carried forward in time order instead.
     """
-    intervals = phase_intervals(timeline)
-    densest = intervals.groupBy("run_id").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    if densest <= dense:
-        lookup = small_side(intervals).alias("p")
+    intervals = checkpointed(phase_intervals(timeline))
+    size = intervals.groupBy("run_id").count().agg(
+        F.max("count").alias("densest"), F.sum("count").alias("n_phases")
+    ).first()
+    if (size["densest"] or 0) <= dense:
+        small = (size["n_phases"] or 0) <= BROADCAST_ROWS
+        lookup = (F.broadcast(intervals) if small else intervals).alias("p")
         inside = (
             (F.col("e.run_id") == F.col("p.run_id"))
             & (F.col("p.start_us") <= F.col(f"e.{time}"))

@@ -114,10 +114,12 @@ def pool_audit(pools: dict[str, DataFrame]) -> DataFrame:
     """Rows, runs and run-scenario cells after each filter as ``(stage, metric, value)``."""
     out = None
     for stage, df in pools.items():
-        one = df.agg(
-            F.count(F.lit(1)).alias("n_rows"),
+        # Several distinct counts over raw rows would copy each row; count cells first.
+        cells = df.groupBy("run_id", "scenario").agg(F.count(F.lit(1)).alias("n"))
+        one = cells.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
             F.count_distinct("run_id").alias("n_runs"),
-            F.count_distinct("run_id", "scenario").alias("n_cells"),
+            F.count(F.lit(1)).alias("n_cells"),
         )
         part = one.select(
             F.lit(stage).alias("stage"),

@@ -128,14 +128,19 @@ def balanced_weights(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return sizes.withColumn("weight", F.lit(1.0) / F.col("family_rows"))
 
 
-def ensemble_score(scores: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+def ensemble_score(
+    scores: DataFrame, keys: Sequence[str], carry: Sequence[str] = (), order: str = "seed"
+) -> DataFrame:
     """Arithmetic mean of the seeds' scores per event; ``carry`` columns are constant per event.
 
-    Summed as decimals: a double sum depends on row order and would break ties between events.
+    Added up in seed order: a double sum in arrival order would break ties between events. The
+    list per event is as long as the seed list. Scores held as one column per seed need no such
+    grouping, see :func:`driftline.plans.scoring.ensemble_mean`.
     """
-    exact = F.sum(F.col("score").cast("decimal(28,18)")).cast("double")
+    ordered = F.array_sort(F.collect_list(F.struct(order, "score")))
+    total = F.aggregate(ordered, F.lit(0.0), lambda acc, x: acc + x["score"])
     return scores.groupBy(*keys).agg(
-        (exact / F.count(F.lit(1))).alias("score"),
+        (total / F.count(F.lit(1))).alias("score"),
         F.count(F.lit(1)).alias("n_scores"),
         *[F.first(c).alias(c) for c in carry],
     )

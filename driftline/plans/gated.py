@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ from driftline.operators.thresholds import (
     mean_min_max,
     threshold_at_fpr,
 )
-from driftline.plans.scoring import KEEP, Scorer, rule_scorer
+from driftline.plans.scoring import KEEP, Scorer, apply_all, by_seed, rule_scorer
 from driftline.session import materialize
 from driftline.sources.events import phase_timeline
 
@@ -83,21 +84,19 @@ def _scored(
         on = "event_id"
     else:
         sides, on = splits, "run_id"
-    train_f = materialize(features(train), f"gated-{schema}-train")
-    test_f = materialize(features(test), f"gated-{schema}-test")
-    validation, tested = None, None
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        train_f, test_f = pool.map(
+            lambda item: materialize(features(item[1]), f"gated-{schema}-{item[0]}"),
+            (("train", train), ("test", test)),
+        )
+    models, validation = {}, None
     for seed in seeds:
         placed = train_f.join(sides.filter(F.col("seed") == seed).select(on, "side"), on)
-        scored = scorer(
-            placed.filter(F.col("side") == TRAIN),
-            {"validation": placed.filter(F.col("side") == VALIDATION), "test": test_f},
-            fs, seed,
-        )
-        v = scored["validation"].withColumn("seed", F.lit(seed))
-        t = scored["test"].withColumn("seed", F.lit(seed))
-        validation = v if validation is None else validation.unionByName(v)
-        tested = t if tested is None else tested.unionByName(t)
-    return validation, tested
+        models[seed] = scorer(placed.filter(F.col("side") == TRAIN).drop("side"), fs, seed)
+        held = models[seed](placed.filter(F.col("side") == VALIDATION).drop("side"), "score")
+        part = held.select(F.lit(seed).alias("seed"), "y", "score")
+        validation = part if validation is None else validation.unionByName(part)
+    return validation, by_seed(apply_all(test_f, models), seeds)
 
 
 def gated_eval(

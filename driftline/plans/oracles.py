@@ -354,7 +354,7 @@ long AS (SELECT 'source_validation_auc' AS metric, v FROM vauc_raw UNION ALL SEL
   UNION ALL SELECT 'normal_fpr', normal_fpr FROM per_seed UNION ALL SELECT 'fault_fpr', fault_fpr FROM per_seed
   UNION ALL SELECT 'manipulation_recall', manipulation_recall FROM per_seed UNION ALL SELECT 'recon_recall', recon_recall FROM per_seed
   UNION ALL SELECT 'run_scenario_balanced_false_positive_rate', b FROM st_m UNION ALL SELECT 'event_weighted_false_positive_rate', e FROM st_m),
-ens AS (SELECT 0 AS k, event_id, any_value(run_id) AS run_id, any_value(family) AS family, any_value(y) AS y, sum(round(score * 200)) / 1000.0::DOUBLE AS score
+ens AS (SELECT 0 AS k, event_id, any_value(run_id) AS run_id, any_value(family) AS family, any_value(y) AS y, list_reduce(list(score ORDER BY seed), lambda a, b: a + b) / 5.0::DOUBLE AS score
   FROM sc GROUP BY event_id),
 {primary('ens', 'k')}, {intervals(2000, 'ens')},
 point AS (SELECT metric, value FROM (UNPIVOT (SELECT {PRIMARY} FROM prim) ON {PRIMARY} INTO NAME metric VALUE value))
@@ -570,7 +570,7 @@ UNION ALL SELECT page_id, path, 'exact path' FROM p WHERE path IN ('en/519', 'de
 UNION ALL SELECT page_id, path, 'extension' FROM p WHERE lower(path) LIKE '%.html'""",
     "sensitive_scan": r"""WITH r(rule, pattern) AS (VALUES ('host user path', '(?i)[a-z]:[\\/]+users[\\/]+'),
   ('GitHub access token', '(?:gh[opsu]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})'), ('AWS access key', '(?:AKIA|ASIA)[A-Z0-9]{16}'),
-  ('private key', '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----'), ('mailbox', '(?i)[a-z0-9._]+@[a-z0-9.]+'),
+  ('private key', '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----'), ('mailbox', '(?i)[a-z0-9._]@[a-z0-9.]'),
   ('long number', '[0-9]{3}[- ][0-9]{2,}'), ('license line', '(?i)license'))
 SELECT doc_id, rule FROM documents JOIN r ON regexp_matches(text, pattern)""",
     "result_diff": """WITH e AS (SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS n, event_id % 10 AS k FROM events)

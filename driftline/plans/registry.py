@@ -763,13 +763,10 @@ def result_contract(spark, d):
 def hash_scorer():
     """Replayable scorer with the interface of a real one."""
 
-    def score(train, tables, schema, seed):
-        return {
-            name: fx.hash_votes(t.select(*[c for c in scoring.KEEP if c in t.columns]), F.lit(seed)).drop("votes")
-            for name, t in tables.items()
-        }
+    def fit(train, schema, seed):
+        return lambda table, name: fx.hash_votes(table, F.lit(seed), name).drop("votes")
 
-    return score
+    return fit
 
 
 SMALL_FOREST = dict(trees=20, max_depth=6)
@@ -787,15 +784,15 @@ def onehot_features(spark, d):
 def forest_scores(spark, d):
     fs = feature_schema("physical_proxy")
     train = materialize(transfer.prepare(pools.main_pool(source(spark, d)), fs.name), "train")
-    tables = {"target": transfer.prepare(target(spark, d), fs.name)}
-    return scoring.forest_scorer(**SMALL_FOREST)(train, tables, fs, 42)["target"].select("event_id", r6("score").alias("score"))
+    model = scoring.forest_scorer(**SMALL_FOREST)(train, fs, 42)
+    return model(transfer.prepare(target(spark, d), fs.name), "score").select("event_id", r6("score").alias("score"))
 
 
 @query
 def rule_scores(spark, d):
     fs = feature_schema("flow")
-    tables = {"target": transfer.prepare(target(spark, d), "flow")}
-    return scoring.rule_scorer()(None, tables, fs, 42)["target"].select("event_id", "score")
+    model = scoring.rule_scorer()(None, fs, 42)
+    return model(transfer.prepare(target(spark, d), "flow"), "score").select("event_id", "score")
 
 
 @query
@@ -871,7 +868,7 @@ def path_rules(spark, d):
 
 SCAN_RULES = {
     **audit.CONTENT_RULES,
-    "mailbox": r"(?i)[a-z0-9._]+@[a-z0-9.]+",
+    "mailbox": r"(?i)[a-z0-9._]@[a-z0-9.]",
     "long number": r"[0-9]{3}[- ][0-9]{2,}",
     "license line": r"(?i)license",
 }

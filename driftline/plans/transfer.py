@@ -17,7 +17,6 @@ from driftline.operators.pools import main_pool, pool_audit, stress_pool
 from driftline.operators.ranking import (
     PRIMARY_METRICS,
     auc,
-    ensemble_score,
     long_metrics,
     primary_metrics,
 )
@@ -30,8 +29,9 @@ from driftline.operators.thresholds import (
     threshold_metrics,
     validation_fpr,
 )
-from driftline.plans.scoring import Scorer
+from driftline.plans.scoring import Apply, Scorer, apply_all, by_seed, ensemble_mean
 from driftline.session import materialize
+from driftline.sources.events import union_runs
 
 THRESHOLD_METRICS = ("normal_fpr", "fault_fpr", "manipulation_recall", "recon_recall")
 STRESS_METRICS = (
@@ -66,85 +66,73 @@ def score_seeds(
     main: DataFrame, stress: DataFrame, target: DataFrame, splits: DataFrame, schema: str,
     scorer: Scorer, seeds: Sequence[int], parallel: int = 4,
 ) -> dict[str, DataFrame]:
-    """Scores of the validation rows, the target and the stress pool for every seed.
+    """Validation scores per seed, and wide score tables of the target and the stress pool.
 
-    Features of target and stress are written once per schema and read by every fit. Training
-    features are built per split, as the change rate must not see validation rows of a run; splits
-    are by whole runs, so one table filtered by run gives the same values. Fits are the only
-    loop: a few are submitted at a time, and each writes its scores where executors can reread them.
+    Features are written once per schema and read by every fit. Splits are by whole runs, so the
+    change rate computed on the full pool is the one each side would compute for itself. Fits are
+    the only loop, a few submitted at a time; each leaves behind a model and its validation scores.
     """
     fs = feature_schema(schema)
-    tables = {
-        "main": materialize(prepare(main, schema), f"features-{schema}-main"),
-        "stress": materialize(prepare(stress, schema), f"features-{schema}-stress"),
-        "target": materialize(prepare(target, schema), f"features-{schema}-target"),
-    }
-
-    def one(seed: int) -> dict[str, DataFrame]:
-        sides = splits.filter(F.col("seed") == seed).select("run_id", "side")
-        placed = tables["main"].join(sides, "run_id")
-        train = placed.filter(F.col("side") == TRAIN).drop("side")
-        held = placed.filter(F.col("side") == VALIDATION).drop("side")
-        scored = scorer(train, {"validation": held, "target": tables["target"], "stress": tables["stress"]}, fs, seed)
-        return {
-            name: materialize(t.select(F.lit(schema).alias("schema"), F.lit(seed).alias("seed"), "*"), f"scores-{name}")
-            for name, t in scored.items()
-        }
-
+    sources = {"main": main, "stress": stress, "target": target}
     with ThreadPoolExecutor(max_workers=parallel) as pool:
-        parts = list(pool.map(one, seeds))
-    out = {}
-    for name in ("validation", "target", "stress"):
-        table = parts[0][name]
-        for part in parts[1:]:
-            table = table.unionByName(part[name])
-        out[name] = table
-    return out
-
+        tables = dict(pool.map(
+            lambda item: (item[0], materialize(prepare(item[1], schema), f"features-{schema}-{item[0]}")),
+            sources.items(),
+        ))
+
+        def one(seed: int) -> tuple[int, Apply, DataFrame]:
+            sides = splits.filter(F.col("seed") == seed).select("run_id", "side")
+            placed = tables["main"].join(sides, "run_id")
+            model = scorer(placed.filter(F.col("side") == TRAIN).drop("side"), fs, seed)
+            held = model(placed.filter(F.col("side") == VALIDATION).drop("side"), "score")
+            return seed, model, held.select(F.lit(seed).alias("seed"), "event_id", "label", "y", "score")
+
+        fitted = list(pool.map(one, seeds))
+        models = {seed: model for seed, model, _ in fitted}
+        validation = fitted[0][2]
+        for _, _, part in fitted[1:]:
+            validation = validation.unionByName(part)
+        wide = {
+            "validation": validation,
+            "target": apply_all(tables["target"], models),
+            "stress": apply_all(tables["stress"], models),
+        }
+        return dict(pool.map(
+            lambda item: (item[0], materialize(item[1].withColumn("schema", F.lit(schema)), f"scores-{item[0]}")),
+            wide.items(),
+        ))
 
-def evaluate(scores: dict[str, DataFrame], exp: Experiment) -> DataFrame:
-    """Long result table ``(schema, section, metric, value, lo, hi, min, max, n)`` from scored rows.
 
-    ``scores`` holds ``validation``, ``target`` and ``stress`` rows with schema, seed and score.
-    """
+def evaluate(scores: dict[str, DataFrame], schema: str, exp: Experiment) -> DataFrame:
+    """Long result table ``(schema, section, metric, value, lo, hi, min, max, n)`` of one schema."""
     validation = scores["validation"]
     target = scores["target"].withColumn("family", scenario_family("scenario"))
-    thresholds = threshold_at_fpr(validation, KEYS, exp.max_fpr)
-
-    per_seed = [
-        long_metrics(auc(validation, KEYS).withColumnRenamed("auc", "source_validation_auc"), KEYS, ["source_validation_auc"]),
-        long_metrics(
-            validation_fpr(apply_threshold(validation, thresholds, KEYS), KEYS).withColumnRenamed(
-                "validation_fpr", "source_validation_fpr"
-            ),
-            KEYS, ["source_validation_fpr"],
-        ),
-        long_metrics(threshold_metrics(apply_threshold(target, thresholds, KEYS), KEYS), KEYS, THRESHOLD_METRICS),
-        long_metrics(stress_fpr(apply_threshold(scores["stress"], thresholds, KEYS), KEYS), KEYS, STRESS_METRICS),
+    thresholds = materialize(threshold_at_fpr(validation, KEYS, exp.max_fpr), "thresholds")
+    ensemble = ensemble_mean(target, exp.seeds)
+
+    def at_threshold(rows: DataFrame) -> DataFrame:
+        return apply_threshold(rows, thresholds, KEYS)
+
+    fpr = validation_fpr(at_threshold(validation), KEYS)
+    parts = [
+        (auc(validation, KEYS).withColumnRenamed("auc", "source_validation_auc"), ["source_validation_auc"]),
+        (fpr.withColumnRenamed("validation_fpr", "source_validation_fpr"), ["source_validation_fpr"]),
+        (threshold_metrics(at_threshold(by_seed(target, exp.seeds)), KEYS), THRESHOLD_METRICS),
+        (stress_fpr(at_threshold(by_seed(scores["stress"], exp.seeds)), KEYS), STRESS_METRICS),
     ]
-    seeds = per_seed[0]
-    for part in per_seed[1:]:
-        seeds = seeds.unionByName(part)
-    summary = median_min_max(seeds, ["schema", "metric"]).select(
+    per_seed = union_runs(*[long_metrics(wide, KEYS, metrics) for wide, metrics in parts])
+    none = F.lit(None).cast("double")
+    summary = median_min_max(per_seed, ["schema", "metric"]).select(
         "schema", F.lit("per_seed_summary").alias("section"), "metric", F.col("median").alias("value"),
-        F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), "min", "max", "n",
-    )
-    out = summary
-    ensemble = materialize(
-        ensemble_score(target, ["schema", "event_id"], ["run_id", "family", "y"]), "ensemble"
+        none.alias("lo"), none.alias("hi"), "min", "max", "n",
     )
     point = long_metrics(primary_metrics(ensemble, ["schema"]), ["schema"], PRIMARY_METRICS)
-    for schema in exp.schemas:
-        ranges = bootstrap_intervals(
-            ensemble.filter(F.col("schema") == schema), exp.replicates, exp.bootstrap_seed, exp.quantiles
-        )
-        part = point.filter(F.col("schema") == schema).join(ranges, "metric").select(
-            "schema", F.lit("primary_ensemble").alias("section"), "metric", "value", "lo", "hi",
-            F.lit(None).cast("double").alias("min"), F.lit(None).cast("double").alias("max"),
-            F.lit(len(exp.seeds)).cast("bigint").alias("n"),
-        )
-        out = out.unionByName(part)
-    return out
+    ranges = bootstrap_intervals(ensemble, exp.replicates, exp.bootstrap_seed, exp.quantiles)
+    primary = point.join(ranges, "metric").select(
+        "schema", F.lit("primary_ensemble").alias("section"), "metric", "value", "lo", "hi",
+        none.alias("min"), none.alias("max"), F.lit(len(exp.seeds)).cast("bigint").alias("n"),
+    )
+    return summary.unionByName(primary)
 
 
 def transfer_schema(
@@ -152,12 +140,10 @@ def transfer_schema(
 ) -> DataFrame:
     """One feature schema end to end."""
     main, stress = main_pool(source, exp.labels), stress_pool(source)
-    splits = split_by_run(
-        main.select(F.col("run_id").cast("string").alias("run_id")), list(exp.seeds), exp.validation_fraction
-    )
-    splits = materialize(splits, "splits")
+    runs = main.select(F.col("run_id").cast("string").alias("run_id"))
+    splits = materialize(split_by_run(runs, list(exp.seeds), exp.validation_fraction), "splits")
     scores = score_seeds(main, stress, target, splits, schema, scorer, exp.seeds, exp.parallel_fits)
-    return evaluate(scores, Experiment(**{**exp.__dict__, "schemas": (schema,)}))
+    return evaluate(scores, schema, exp)
 
 
 def transfer_experiment(

@@ -132,8 +132,8 @@ def ground_truth_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("run_id", F.concat(F.lit('{"phases": ['), listed, F.lit("]}")).alias("document"))
 
 
-def hash_votes(df: DataFrame, seed="seed") -> DataFrame:
+def hash_votes(df: DataFrame, seed="seed", name: str = "score") -> DataFrame:
     """Replayable stand-in scorer: many ties, and attacks score 40 votes higher."""
     votes = hash32(seed, "event_id") % 141 + F.when(F.col("label") == "attack", 40).otherwise(0)
-    return df.withColumn("votes", votes).withColumn("score", F.col("votes") / F.lit(200.0))
+    return df.withColumn("votes", votes).withColumn(name, F.col("votes") / F.lit(200.0))
 
