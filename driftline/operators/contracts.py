@@ -115,6 +115,7 @@ def readiness_checks(
     parts = []
     if "run_id" in have:
         per_run = seen.groupBy("run_id").agg(
+            F.sum("n_rows").alias("n_rows"),
             *([F.count_distinct("label").alias("n_labels")] if "label" in have else []),
             *([F.min("lo").alias("lo"), F.max("hi").alias("hi")] if "t_us" in have else []),
         )

@@ -548,6 +548,11 @@ pt AS (SELECT metric, value, lo, hi FROM (UNPIVOT (SELECT {PRIMARY} FROM prim) O
         row("validation_fpr_within_budget", "'seeds over budget'", "0", "n", "n = 0", "FROM (SELECT count(*) FILTER (v > 0.01) AS n FROM f)"),
         row("interval_holds_point", "metric", "'inside'", "CASE WHEN value BETWEEN lo AND hi THEN 'inside' ELSE 'outside' END", "value BETWEEN lo AND hi", "FROM pt"),
     ),
+    "onehot_features": f"""WITH {SRC}, {TGT}, tr AS (SELECT coalesce(flow_state, 'na') AS a, coalesce(modbus_function::VARCHAR, 'na') AS b, coalesce(modbus_access, 'na') AS c FROM main),
+te AS (SELECT event_id, pkts_toserver + pkts_toclient + bytes_toserver + bytes_toclient AS s,
+  coalesce(flow_state, 'na') AS a, coalesce(modbus_function::VARCHAR, 'na') AS b, coalesce(modbus_access, 'na') AS c FROM tgt)
+SELECT event_id, (SELECT 4 + count(DISTINCT a) + count(DISTINCT b) + count(DISTINCT c) FROM tr) AS width,
+  round(s + (a IN (SELECT a FROM tr))::INTEGER + (b IN (SELECT b FROM tr))::INTEGER + (c IN (SELECT c FROM tr))::INTEGER, 6) AS total FROM te""",
     "rule_scores": "SELECT event_id, (floor(value) > 0)::INTEGER::DOUBLE AS score FROM events",
     "transfer_schema": TRANSFER,
     "lodo_eval": f"""{gated_base()}

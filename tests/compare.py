@@ -36,7 +36,10 @@ def normal_rows(columns, rows):
 
 
 def difference(spark, con, fn, sql: str, sf_dir: str) -> str | None:
-    df = fn(spark, sf_dir)
+    return compare_frame(fn(spark, sf_dir), con, sql)
+
+
+def compare_frame(df, con, sql: str) -> str | None:
     got = normal_rows(df.columns, [tuple(r) for r in df.collect()])
     rel = con.execute(sql)
     names = [c[0] for c in rel.description]
