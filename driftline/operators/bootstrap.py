@@ -67,13 +67,17 @@ def resample_multiplicity(
 
 
 def _vectors(multiplicity: DataFrame, replicates: int) -> DataFrame:
-    """One row per run with its draw counts over all replicates as a dense array."""
-    pairs = F.map_from_entries(F.collect_list(F.struct("replicate", F.col("m").cast("smallint").alias("m"))))
-    at = F.transform(
-        F.sequence(F.lit(0), F.lit(replicates - 1)),
-        lambda b: F.coalesce(F.try_element_at(F.col("_map"), b), F.lit(0).cast("smallint")),
+    """One row per run with its draw counts over all replicates as a dense array.
+
+    Zero rows for every replicate of a run fill the gaps, so the array is in replicate order.
+    """
+    every = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
+    zeros = multiplicity.select("run_id").distinct().select(every, "run_id", F.lit(0).cast("bigint").alias("m"))
+    dense = multiplicity.unionByName(zeros).groupBy("run_id", "replicate").agg(
+        F.sum("m").cast("smallint").alias("m")
     )
-    return multiplicity.groupBy("run_id").agg(pairs.alias("_map")).select("run_id", at.alias("m"))
+    ordered = F.array_sort(F.collect_list(F.struct("replicate", "m")))
+    return dense.groupBy("run_id").agg(F.transform(ordered, lambda x: x["m"]).alias("m"))
 
 
 def _segment_pairs(families: Sequence[str], replicates: int):

@@ -876,7 +876,7 @@ SCAN_RULES = {
 
 @query
 def sensitive_scan(spark, d):
-    return audit.sensitive_scan(fx.load(spark, d, "documents"), "text", SCAN_RULES, ["doc_id"])
+    return audit.sensitive_scan(fx.load(spark, d, "documents", "doc_id"), "text", SCAN_RULES, ["doc_id"])
 
 
 @query

@@ -20,9 +20,18 @@ BASELINE_US = 1704088800000000
 ACT_US = 1704672000000000
 
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def load(spark: SparkSession, sf_dir: str, table: str, spread_on: str | None = None) -> DataFrame:
+    """Read one test table. A scan with fewer splits than cores is spread out by ``spread_on``.
+
+    Spreading matters for a table that sits in one file and is then multiplied by seeds; a large
+    table has more splits than cores and is never moved.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread_on and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, spread_on)
+    return df
 
 
 def _with_readings(df: DataFrame) -> DataFrame:
@@ -46,7 +55,7 @@ def _with_readings(df: DataFrame) -> DataFrame:
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
-    return load(spark, sf_dir, "events").select(
+    return load(spark, sf_dir, "events", "event_id").select(
         "event_id",
         F.unix_micros(ts).alias("t_us"),
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("timestamp"),
