@@ -84,6 +84,7 @@ def artifact_verify(
     prefixes: Sequence[str],
     exact: Sequence[str],
     contents: DataFrame | None = None,
+    rules: Mapping[str, str] = CONTENT_RULES,
     file_count: int | None = None,
     total_bytes: int | None = None,
 ) -> DataFrame:
@@ -94,7 +95,7 @@ def artifact_verify(
     )
     out = found.unionByName(broken)
     if contents is not None:
-        hits = scan_files(contents, keep=["path"])
+        hits = scan_files(contents, rules=rules, keep=["path"])
         out = out.unionByName(hits.select("path", F.concat(F.lit("forbidden "), "rule").alias("finding")))
     totals = actual.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"))
     for column, expected, finding in (("n", file_count, "file_count mismatch"), ("b", total_bytes, "total_bytes mismatch")):

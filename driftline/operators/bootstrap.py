@@ -26,6 +26,7 @@ from driftline.operators.ranking import ALL_FAMILIES, PRIMARY_METRICS, metric_co
 
 DRAW_BLOCK = 4096
 SEGMENT_CELLS = 1_000_000
+MAX_SEGMENTS = 20_000
 
 
 def _draws(strata: DataFrame, replicates: int, size: str) -> DataFrame:
@@ -127,7 +128,7 @@ def _with_segment(cells: DataFrame, segments: int) -> DataFrame:
     fractions = [i / segments for i in range(1, segments)]
     edges = (
         cells.select("score").distinct()
-        .agg(F.percentile_approx("score", fractions, 10 * segments).alias("edges"))
+        .agg(F.percentile_approx("score", fractions, 4 * segments).alias("edges"))
         .first()["edges"]
     )
     cuts = [float("-inf"), *sorted(set(edges)), float("inf")]
@@ -154,7 +155,7 @@ def replicate_metrics(
     )
     multiplicity = resample_multiplicity(cells, replicates, seed)
     vectors = small_side(_vectors(multiplicity, replicates), 8_000_000 // replicates)
-    segments = max(1, ceil(cells.count() * replicates / segment_cells))
+    segments = min(MAX_SEGMENTS, max(1, ceil(cells.count() * replicates / segment_cells)))
     located = _with_segment(cells, segments)
     rows = located.join(vectors, "run_id").select("segment", "score", "family", "pos", "neg", "m")
     names = [f"{s}_{f}" for f in families for s in ("pos", "neg")]

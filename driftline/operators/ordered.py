@@ -3,7 +3,7 @@
 A plain window sends every row of a key to one task. Each operator here first counts rows per
 key (a map-side combined aggregate). If no key is larger than ``limit`` the plain window is the
 right plan and is used as is. Otherwise the large keys are cut at quantiles of the ordering
-column into ``pieces`` segments; windows run per (key, segment), one summary row per segment is
+column into segments of about ``limit`` rows; windows run per (key, segment), one summary row per segment is
 carried across segments, and the small summary is joined back on the (key, segment) partitioning
 the window has already produced. Cut points are checkpointed, so a retried task sees the same ones.
 
@@ -14,6 +14,7 @@ the key column only, or an aggregate they have checkpointed.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,16 +22,16 @@ from pyspark.sql import functions as F
 from driftline.session import shared_dir
 
 ROW_LIMIT = 5_000_000
-PIECES = 256
+MAX_PIECES = 4096
 BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
 class Split:
-    """When to cut a key and into how many segments."""
+    """When to cut a key (more than ``limit`` rows) and into how many segments at most."""
 
     limit: int = ROW_LIMIT
-    pieces: int = PIECES
+    max_pieces: int = MAX_PIECES
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -48,21 +49,38 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def _cut_points(df: DataFrame, keys: list[str], order: str, split: Split) -> DataFrame | None:
+    """``(keys, _edges)`` of every key above the limit, or None when there is none.
+
+    The number of cuts follows the largest key. Quantile sketches merge map-side, so a hot key
+    is never gathered; their error is a quarter of a segment.
+    """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = checkpointed(counts.filter(F.col("_rows") > split.limit).select(*keys))
-    if hot.isEmpty():
+    hot = checkpointed(counts.filter(F.col("_rows") > split.limit))
+    largest = hot.agg(F.max("_rows").alias("n")).first()["n"]
+    if largest is None:
         return None
-    fractions = [i / split.pieces for i in range(1, split.pieces)]
+    pieces = max(2, min(split.max_pieces, ceil(largest / split.limit)))
+    fractions = [i / pieces for i in range(1, pieces)]
     edges = (
-        df.join(small_side(hot), keys, "left_semi")
+        df.join(small_side(hot.select(*keys)), keys, "left_semi")
         .groupBy(*keys)
-        .agg(F.percentile_approx(order, fractions, 10 * split.pieces).alias("_edges"))
+        .agg(F.percentile_approx(order, fractions, 4 * pieces).alias("_edges"))
+    )
+    return small_side(edges, max(1, 4 * BROADCAST_ROWS // pieces))
+
+
+def _edges_below(edges: str, value: str, most: int) -> Column:
+    """How many of the sorted ``edges`` lie below ``value``, by halving steps."""
+    steps = [1 << i for i in reversed(range(most.bit_length()))]
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]),
+        F.lit(0),
+        lambda at, step: F.when(F.get(edges, at + step - 1) < F.col(value), at + step).otherwise(at),
     )
-    return small_side(edges, BROADCAST_ROWS // split.pieces)
 
 
-def _with_segment(df: DataFrame, edges: DataFrame, keys: list[str], order: str) -> DataFrame:
-    below = F.size(F.filter("_edges", lambda e: e < F.col(order)))
+def _with_segment(df: DataFrame, edges: DataFrame, keys: list[str], order: str, split: Split) -> DataFrame:
+    below = _edges_below("_edges", order, split.max_pieces)
     segment = F.when(F.col("_edges").isNull() | F.col(order).isNull(), 0).otherwise(below)
     return df.join(edges, keys, "left").withColumn("_segment", segment).drop("_edges")
 
@@ -93,7 +111,7 @@ def running_sum(
         return out.drop("_all") if dummy else out
 
     parts = [*keys, "_segment"]
-    rows = _with_segment(df, edges, keys, order)
+    rows = _with_segment(df, edges, keys, order, split)
     sums = rows.groupBy(*parts).agg(*[F.sum(c).alias(f"_{c}") for c in columns])
     over_segments = Window.partitionBy(*keys)
     earlier = over_segments.orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
@@ -129,7 +147,7 @@ def previous_row(
         return df.withColumn("previous", F.lag(payload).over(w))
 
     parts = [*keys, "_segment"]
-    rows = _with_segment(df, edges, keys, order)
+    rows = _with_segment(df, edges, keys, order, split)
     last = rows.groupBy(*parts).agg(F.max_by(payload, F.struct(order, *tie)).alias("_last"))
     over_segments = Window.partitionBy(*keys).orderBy("_segment")
     carry = last.select(*parts, F.lag("_last").over(over_segments).alias("_carry"))
@@ -155,7 +173,7 @@ def carry_forward(
         return df.withColumn(name, F.last(name, ignorenulls=True).over(w))
 
     parts = [*keys, "_segment"]
-    rows = _with_segment(df, edges, keys, order)
+    rows = _with_segment(df, edges, keys, order, split)
     last = rows.groupBy(*parts).agg(
         F.max_by(F.col(name), F.when(F.col(name).isNotNull(), F.struct(order, *tie))).alias("_last")
     )

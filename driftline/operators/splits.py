@@ -55,11 +55,15 @@ def split_with_basis(
     if runs >= 2:
         splits = split_by_run(df, seeds, validation_fraction, split)
         return split_rows(df, splits).withColumn("basis", F.lit("run"))
-    placed = _position(with_seeds(df, seeds), "event_id", split)
-    side = F.when(F.col("_one_before") < _cut("_one_total", validation_fraction), TRAIN)
-    return placed.select(
-        "seed", *df.columns, side.alias("side")
-    ).withColumn("side", F.coalesce("side", F.lit(VALIDATION))).withColumn("basis", F.lit("row"))
+    # Only (seed, event_id) is ranked; the rows themselves are placed by comparing with the last
+    # training position of their seed, without being shuffled.
+    placed = _position(with_seeds(df.select("event_id"), seeds), "event_id", split)
+    training = placed.filter(F.col("_one_before") < _cut("_one_total", validation_fraction))
+    bound = training.groupBy("seed").agg(F.max(F.struct("_h", "event_id")).alias("_last"))
+    rows = with_seeds(df, seeds).join(small_side(bound), "seed", "left")
+    here = F.struct(hash32("seed", "event_id").alias("_h"), "event_id")
+    side = F.when(here <= F.col("_last"), TRAIN).otherwise(VALIDATION)
+    return rows.select("seed", *df.columns, side.alias("side"), F.lit("row").alias("basis"))
 
 
 def split_profile(df: DataFrame, splits: DataFrame) -> DataFrame:

@@ -368,6 +368,17 @@ PIVOT = ", ".join(
 
 DOC_FILES = "df AS (SELECT doc_id, source || '/' || doc_id || '.txt' AS path, n_chars AS bytes, sha256(text) AS sha256 FROM documents)"
 
+CHANGED = f"""{DOC_FILES}, act AS (SELECT CASE WHEN doc_id % 19 = 0 THEN path || '.KEY' ELSE path END AS path,
+  CASE WHEN doc_id % 11 = 0 THEN bytes + 1 ELSE bytes END AS bytes, CASE WHEN doc_id % 13 = 0 THEN reverse(sha256) ELSE sha256 END AS sha256 FROM df WHERE doc_id % 17 <> 0),
+rec AS (SELECT coalesce(d.path, a.path) AS path, CASE WHEN a.path IS NULL THEN 'missing' WHEN d.path IS NULL THEN 'unexpected' WHEN d.bytes <> a.bytes THEN 'size mismatch'
+  WHEN d.sha256 <> a.sha256 THEN 'hash mismatch' ELSE 'ok' END AS status, d.bytes AS declared_bytes, a.bytes AS actual_bytes
+  FROM df d FULL OUTER JOIN act a ON d.path = a.path)"""
+
+CONTENT_RULES = r"""r(rule, pattern) AS (VALUES ('host user path', '(?i)[a-z]:[\\/]+users[\\/]+'),
+  ('GitHub access token', '(?:gh[opsu]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})'), ('AWS access key', '(?:AKIA|ASIA)[A-Z0-9]{16}'),
+  ('private key', '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----'), ('mailbox', '(?i)[a-z0-9._]@[a-z0-9.]'),
+  ('long number', '[0-9]{3}[- ][0-9]{2,}'), ('license line', '(?i)license'))"""
+
 SQL: dict[str, str] = {
     "scan_events": f"""WITH {SRC} SELECT event_id, 'site_a' AS source_dataset, run_id::VARCHAR AS run_id, scenario, label, event_type,
   stamp AS "timestamp", pkts_toserver, flow_state, modbus_function, round(rudder_angle, 6) AS rudder_angle, NULL::DOUBLE AS throttle_command_left FROM src""",
@@ -564,20 +575,20 @@ v AS (SELECT rates.seed, round(fpr_normal, 4) AS fpr_normal, round(fpr_fault, 4)
   FROM rates JOIN rci a ON a.seed = rates.seed AND a.family = 'manipulation' JOIN rci b ON b.seed = rates.seed AND b.family = 'recon')
 SELECT metric, CASE WHEN metric LIKE 'recall_episode%' THEN round(avg(value), 3) ELSE round(avg(value), 4) END AS mean, min(value) AS min, max(value) AS max
 FROM (UNPIVOT v ON fpr_normal, fpr_fault, recall_event_manipulation, recall_event_recon, recall_episode_manipulation, recall_episode_recon INTO NAME metric VALUE value) GROUP BY metric""",
-    "manifest_reconcile": f"""WITH {DOC_FILES}, act AS (SELECT CASE WHEN doc_id % 19 = 0 THEN path || '.bak' ELSE path END AS path,
-  CASE WHEN doc_id % 11 = 0 THEN bytes + 1 ELSE bytes END AS bytes, CASE WHEN doc_id % 13 = 0 THEN reverse(sha256) ELSE sha256 END AS sha256 FROM df WHERE doc_id % 17 <> 0)
-SELECT coalesce(d.path, a.path) AS path, CASE WHEN a.path IS NULL THEN 'missing' WHEN d.path IS NULL THEN 'unexpected' WHEN d.bytes <> a.bytes THEN 'size mismatch'
-  WHEN d.sha256 <> a.sha256 THEN 'hash mismatch' ELSE 'ok' END AS status, d.bytes AS declared_bytes, a.bytes AS actual_bytes
-FROM df d FULL OUTER JOIN act a ON d.path = a.path""",
+    "manifest_build": f"WITH {DOC_FILES} SELECT count(*) AS file_count, sum(bytes)::BIGINT AS total_bytes, true AS release_eligible FROM df",
+    "manifest_reconcile": f"WITH {CHANGED} SELECT path, status, declared_bytes, actual_bytes FROM rec",
+    "artifact_verify": f"""WITH {CHANGED}, {CONTENT_RULES}
+SELECT path, status AS finding FROM rec WHERE status <> 'ok'
+UNION ALL SELECT path, 'forbidden prefix' FROM act WHERE starts_with(path, 'web/1')
+UNION ALL SELECT path, 'forbidden exact path' FROM act WHERE path IN ('web/20.txt', 'books/21.txt')
+UNION ALL SELECT path, 'forbidden extension' FROM act WHERE lower(path) LIKE '%.key'
+UNION ALL SELECT source || '/' || doc_id || '.txt', 'forbidden ' || rule FROM documents JOIN r ON regexp_matches(text, pattern)
+UNION ALL SELECT '', unnest(['file_count mismatch', 'total_bytes mismatch'])""",
     "path_rules": """WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) AS path FROM pages)
 SELECT page_id, path, 'prefix' AS rule FROM p WHERE starts_with(path, 'fr/') OR starts_with(path, 'es/1')
 UNION ALL SELECT page_id, path, 'exact path' FROM p WHERE path IN ('en/519', 'de/49', 'de/612')
 UNION ALL SELECT page_id, path, 'extension' FROM p WHERE lower(path) LIKE '%.html'""",
-    "sensitive_scan": r"""WITH r(rule, pattern) AS (VALUES ('host user path', '(?i)[a-z]:[\\/]+users[\\/]+'),
-  ('GitHub access token', '(?:gh[opsu]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})'), ('AWS access key', '(?:AKIA|ASIA)[A-Z0-9]{16}'),
-  ('private key', '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----'), ('mailbox', '(?i)[a-z0-9._]@[a-z0-9.]'),
-  ('long number', '[0-9]{3}[- ][0-9]{2,}'), ('license line', '(?i)license'))
-SELECT doc_id, rule FROM documents JOIN r ON regexp_matches(text, pattern)""",
+    "sensitive_scan": f"WITH {CONTENT_RULES} SELECT doc_id, rule FROM documents JOIN r ON regexp_matches(text, pattern)",
     "result_diff": """WITH e AS (SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS n, event_id % 10 AS k FROM events)
 SELECT event_id, '$.k' AS path, 'type' AS difference, 'integer' AS expected_type, 'double' AS actual_type, n::VARCHAR AS expected_value, n::DOUBLE::VARCHAR AS actual_value FROM e WHERE k = 0
 UNION ALL SELECT event_id, '$.k', 'value', 'integer', 'integer', n::VARCHAR, (n + 1)::VARCHAR FROM e WHERE k = 1

@@ -60,7 +60,7 @@ MAX_FPR = 0.01
 REPLICATES = 2000
 BOOTSTRAP_SEED = 20260817
 # Forces the hot-key plan on test-sized tables; production keeps the default limit.
-TINY_SPLIT = Split(limit=100, pieces=8)
+TINY_SPLIT = Split(limit=100, max_pieces=50)
 
 
 def query(fn: Query) -> Query:
@@ -168,7 +168,8 @@ def file_inventory(spark, d):
 
 @query
 def manifest_build(spark, d):
-    return files.manifest_totals(files.file_inventory(spark, d))
+    """Documents stand in for files, so that the totals can be checked."""
+    return files.manifest_totals(document_files(spark, d))
 
 
 @query
@@ -847,16 +848,19 @@ def document_files(spark, d):
     )
 
 
-@query
-def manifest_reconcile(spark, d):
-    declared = document_files(spark, d)
+def changed_files(spark, d):
     k = F.col("doc_id")
-    actual = declared.filter(k % 17 != 0).select(
-        F.when(k % 19 == 0, F.concat("path", F.lit(".bak"))).otherwise(F.col("path")).alias("path"),
+    return document_files(spark, d).filter(k % 17 != 0).select(
+        F.when(k % 19 == 0, F.concat("path", F.lit(".KEY"))).otherwise(F.col("path")).alias("path"),
         F.when(k % 11 == 0, F.col("bytes") + 1).otherwise(F.col("bytes")).alias("bytes"),
         F.when(k % 13 == 0, F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256"),
     )
-    return audit.reconcile(declared, actual).select("path", "status", "declared_bytes", "actual_bytes")
+
+
+@query
+def manifest_reconcile(spark, d):
+    both = audit.reconcile(document_files(spark, d), changed_files(spark, d))
+    return both.select("path", "status", "declared_bytes", "actual_bytes")
 
 
 @query
@@ -881,10 +885,14 @@ def sensitive_scan(spark, d):
 
 @query
 def artifact_verify(spark, d):
-    inventory = materialize(files.file_inventory(spark, d), "inventory")
-    changed = inventory.withColumn("bytes", F.col("bytes") + F.when(F.col("path").startswith("n"), 1).otherwise(0))
-    contents = spark.read.format("binaryFile").load(d).select(F.regexp_extract("path", "[^/]+$", 0).alias("path"), "content")
-    return audit.artifact_verify(changed, inventory, ("cust",), ("region.parquet",), contents, total_bytes=0)
+    """The changed copy of the documents as the files at hand, the originals as the manifest."""
+    docs = fx.load(spark, d, "documents", "doc_id")
+    contents = docs.select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"),
+                           F.col("text").cast("binary").alias("content"))
+    return audit.artifact_verify(
+        document_files(spark, d), changed_files(spark, d), ("web/1",), ("web/20.txt", "books/21.txt"), contents,
+        rules=SCAN_RULES, file_count=0, total_bytes=0,
+    )
 
 
 @query

@@ -54,7 +54,7 @@ def test_run_split_is_clamped_and_stable(spark):
     assert got == {"train", "validation"}
     many = spark.createDataFrame([(i,) for i in range(50)], "run_id int")
     a = {tuple(r) for r in splits.split_by_run(many, [1, 2]).collect()}
-    b = {tuple(r) for r in splits.split_by_run(many.repartition(7), [1, 2], split=Split(limit=10, pieces=4)).collect()}
+    b = {tuple(r) for r in splits.split_by_run(many.repartition(7), [1, 2], split=Split(limit=10)).collect()}
     assert a == b
 
 

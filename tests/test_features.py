@@ -43,7 +43,7 @@ def test_roles_follow_the_domain_of_each_row(table):
     assert got == {1: 0.4, 2: 0.6, 3: pytest.approx(0.3), 4: None, 5: 1.5, 6: 1.0, 7: 0.5, 8: 1.0}
 
 
-@pytest.mark.parametrize("split", [Split(), Split(limit=2, pieces=3)])
+@pytest.mark.parametrize("split", [Split(), Split(limit=2)])
 def test_rate_skips_unsampled_rows(table, split):
     """Samples of r1 are rows 1, 3, 4: one change over two seconds, then a zero time step."""
     out = features.build_features(table, "physical_strict", split=split)
@@ -109,7 +109,7 @@ def timeline_of(spark, rows):
     return spark.createDataFrame([(r, seconds(t), n) for r, t, n in rows], "run_id string, t_us long, name string")
 
 
-@pytest.mark.parametrize("dense,split", [(64, Split()), (0, Split()), (0, Split(limit=2, pieces=3))])
+@pytest.mark.parametrize("dense,split", [(64, Split()), (0, Split()), (0, Split(limit=2))])
 def test_asof_rules(spark, dense, split):
     lines = timeline_of(spark, [("a", 10, "x"), ("a", 10, "y"), ("a", 20, "act"), ("b", 5, "x")])
     rows = [(1, "a", 9), (2, "a", 10), (3, "a", 19), (4, "a", 20), (5, "a", None), (6, "b", 99), (7, "c", 1), (8, "a", 10**6)]

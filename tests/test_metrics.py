@@ -9,11 +9,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from driftline.functions.scalar import next_double
-from driftline.operators import bootstrap, ranking, thresholds
+from driftline.operators import bootstrap, ordered, ranking, thresholds
 from driftline.operators.ordered import Split, carry_forward, exact_quantiles, previous_row, running_sum
 
 FEW_RUNS = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-HOT = Split(limit=5, pieces=4)
+HOT = Split(limit=5)
 
 
 def brute_auc(y, s, w=None):
@@ -136,6 +136,26 @@ def test_ordered_operators(spark, split):
         assert q[k] == (pytest.approx(np.quantile(v, 0.025)), pytest.approx(np.quantile(v, 0.77)), len(v))
 
 
+def test_hot_key_is_cut_into_even_segments(spark):
+    """A key with a third of all rows never meets in one window partition."""
+    df = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("k"), F.col("id").alias("t")
+    )
+    split = Split(limit=500)
+    edges = ordered._cut_points(df, ["k"], "t", split)
+    parts = ordered._with_segment(df, edges, ["k"], "t", split).groupBy("k", "_segment").count()
+    assert parts.filter("k = 'hot'").count() == 20
+    assert parts.agg(F.max("count")).first()[0] < 1.6 * split.limit
+    assert ordered._cut_points(df, ["k"], "t", Split(limit=10_001)) is None
+
+
+def test_search_counts_edges_below(spark):
+    edges = sorted([3, 3, 7, 11, 20, 21, 22])
+    df = spark.range(25).withColumn("_edges", F.array(*[F.lit(e) for e in edges]))
+    got = df.select("id", ordered._edges_below("_edges", "id", 8).alias("n")).collect()
+    assert {r.id: r.n for r in got} == {i: sum(e < i for e in edges) for i in range(25)}
+
+
 @pytest.mark.parametrize("segment_cells", [10**9, 40])
 def test_bootstrap_matches_literal_resampling(spark, segment_cells):
     rng = np.random.default_rng(11)
