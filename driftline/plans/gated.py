@@ -26,7 +26,7 @@ from driftline.operators.episodes import (
     run_timeline,
     with_episode,
 )
-from driftline.operators.features import build_features
+from driftline.operators.features import build_features, with_time
 from driftline.operators.splits import (
     TRAIN,
     VALIDATION,
@@ -113,9 +113,10 @@ def gated_eval(
 ) -> DataFrame:
     """One wide row per seed: mode, threshold, event rates, episode recall, latency, alarm load.
 
-    Refused seeds keep their row with null metrics. ``train`` and ``test`` carry ``t_us``.
+    Refused seeds keep their row with null metrics.
     """
     scorer = scorer or rule_scorer()
+    train, test = with_time(train), with_time(test)
     splits, modes = contracts(train, test, entries, seeds, max_fpr, validation_fraction, force)
     validation, tested = _scored(train, test, splits, schema, scorer, seeds, validation_fraction)
     thresholds = materialize(threshold_at_fpr(validation, ["seed"], max_fpr), "thresholds")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from driftline.catalog import EVENT_SCHEMA
 from driftline.functions.scalar import epoch_micros
+from driftline.session import materialize
 
 GROUND_TRUTH_PHASES = T.ArrayType(
     T.StructType(
@@ -69,6 +70,15 @@ def scan_campaign(
     return out
 
 
+def number_events(df: DataFrame) -> DataFrame:
+    """Give rows without one a unique ``event_id``, frozen in a written table.
+
+    Generated ids depend on the partitioning, so a recomputed task could hand out others; once
+    written they cannot change.
+    """
+    return materialize(df.withColumn("event_id", F.monotonically_increasing_id()), "numbered-events")
+
+
 def union_runs(*tables: DataFrame) -> DataFrame:
     """All rows of all run tables, columns matched by name, absent ones null."""
     out = tables[0]
