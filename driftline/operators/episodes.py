@@ -44,11 +44,10 @@ def run_timeline(runs: DataFrame, entries: DataFrame, phases: DataFrame) -> Data
     )
 
 
-def phase_intervals(timeline: DataFrame) -> DataFrame:
-    """``[start_us, end_us)`` per phase of a run; of equal starts the greatest name stays."""
-    starts = timeline.groupBy("run_id", "t_us").agg(F.max("name").alias("name"))
-    following = F.lead("t_us").over(Window.partitionBy("run_id").orderBy("t_us"))
-    return starts.select("run_id", "name", F.col("t_us").alias("start_us"), following.alias("end_us"))
+def phase_starts(timeline: DataFrame) -> DataFrame:
+    """``(run_id, start_us, name)``; of equal starts in a run the greatest name stays."""
+    starts = timeline.groupBy("run_id", F.col("t_us").alias("start_us"))
+    return starts.agg(F.max("name").alias("name"))
 
 
 def asof_phase(
@@ -64,11 +63,13 @@ def asof_phase(
     to the run's intervals, which needs no shuffle of the events when the timeline is small. Dense
     timelines are merged with the events and carried forward in time order instead.
     """
-    intervals = checkpointed(phase_intervals(timeline))
-    size = intervals.groupBy("run_id").count().agg(
+    starts = checkpointed(phase_starts(timeline))
+    size = starts.groupBy("run_id").count().agg(
         F.max("count").alias("densest"), F.sum("count").alias("n_phases")
     ).first()
     if (size["densest"] or 0) <= dense:
+        following = F.lead("start_us").over(Window.partitionBy("run_id").orderBy("start_us"))
+        intervals = starts.withColumn("end_us", following)
         small = (size["n_phases"] or 0) <= BROADCAST_ROWS
         lookup = (F.broadcast(intervals) if small else intervals).alias("p")
         inside = (
@@ -79,7 +80,7 @@ def asof_phase(
         joined = events.alias("e").join(lookup, inside, "left")
         out = joined.select("e.*", F.col("p.name").alias("phase_name"), F.col("p.start_us").alias("phase_start_us"))
     else:
-        marks = intervals.select(
+        marks = starts.select(
             "run_id",
             F.col("start_us").alias("_t"),
             F.lit(0).alias("_is_event"),

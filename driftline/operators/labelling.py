@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.scalar import is_write, safe_double
 from driftline.operators.episodes import asof_phase
-from driftline.operators.ordered import Split, small_side
+from driftline.operators.ordered import Split, previous_row, small_side
 
 # The label each campaign phase stands for.
 PHASE_LABELS = {
@@ -55,8 +55,9 @@ def phase_backdate(events: DataFrame, timeline: DataFrame, setpoints: DataFrame,
     Looked for after the previous phase start and up to the recorded marker. ``setpoints`` is
     ``(name, setpoint)``; reads never match. Anchors tell which starts moved.
     """
-    before = F.lag("t_us").over(Window.partitionBy("run_id").orderBy("t_us", "name"))
-    marks = timeline.select("run_id", "name", F.col("t_us").alias("marker_us"), before.alias("previous_us"))
+    marks = previous_row(timeline, ["run_id"], "t_us", ["name"], ["t_us"]).select(
+        "run_id", "name", F.col("t_us").alias("marker_us"), F.col("previous.t_us").alias("previous_us")
+    )
     wanted = marks.join(small_side(setpoints), "name").select("run_id", "name", "marker_us", "previous_us", "setpoint")
     writes = events.filter(is_write() & safe_double(value).isNotNull()).select(
         F.col("run_id").alias("_run"), F.col("t_us").alias("_t"), safe_double(value).alias("_value")

@@ -55,10 +55,10 @@ def _cut_points(df: DataFrame, keys: list[str], order: str, split: Split) -> Dat
     is never gathered; their error is a quarter of a segment.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = checkpointed(counts.filter(F.col("_rows") > split.limit))
-    largest = hot.agg(F.max("_rows").alias("n")).first()["n"]
-    if largest is None:
+    largest = counts.agg(F.max("_rows").alias("n")).first()["n"] or 0
+    if largest <= split.limit:
         return None
+    hot = counts.filter(F.col("_rows") > split.limit)
     pieces = max(2, min(split.max_pieces, ceil(largest / split.limit)))
     fractions = [i / pieces for i in range(1, pieces)]
     edges = (

@@ -258,7 +258,7 @@ def _features(schema: str) -> Query:
     def run(spark, d):
         fs = feature_schema(schema)
         df = features.build_features(target(spark, d), schema)
-        return rounded(df, *fs.numeric)
+        return rounded(df, *[c for c in fs.numeric if not c.endswith("_present")])
 
     return run
 
