@@ -39,8 +39,19 @@ def is_write(c: str | Column = "modbus_function") -> Column:
 
 
 def epoch_micros(c: str | Column) -> Column:
-    """Microseconds since the epoch of an ISO-8601 stamp (UTC session); bad stamps are null."""
-    return F.unix_micros(F.try_to_timestamp(col(c)))
+    """Microseconds since the epoch of an ISO-8601 stamp; bad stamps are null.
+
+    A stamp without offset is UTC, whatever the session's time zone.
+    """
+    text = F.trim(col(c))
+    day_only = text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+    no_offset = text.contains(":") & ~text.rlike("([zZ]|[+-][0-9]{2}(:?[0-9]{2})?)$")
+    stamp = (
+        F.when(day_only, F.concat(text, F.lit("T00:00:00Z")))
+        .when(no_offset, F.concat(text, F.lit("Z")))
+        .otherwise(text)
+    )
+    return F.unix_micros(F.try_to_timestamp(stamp))
 
 
 def epoch_seconds(c: str | Column) -> Column:

@@ -71,7 +71,7 @@ def _scored(
     train: DataFrame, test: DataFrame, splits: DataFrame | None, schema: str, scorer: Scorer,
     seeds: Sequence[int], validation_fraction: float,
 ) -> tuple[DataFrame, DataFrame]:
-    """Validation and test rows with a score per seed."""
+    """Validation rows with a score per seed, and test rows with one score column per seed."""
     fs = feature_schema(schema)
 
     def features(df: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def _scored(
         held = models[seed](placed.filter(F.col("side") == VALIDATION).drop("side"), "score")
         part = held.select(F.lit(seed).alias("seed"), "y", "score")
         validation = part if validation is None else validation.unionByName(part)
-    return validation, by_seed(apply_all(test_f, models), seeds)
+    return validation, apply_all(test_f, models)
 
 
 def gated_eval(
@@ -119,12 +119,19 @@ def gated_eval(
     train, test = with_time(train), with_time(test)
     splits, modes = contracts(train, test, entries, seeds, max_fpr, validation_fraction, force)
     validation, tested = _scored(train, test, splits, schema, scorer, seeds, validation_fraction)
-    thresholds = materialize(threshold_at_fpr(validation, ["seed"], max_fpr), "thresholds")
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        thresholds, scored = pool.map(
+            lambda make: make(),
+            (
+                lambda: materialize(threshold_at_fpr(validation, ["seed"], max_fpr), "thresholds"),
+                lambda: materialize(tested, "scored"),
+            ),
+        )
+    # One row per event is stored; the seeds fan out inside each aggregate below.
     phase = ["phase"] if "phase" in test.columns else []
-    predicted = apply_threshold(tested, thresholds, ["seed"]).select(
+    predicted = apply_threshold(by_seed(scored, seeds), thresholds, ["seed"]).select(
         "seed", "event_id", "run_id", scenario_family("scenario").alias("family"), "y", "pred", "t_us", *phase
     )
-    predicted = materialize(predicted, "predicted")
     wide = thresholds.join(event_rates(predicted, ["seed"]), "seed", "left")
     wide = wide.join(alarm_load(predicted, ["seed"]), "seed", "left")
 

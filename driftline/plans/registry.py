@@ -106,7 +106,8 @@ def main_splits(spark, d, seeds):
 
 def validation_scores(spark, d, seeds):
     """Hash scores of the validation side of the main pool."""
-    rows = splits.split_rows(pools.main_pool(source(spark, d)), main_splits(spark, d, seeds))
+    pool = pools.main_pool(source(spark, d))
+    rows = splits.split_rows(pool, splits.split_by_run(pool, seeds))
     held = rows.filter(F.col("side") == splits.VALIDATION).drop("side")
     return fx.hash_votes(pools.with_family(held).withColumn("y", is_attack()))
 

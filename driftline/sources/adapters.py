@@ -16,20 +16,21 @@ FAULT_RUNS = (19, 20, 23, 24, 25, 26, 27, 28)
 FAULT_SCENARIOS = ("fault_comm_dropout", "fault_plc_restart", "fault_poll_storm")
 BASELINE_START = "2024-01-01T06:00:00+00:00"
 ACT_START = "2024-01-08T00:00:00+00:00"
+SPREAD_SPLITS = 8
 BASELINE_US = 1704088800000000
 ACT_US = 1704672000000000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str, spread_on: str | None = None) -> DataFrame:
-    """Read one test table. A scan with fewer splits than cores is spread out by ``spread_on``.
+    """Read one test table; a scan of only a few splits is spread out by ``spread_on``.
 
-    Spreading matters for a table that sits in one file and is then multiplied by seeds; a large
-    table has more splits than cores and is never moved.
+    Spreading matters for a table that sits in one file and is then multiplied by seeds. Fewer
+    than ``SPREAD_SPLITS`` splits are about a gigabyte at most, so a large table is never moved.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if spread_on and df.rdd.getNumPartitions() < cores:
+    if spread_on and df.rdd.getNumPartitions() < min(cores, SPREAD_SPLITS):
         return df.repartition(cores, spread_on)
     return df
 

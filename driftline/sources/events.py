@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,15 +53,18 @@ def scan_campaign(
     """One table over many per-run files, with the file each row came from.
 
     Parquet files that differ in optional columns are merged by name in one multi-path scan; CSV
-    files are grouped by header so that each layout is one scan.
+    files are grouped by header so that each layout is one scan. Headers are read a few files at a
+    time; campaigns of very many files are better kept as Parquet.
     """
     if fmt == "parquet":
         df = spark.read.option("mergeSchema", True).parquet(*paths)
         return align_columns(df.withColumn("file", F.col("_metadata.file_path")), schema)
     layouts: dict[tuple[str, ...], list[str]] = {}
-    for path in sorted(paths):
-        header = tuple(spark.read.option("header", True).csv(path).columns)
-        layouts.setdefault(header, []).append(path)
+    ordered = sorted(paths)
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        headers = pool.map(lambda p: tuple(spark.read.option("header", True).csv(p).columns), ordered)
+        for path, header in zip(ordered, headers):
+            layouts.setdefault(header, []).append(path)
     parts = [
         scan_events(spark, group, fmt, schema).withColumn("file", F.col("_metadata.file_path"))
         for group in layouts.values()

@@ -96,6 +96,17 @@ def test_scalars(spark):
     assert [r[0] for r in df.select(epoch_micros("s")).collect()] == [base, base, base + 500000, base, None]
 
 
+def test_stamps_do_not_depend_on_the_session(spark):
+    df = spark.createDataFrame([("2023-11-14T22:13:20",), ("2023-11-14 22:13:20.25",), ("2023-11-14T22:13:20Z",), ("2023-11-14T17:13:20-05:00",), ("2023-11-14",), ("",)], "s string")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = [r[0] for r in df.select(epoch_micros("s")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    base = 1700000000000000
+    assert got == [base, base + 250000, base, base, 1699920000000000, None]
+
+
 # --- phases and episodes ---------------------------------------------------------------------
 
 T0 = 1_700_000_000_000_000
