@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.frames import without
+from driftline.llm.inttable import IntTable
 
 DEPTH = 4
 SAMPLE_BYTES = 2_000_000
@@ -126,34 +127,14 @@ class Model:
     def __init__(self, languages: list[str], trees: list[Tree]):
         self.languages, self.trees = languages, trees
         known = np.unique(np.concatenate([t.grams[DEPTH] for t in trees])) if trees else np.empty(0, np.uint64)
-        self.size = max(4, int(4 * len(known) - 1).bit_length())
         self.costs = np.stack([t.bits(known) for t in trees], axis=1).astype(np.float32) if trees else None
-        # Open addressing; 0 marks a free slot, so keys are stored plus one.
-        self.slots = np.zeros(1 << self.size, dtype=np.uint64)
-        self.rows = np.zeros(1 << self.size, dtype=np.int32)
-        rest, at = np.arange(len(known)), self._slot(known)
-        while len(rest):
-            free = self.slots[at] == 0
-            self.slots[at[free]] = known[rest[free]] + np.uint64(1)  # of several, the last one stays
-            placed = self.slots[at] == known[rest] + np.uint64(1)
-            self.rows[at[placed]] = rest[placed]
-            rest, at = rest[~placed], (at[~placed] + 1) & ((1 << self.size) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.size)).astype(np.int64)
+        self.row_of = IntTable(known, np.arange(len(known)))
 
     def bits(self, keys: np.ndarray) -> np.ndarray:
         """(grams, languages) code lengths."""
-        stored = keys + np.uint64(1)
-        at = self._slot(keys)
-        found = self.slots[at]
-        searching = np.flatnonzero((found != stored) & (found != 0))
-        while len(searching):
-            at[searching] = (at[searching] + 1) & ((1 << self.size) - 1)
-            found[searching] = self.slots[at[searching]]
-            searching = searching[(found[searching] != stored[searching]) & (found[searching] != 0)]
-        out = self.costs[self.rows[at]]
-        new = np.flatnonzero(found == 0)
+        row = self.row_of.get(keys)
+        out = self.costs[row]
+        new = np.flatnonzero(row < 0)
         if len(new):
             fresh, inverse = np.unique(keys[new], return_inverse=True)
             out[new] = np.stack([t.bits(fresh) for t in self.trees], axis=1)[inverse]
