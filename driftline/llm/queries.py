@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, langid, line_dedup, mixing, quality, sharding, simhash
+from driftline.llm import ann, bpe, html_text, langid, line_dedup, mixing, quality, sharding, simhash
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,16 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+@query
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 @query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,8 +68,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.load_vocabulary(public_tokenizers.path(VOCABULARY))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode_documents(docs, vocabulary, public_tokenizers.PATTERN)
-    out = bpe.decode_documents(encoded, vocabulary)
+    out = bpe.encode_documents(docs, vocabulary, public_tokenizers.PATTERN, decode=True)
     ids = F.array_join(F.col("tokens").cast("array<string>"), ",")
     return out.select(
         "doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
