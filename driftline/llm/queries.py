@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import ann, bpe, html_text, langid, line_dedup, mixing, quality, sharding, simhash
+from driftline.llm import ann, bpe, html_text, langid, line_dedup, mixing, quality, sharding, simhash, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,15 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = langid.held_out(4, 2)
+    scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    out = toxicity.score_documents(docs, scorer)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
