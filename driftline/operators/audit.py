@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,57 +108,56 @@ def artifact_verify(
     return out
 
 
-def flatten_json(documents: DataFrame, key: str, text: str, depth: int = 8) -> DataFrame:
-    """``(key, path, type, value)`` of every node of a JSON text, containers included.
-
-    Nodes are VARIANT values, so an integer and a double of equal value stay different types. One
-    narrow generator step per nesting level; nothing is shuffled.
+NODES = "path string, steps array<struct<index:int,member:string>>, type string, value string"
+KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", int: "integer", float: "double", type(None): "null"}
+PLAIN_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+
+
+def _nodes(document: str) -> Iterator[tuple]:
+    """Path, steps, type and value of every node of one JSON document, containers included."""
+    todo = [("$", (), json.loads(document))]
+    while todo:
+        path, steps, node = todo.pop()
+        if isinstance(node, dict):
+            yield path, steps, "object", json.dumps(sorted(node), ensure_ascii=False, separators=(",", ":"))
+            for name, child in node.items():
+                inner = f".{name}" if PLAIN_NAME.fullmatch(name) else f"[{json.dumps(name, ensure_ascii=False)}]"
+                todo.append((path + inner, (*steps, (None, name)), child))
+        elif isinstance(node, list):
+            yield path, steps, "array", str(len(node))
+            todo += [(f"{path}[{i}]", (*steps, (i, None)), child) for i, child in enumerate(node)]
+        else:
+            value = node + 0.0 if isinstance(node, float) else node  # no negative zero
+            yield path, steps, KINDS[type(node)], json.dumps(value, ensure_ascii=False)
+
+
+def flatten_json(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, path, steps, type, value)`` of every node of a JSON text, at any depth.
+
+    Each document is parsed once, inside its task. Integers keep all their digits, and an integer and a
+    double of equal value stay different types. Names other than plain ones are quoted in ``path``, so
+    no two nodes share one; ``steps`` sorts in document order (list items by number, members by name).
+    Of repeated names the last counts. A null text has no nodes; a text that is no JSON fails the query.
     """
-    tvf = documents.sparkSession.tvf
-    level = documents.select(F.col(key), F.lit("$").alias("path"), F.parse_json(text).alias("node"))
-    out = None
-    for _ in range(depth):
-        leaf = level.select(key, "path", _node_type().alias("type"), _node_value().alias("value"))
-        out = leaf if out is None else out.unionByName(leaf)
-        inner = level.filter(_node_type().isin("object", "array"))
-        exploded = inner.lateralJoin(tvf.variant_explode(F.col("node").outer()).select(
-            "pos", F.col("key").alias("member"), F.col("value").alias("child")
-        ))
-        step = F.when(F.col("member").isNotNull(), F.concat(F.lit("."), "member")).otherwise(
-            F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))
-        )
-        level = exploded.select(key, F.concat("path", step).alias("path"), F.col("child").alias("node"))
-    return out
 
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, *node) for k, document in zip(batch[key], batch[text]) if document is not None for node in _nodes(document)]
+            yield pd.DataFrame(rows, columns=[key, "path", "steps", "type", "value"])
 
-def _node_type() -> Column:
-    kind = F.schema_of_variant("node")
-    return (
-        F.when(F.is_variant_null("node"), "null")
-        .when(kind.startswith("OBJECT"), "object")
-        .when(kind.startswith("ARRAY"), "array")
-        .when(kind == "BIGINT", "integer")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), "double")
-        .otherwise("string")
-    )
-
-
-def _node_value() -> Column:
-    text = F.to_json("node")
-    return (
-        F.when(_node_type() == "object", F.array_join(F.array_sort(F.json_object_keys(text)), ","))
-        .when(_node_type() == "array", F.json_array_length(text).cast("string"))
-        .when(_node_type() == "double", text.try_cast("double").cast("string"))
-        .otherwise(text)
-    )
+    narrow = documents.select(key, text)
+    return narrow.mapInPandas(walk, f"{key} {narrow.schema[key].dataType.simpleString()}, {NODES}")
 
 
 def result_diff(expected: DataFrame, actual: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
-    """Every differing path of two long ``(keys, type, value)`` results; type-strict, no tolerance."""
+    """Every differing path of two long ``(keys, type, value)`` results; type-strict, no tolerance.
+
+    Where both have ``steps``, the differences have them too.
+    """
     on = list(keys)
-    e = expected.select(*on, F.col("type").alias("expected_type"), F.col("value").alias("expected_value"), F.lit(1).alias("_e"))
-    a = actual.select(*on, F.col("type").alias("actual_type"), F.col("value").alias("actual_value"), F.lit(1).alias("_a"))
+    both = ["type", "value"] + (["steps"] if "steps" in expected.columns and "steps" in actual.columns else [])
+    e = expected.select(*on, *[F.col(c).alias(f"expected_{c}") for c in both], F.lit(1).alias("_e"))
+    a = actual.select(*on, *[F.col(c).alias(f"actual_{c}") for c in both], F.lit(1).alias("_a"))
     kind = (
         F.when(F.col("_a").isNull(), "missing")
         .when(F.col("_e").isNull(), "unexpected")
@@ -163,8 +165,14 @@ def result_diff(expected: DataFrame, actual: DataFrame, keys: Sequence[str] = ("
         .when(~F.col("expected_value").eqNullSafe(F.col("actual_value")), "value")
     )
     joined = e.join(a, on, "full_outer").withColumn("difference", kind)
+    if "steps" in both:
+        joined = joined.withColumn("steps", F.coalesce("expected_steps", "actual_steps")).drop("expected_steps", "actual_steps")
     return joined.filter(F.col("difference").isNotNull()).drop("_e", "_a")
 
 
-def first_difference(differences: DataFrame, path: str = "path") -> DataFrame:
-    return differences.orderBy(path).limit(1)
+def first_difference(differences: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The difference that comes first in document order, one row per ``keys``; no row where none is."""
+    rest = [c for c in differences.columns if c not in keys]
+    ordered = F.struct("steps", *[c for c in rest if c != "steps"])
+    first = differences.groupBy(*keys).agg(F.min(ordered).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    return first.filter(F.col("_n") > 0).select(*keys, *[F.col(f"_first.{c}") for c in rest])

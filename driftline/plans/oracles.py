@@ -379,6 +379,21 @@ CONTENT_RULES = r"""r(rule, pattern) AS (VALUES ('host user path', '(?i)[a-z]:[\
   ('private key', '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----'), ('mailbox', '(?i)[a-z0-9._]@[a-z0-9.]'),
   ('long number', '[0-9]{3}[- ][0-9]{2,}'), ('license line', '(?i)license'))"""
 
+# Each kind of planted difference, with its place among those of one document.
+DEEP = "$.deep" + ".d" * 12
+DIFFERENCES = f"""WITH e AS (SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS n, event_id % 10 AS k FROM events), found AS (
+SELECT event_id, '$.k' AS path, 'type' AS difference, 'integer' AS expected_type, 'double' AS actual_type, n::VARCHAR AS expected_value, n::DOUBLE::VARCHAR AS actual_value, 0 AS place FROM e WHERE k = 0
+UNION ALL SELECT event_id, '$.k', 'value', 'integer', 'integer', n::VARCHAR, (n + 1)::VARCHAR, 0 FROM e WHERE k = 1
+UNION ALL SELECT event_id, '$', 'value', 'object', 'object', '["a","a.b","big","deep","k","l"]', '["a","a.b","big","deep","extra","k","l"]', 0 FROM e WHERE k = 2
+UNION ALL SELECT event_id, '$.extra', 'unexpected', NULL, 'array', NULL, '2', 1 FROM e WHERE k = 2
+UNION ALL SELECT event_id, '$.extra[0]', 'unexpected', NULL, 'boolean', NULL, 'true', 2 FROM e WHERE k = 2
+UNION ALL SELECT event_id, '$.extra[1]', 'unexpected', NULL, 'string', NULL, '"x"', 3 FROM e WHERE k = 2
+UNION ALL SELECT event_id, '{DEEP}', 'value', 'integer', 'integer', n::VARCHAR, (n + 1)::VARCHAR, 0 FROM e WHERE k = 3
+UNION ALL SELECT event_id, '$.l[2]', 'type', 'integer', 'null', '2', 'null', 0 FROM e WHERE k = 4
+UNION ALL SELECT event_id, '$.l[10]', 'type', 'integer', 'string', '10', '"10"', 1 FROM e WHERE k = 4
+UNION ALL SELECT event_id, '$.big', 'value', 'integer', 'integer', '12345678901234567890', '12345678901234567891', 0 FROM e WHERE k = 5
+UNION ALL SELECT event_id, '$["a.b"]', 'type', 'integer', 'boolean', '1', 'true', 0 FROM e WHERE k = 6)"""
+
 SQL: dict[str, str] = {
     "scan_events": f"""WITH {SRC} SELECT event_id, 'site_a' AS source_dataset, run_id::VARCHAR AS run_id, scenario, label, event_type,
   stamp AS "timestamp", pkts_toserver, flow_state, modbus_function, round(rudder_angle, 6) AS rudder_angle, NULL::DOUBLE AS throttle_command_left FROM src""",
@@ -589,13 +604,8 @@ SELECT page_id, path, 'prefix' AS rule FROM p WHERE starts_with(path, 'fr/') OR
 UNION ALL SELECT page_id, path, 'exact path' FROM p WHERE path IN ('en/519', 'de/49', 'de/612')
 UNION ALL SELECT page_id, path, 'extension' FROM p WHERE lower(path) LIKE '%.html'""",
     "sensitive_scan": f"WITH {CONTENT_RULES} SELECT doc_id, rule FROM documents JOIN r ON regexp_matches(text, pattern)",
-    "result_diff": """WITH e AS (SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS n, event_id % 10 AS k FROM events)
-SELECT event_id, '$.k' AS path, 'type' AS difference, 'integer' AS expected_type, 'double' AS actual_type, n::VARCHAR AS expected_value, n::DOUBLE::VARCHAR AS actual_value FROM e WHERE k = 0
-UNION ALL SELECT event_id, '$.k', 'value', 'integer', 'integer', n::VARCHAR, (n + 1)::VARCHAR FROM e WHERE k = 1
-UNION ALL SELECT event_id, '$', 'value', 'object', 'object', 'k', 'extra,k' FROM e WHERE k = 2
-UNION ALL SELECT event_id, '$.extra', 'unexpected', NULL, 'array', NULL, '2' FROM e WHERE k = 2
-UNION ALL SELECT event_id, '$.extra[0]', 'unexpected', NULL, 'boolean', NULL, 'true' FROM e WHERE k = 2
-UNION ALL SELECT event_id, '$.extra[1]', 'unexpected', NULL, 'string', NULL, '"x"' FROM e WHERE k = 2""",
+    "result_diff": f"{DIFFERENCES} SELECT * EXCLUDE (place) FROM found",
+    "first_difference": f"{DIFFERENCES} SELECT * EXCLUDE (place) FROM found QUALIFY place = min(place) OVER (PARTITION BY event_id)",
     "phase_labels": f"{LABELLED} SELECT event_id, phase_name, phase_label FROM lb",
     "phase_row_counts": f"{LABELLED} SELECT run_id, phase_name, phase_label, count(*) AS n_rows FROM lb GROUP BY ALL",
     "run_label": f"{LABELLED} SELECT run_id, coalesce(max(phase_label) FILTER (phase_label <> 'normal'), 'normal') AS run_label, count(DISTINCT phase_label) > 1 AS label_is_phase_level FROM lb GROUP BY run_id",

@@ -896,22 +896,45 @@ def artifact_verify(spark, d):
     )
 
 
+def documents_and_rerun(spark, d):
+    """Nested result documents (12 levels, dotted names, 20-digit integers, 12-item lists) and a rerun
+    in which each kind of event differs elsewhere."""
+    rows = fx.load(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("n"))
+    k = F.col("event_id") % 10
+
+    def document(n, deep, list2, list10, big, dotted, extra):
+        nested = F.concat(F.lit('{"d":' * 12), deep, F.lit("}" * 12))
+        items = [F.lit("0,1"), list2, F.lit("3,4,5,6,7,8,9"), list10, F.lit("11")]
+        return F.concat(
+            F.lit('{"k":'), n, F.lit(',"deep":'), nested, F.lit(',"l":['), F.concat_ws(",", *items), F.lit('],"big":'), big,
+            F.lit(',"a.b":'), dotted, F.lit(',"a":{"b":2}'), extra, F.lit("}"),
+        )
+
+    n, one = F.col("n"), F.lit("1")
+    big = F.lit("12345678901234567890")
+    before = document(n, n, F.lit("2"), F.lit("10"), big, one, F.lit(""))
+    after = document(
+        F.when(k == 0, F.concat(n, F.lit(".0"))).when(k == 1, (n.cast("int") + 1).cast("string")).otherwise(n),
+        F.when(k == 3, (n.cast("int") + 1).cast("string")).otherwise(n),
+        F.when(k == 4, F.lit("null")).otherwise(F.lit("2")), F.when(k == 4, F.lit('"10"')).otherwise(F.lit("10")),
+        F.when(k == 5, F.lit("12345678901234567891")).otherwise(big), F.when(k == 6, F.lit("true")).otherwise(one),
+        F.when(k == 2, F.lit(',"extra":[true,"x"]')).otherwise(F.lit("")),
+    )
+    flat = lambda doc: audit.flatten_json(rows.select("event_id", doc.alias("doc")), "event_id", "doc")
+    return audit.result_diff(flat(before), flat(after), ["event_id", "path"])
+
+
+DIFFERENCE = ("event_id", "path", "difference", "expected_type", "actual_type", "expected_value", "actual_value")
+
+
 @query
 def result_diff(spark, d):
-    rows = fx.load(spark, d, "events").select(F.col("event_id"), F.col("props").alias("doc"))
-    n = F.get_json_object("doc", "$.k")
-    k = F.col("event_id")
-    doc = (
-        F.when(k % 10 == 0, F.concat(F.lit('{"k": '), n, F.lit(".0}")))
-        .when(k % 10 == 1, F.concat(F.lit('{"k": '), (n.cast("int") + 1).cast("string"), F.lit("}")))
-        .when(k % 10 == 2, F.concat(F.lit('{"k": '), n, F.lit(', "extra": [true, "x"]}')))
-        .otherwise(F.col("doc"))
-    )
-    before = audit.flatten_json(rows, "event_id", "doc", depth=4)
-    after = audit.flatten_json(rows.withColumn("doc", doc), "event_id", "doc", depth=4)
-    return audit.result_diff(before, after, ["event_id", "path"]).select(
-        "event_id", "path", "difference", "expected_type", "actual_type", "expected_value", "actual_value"
-    )
+    return documents_and_rerun(spark, d).select(*DIFFERENCE)
+
+
+@query
+def first_difference(spark, d):
+    return audit.first_difference(documents_and_rerun(spark, d), ["event_id"]).select(*DIFFERENCE)
 
 
 # --- derived-campaign labelling --------------------------------------------------------------

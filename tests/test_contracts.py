@@ -170,6 +170,26 @@ def test_nested_diff_is_type_strict(spark):
     assert audit.first_difference(diff).first().path == "$.a.b[2]"
     same = audit.result_diff(audit.flatten_json(a, "id", "doc"), audit.flatten_json(a, "id", "doc"), ["id", "path"])
     assert same.count() == 0
+    assert audit.first_difference(same).count() == 0
+
+
+def test_nested_diff_has_no_limits(spark):
+    deep = lambda v: '{"d":' * 300 + v + "}" * 300
+    pairs = {
+        "deep": (deep("1"), deep("2"), ["$" + ".d" * 300]),
+        "paths": ('{"a.b":1,"a":{"b":2}}', '{"a.b":1,"a":{"b":3}}', ["$.a.b"]),
+        "digits": ("[12345678901234567890]", "[12345678901234567891]", ["$[0]"]),
+        "order": ("[0,1,2,3,4,5,6,7,8,9,10]", "[0,1,9,3,4,5,6,7,8,9,9]", ["$[2]", "$[10]"]),
+        "names": ('{"a-b":1,"a":{"z":1}}', '{"a-b":2,"a":{"z":2}}', ["$.a.z", '$["a-b"]']),
+        "same": ('{"x":[{},[],null,-0.0,1e3]}', '{"x":[{},[],null,0.0,1000.0]}', []),
+    }
+    flat = lambda side: audit.flatten_json(
+        spark.createDataFrame([(k, v[side]) for k, v in pairs.items()] + [("none", None)], "id string, doc string"), "id", "doc"
+    )
+    diff = audit.result_diff(flat(0), flat(1), ["id", "path"])
+    got = {k: [r.path for r in diff.filter(f"id = '{k}'").orderBy("steps").collect()] for k in pairs}
+    assert got == {k: v[2] for k, v in pairs.items()}
+    assert {r.id: r.path for r in audit.first_difference(diff, ["id"]).collect()} == {k: v[2][0] for k, v in pairs.items() if v[2]}
 
 
 # --- plan shape ------------------------------------------------------------------------------
