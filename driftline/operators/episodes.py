@@ -61,7 +61,9 @@ def asof_phase(
 
     Timelines are short as a rule. If no run has more than ``dense`` phases the events are joined
     to the run's intervals, which needs no shuffle of the events when the timeline is small. Dense
-    timelines are merged with the events and carried forward in time order instead.
+    timelines are merged with the events and carried forward in time order instead. Both ways give the
+    same rows: an event without time is before all phases, and events without run have the phases
+    without run.
     """
     starts = checkpointed(phase_starts(timeline))
     size = starts.groupBy("run_id").count().agg(
@@ -73,7 +75,7 @@ def asof_phase(
         small = (size["n_phases"] or 0) <= BROADCAST_ROWS
         lookup = (F.broadcast(intervals) if small else intervals).alias("p")
         inside = (
-            (F.col("e.run_id") == F.col("p.run_id"))
+            F.col("e.run_id").eqNullSafe(F.col("p.run_id"))
             & (F.col("p.start_us") <= F.col(f"e.{time}"))
             & (F.col("p.end_us").isNull() | (F.col(f"e.{time}") < F.col("p.end_us")))
         )
@@ -126,7 +128,9 @@ def with_episode(
     phase_column: str | None = None,
     split: Split = Split(),
 ) -> DataFrame:
-    """Add ``basis`` and ``episode`` (the phase part of the key, null on a whole-run basis).
+    """Add ``basis`` and ``episode`` (the phase part of the key, empty on a whole-run basis).
+
+    Neither depends on scores: call it on one row per event, before seeds fan out.
 
     The episode of a row is the pair (run, episode): a phase name that recurs in a run is one episode.
     """

@@ -2,10 +2,10 @@
 
 A plain window sends every row of a key to one task. Each operator here first counts rows per
 key (a map-side combined aggregate). If no key is larger than ``limit`` the plain window is the
-right plan and is used as is. Otherwise the large keys are cut at quantiles of the ordering
-column into segments of about ``limit`` rows; windows run per (key, segment), one summary row per segment is
-carried across segments, and the small summary is joined back on the (key, segment) partitioning
-the window has already produced. Cut points are checkpointed, so a retried task sees the same ones.
+right plan and is used as is. Otherwise rows are dealt by ranges of (key, order, tie) into segments
+of about ``limit`` rows and written; windows run per (key, segment), one summary row per segment is
+carried across segments and joined back. A hot key, even a hot stamp within a key, is spread over
+tasks, and a retried task sees the same segments. Null keys are keys like any other.
 
 Counting reads the input once more. Callers therefore pass either a scan, of which the count needs
 the key column only, or an aggregate they have checkpointed.
@@ -19,19 +19,17 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.session import shared_dir
+from driftline.session import materialize, shared_dir
 
 ROW_LIMIT = 5_000_000
-MAX_PIECES = 4096
 BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
 class Split:
-    """When to cut a key (more than ``limit`` rows) and into how many segments at most."""
+    """When to cut keys: above ``limit`` rows of one key, into segments of about as many."""
 
     limit: int = ROW_LIMIT
-    max_pieces: int = MAX_PIECES
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -48,41 +46,26 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table
 
 
-def _cut_points(df: DataFrame, keys: list[str], order: str, split: Split) -> DataFrame | None:
-    """``(keys, _edges)`` of every key above the limit, or None when there is none.
+def _segments(df: DataFrame, keys: list[str], order: list[str], split: Split) -> DataFrame | None:
+    """Rows with ``_segment``, or None where no key exceeds the limit.
 
-    The number of cuts follows the largest key. Quantile sketches merge map-side, so a hot key
-    is never gathered; their error is a quarter of a segment.
+    Rows are dealt by ranges of (keys, order) and written, so that a retried task sees the same
+    segments. Cuts may fall anywhere, also among rows of one key and one stamp; segment numbers
+    ascend with the order. There is no bound on the number of segments.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    largest = counts.agg(F.max("_rows").alias("n")).first()["n"] or 0
-    if largest <= split.limit:
+    size = counts.agg(F.max("_rows").alias("largest"), F.sum("_rows").alias("rows")).first()
+    if (size["largest"] or 0) <= split.limit:
         return None
-    hot = counts.filter(F.col("_rows") > split.limit)
-    pieces = max(2, min(split.max_pieces, ceil(largest / split.limit)))
-    fractions = [i / pieces for i in range(1, pieces)]
-    edges = (
-        df.join(small_side(hot.select(*keys)), keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx(order, fractions, 4 * pieces).alias("_edges"))
-    )
-    return small_side(edges, max(1, 4 * BROADCAST_ROWS // pieces))
-
-
-def _edges_below(edges: str, value: str, most: int) -> Column:
-    """How many of the sorted ``edges`` lie below ``value``, by halving steps."""
-    steps = [1 << i for i in reversed(range(most.bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, step: F.when(F.get(edges, at + step - 1) < F.col(value), at + step).otherwise(at),
-    )
+    dealt = df.repartitionByRange(ceil(size["rows"] / split.limit), *keys, *order)
+    return materialize(dealt.withColumn("_segment", F.spark_partition_id()), "segments")
 
 
-def _with_segment(df: DataFrame, edges: DataFrame, keys: list[str], order: str, split: Split) -> DataFrame:
-    below = _edges_below("_edges", order, split.max_pieces)
-    segment = F.when(F.col("_edges").isNull() | F.col(order).isNull(), 0).otherwise(below)
-    return df.join(edges, keys, "left").withColumn("_segment", segment).drop("_edges")
+def _join_carry(rows: DataFrame, carry: DataFrame, parts: list[str]) -> DataFrame:
+    """``rows`` with the columns of their segment; null keys meet null keys."""
+    named = carry.select(*[F.col(c).alias(f"_at_{c}" if c in parts else c) for c in carry.columns])
+    same = [rows[c].eqNullSafe(named[f"_at_{c}"]) for c in parts]
+    return rows.join(named, same).drop(*[f"_at_{c}" for c in parts])
 
 
 def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str], bool]:
@@ -100,8 +83,8 @@ def running_sum(
     """Add ``<c>_before`` (sum over strictly earlier rows) and ``<c>_total`` (sum over the key)."""
     df, keys, dummy = _keyed(df, keys)
     ordering = [order, *(tie or [])]
-    edges = _cut_points(df, keys, order, split)
-    if edges is None:
+    rows = _segments(df, keys, ordering, split)
+    if rows is None:
         group = Window.partitionBy(*keys)
         before = group.orderBy(*ordering).rowsBetween(Window.unboundedPreceding, -1)
         out = df
@@ -111,7 +94,6 @@ def running_sum(
         return out.drop("_all") if dummy else out
 
     parts = [*keys, "_segment"]
-    rows = _with_segment(df, edges, keys, order, split)
     sums = rows.groupBy(*parts).agg(*[F.sum(c).alias(f"_{c}") for c in columns])
     over_segments = Window.partitionBy(*keys)
     earlier = over_segments.orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
@@ -124,7 +106,7 @@ def running_sum(
     out = rows
     for c in columns:
         out = out.withColumn(f"_{c}_inside", F.coalesce(F.sum(c).over(inside), F.lit(0)))
-    out = out.join(carry, parts)
+    out = _join_carry(out, carry, parts)
     for c in columns:
         out = out.withColumn(f"{c}_before", F.col(f"_{c}_inside") + F.col(f"_{c}_carry"))
     names = [c for c in df.columns if c != "_all" or not dummy]
@@ -141,18 +123,17 @@ def previous_row(
 ) -> DataFrame:
     """Add ``previous``: a struct of ``columns`` from the preceding row of the key, null on the first."""
     payload = F.struct(*columns)
-    edges = _cut_points(df, keys, order, split)
-    if edges is None:
+    rows = _segments(df, keys, [order, *tie], split)
+    if rows is None:
         w = Window.partitionBy(*keys).orderBy(order, *tie)
         return df.withColumn("previous", F.lag(payload).over(w))
 
     parts = [*keys, "_segment"]
-    rows = _with_segment(df, edges, keys, order, split)
     last = rows.groupBy(*parts).agg(F.max_by(payload, F.struct(order, *tie)).alias("_last"))
     over_segments = Window.partitionBy(*keys).orderBy("_segment")
     carry = last.select(*parts, F.lag("_last").over(over_segments).alias("_carry"))
     inside = Window.partitionBy(*parts).orderBy(order, *tie)
-    out = rows.withColumn("_inside", F.lag(payload).over(inside)).join(carry, parts)
+    out = _join_carry(rows.withColumn("_inside", F.lag(payload).over(inside)), carry, parts)
     return out.select(*df.columns, F.coalesce("_inside", "_carry").alias("previous"))
 
 
@@ -167,13 +148,12 @@ def carry_forward(
 ) -> DataFrame:
     """Add ``name``: the latest non-null ``value`` at or before each row of the key."""
     df = df.withColumn(name, value)
-    edges = _cut_points(df, keys, order, split)
-    if edges is None:
+    rows = _segments(df, keys, [order, *tie], split)
+    if rows is None:
         w = Window.partitionBy(*keys).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.last(name, ignorenulls=True).over(w))
 
     parts = [*keys, "_segment"]
-    rows = _with_segment(df, edges, keys, order, split)
     last = rows.groupBy(*parts).agg(
         F.max_by(F.col(name), F.when(F.col(name).isNotNull(), F.struct(order, *tie))).alias("_last")
     )
@@ -182,7 +162,7 @@ def carry_forward(
     )
     carry = last.select(*parts, F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
     inside = Window.partitionBy(*parts).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("_inside", F.last(name, ignorenulls=True).over(inside)).join(carry, parts)
+    out = _join_carry(rows.withColumn("_inside", F.last(name, ignorenulls=True).over(inside)), carry, parts)
     names = [c for c in df.columns if c != name]
     return out.select(*names, F.coalesce("_inside", "_carry").alias(name))
 

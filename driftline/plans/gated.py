@@ -135,20 +135,17 @@ def gated_eval(
     wide = thresholds.join(event_rates(predicted, ["seed"]), "seed", "left")
     wide = wide.join(alarm_load(predicted, ["seed"]), "seed", "left")
 
-    masked = predicted.filter(F.col("family").isin(list(ATTACKS)) & (F.col("y") == 1))
+    events = scored.withColumn("family", scenario_family("scenario"))
+    masked = events.filter(F.col("family").isin(list(ATTACKS)) & (F.col("y") == 1))
     keys = ["seed", "family"]
     if entries is None:
         timeline = masked.select("run_id", "t_us", F.lit("").alias("name")).limit(0)
     else:
         timeline = run_timeline(test, entries, phase_timeline(entries))
     timeline = materialize(timeline, "timeline")
-    episodes = materialize(
-        episode_summary(
-            with_episode(masked, timeline, keys, phase[0] if phase else None),
-            [*keys, "basis"],
-        ),
-        "episodes",
-    )
+    keyed = with_episode(masked, timeline, ["family"], phase[0] if phase else None)
+    keyed = apply_threshold(by_seed(keyed, seeds), thresholds, ["seed"])
+    episodes = materialize(episode_summary(keyed, [*keys, "basis"]), "episodes")
     hits = episode_hits(episodes, [*keys, "basis"])
     recall = episode_recall_ci(hits, keys, replicates)
     latency = detection_latency(episodes, keys)

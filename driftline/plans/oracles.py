@@ -195,14 +195,20 @@ STRICT_COLUMNS = f"""round(coalesce(rudder_angle / 35.0, 0), 6) AS rudder_norm,
   round(rate, 6) AS rudder_rate, {RUDDER_BAND}"""
 PROXY_COLUMNS = f"""round(coalesce({PROPULSION}, 0), 6) AS propulsion_demand_norm,
   ((throttle_command_left IS NOT NULL) OR (throttle_command_right IS NOT NULL))::INTEGER AS propulsion_demand_norm_present, {PROPULSION_BAND}"""
-RATE_ONLY = f"{RATE_CTE} SELECT event_id, round(rate, 6) AS rudder_rate FROM rated"
+TIED = RATE_CTE.replace(
+    "SELECT event_id, t_us, rudder_angle / 35.0 AS v, run_id",
+    "SELECT event_id, CASE event_id % 10 WHEN 0 THEN 1704700000000000 ELSE t_us END AS t_us, rudder_angle / 35.0 AS v, "
+    "CASE event_id % 10 WHEN 0 THEN 'normal-r01' ELSE run_id END AS run_id",
+)
+RATE_ONLY = f"{TIED} SELECT event_id, round(rate, 6) AS rudder_rate FROM rated"
 FPR_CURVE = f"""WITH {SRC}, {validation(FEW)}, {threshold('va', '0.01', 'thr')}
 SELECT seed, round(score, 6) AS score, at_or_above::BIGINT AS at_or_above, round(fpr, 6) AS fpr FROM thr_rate"""
 QUANTILES = """SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.025), 6) AS q025, round(quantile_cont(value, 0.5), 6) AS median,
   round(quantile_cont(value, 0.99), 6) AS q99 FROM events GROUP BY event_type"""
-ASOF = f"""WITH {TGT}, e AS (SELECT event_id, run_id, CASE WHEN event_id % 101 <> 0 THEN t_us END AS t_us FROM tgt)
+ASOF = f"""WITH {TGT}, e AS (SELECT event_id, CASE WHEN event_id % 103 <> 0 THEN run_id END AS run_id, CASE WHEN event_id % 101 <> 0 THEN t_us END AS t_us FROM tgt),
+p AS (SELECT run_id, run_id AS k, name, t_us FROM timeline UNION ALL SELECT NULL, '', name, t_us FROM timeline WHERE run_id = 'recon-r01')
 SELECT e.event_id, e.run_id, coalesce(p.name, 'pre-phase') AS phase_name, p.t_us AS phase_start_us
-FROM e ASOF LEFT JOIN timeline p ON e.run_id = p.run_id AND e.t_us >= p.t_us"""
+FROM (SELECT *, coalesce(run_id, '') AS k FROM e) e ASOF LEFT JOIN p ON e.k = p.k AND e.t_us >= p.t_us"""
 AUC_EVENT = f"WITH {TGT}, {scores(ALL)} {auc('sc', 'seed')}"
 SPLIT_SOLO = f"""solo AS (SELECT s.seed, event_id, row_number() OVER (PARTITION BY s.seed ORDER BY {h('s.seed', 'event_id')}, event_id) - 1 AS pos,
   count(*) OVER (PARTITION BY s.seed) AS n FROM src CROSS JOIN (SELECT unnest({FEW}) AS seed) s),

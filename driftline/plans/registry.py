@@ -60,7 +60,7 @@ MAX_FPR = 0.01
 REPLICATES = 2000
 BOOTSTRAP_SEED = 20260817
 # Forces the hot-key plan on test-sized tables; production keeps the default limit.
-TINY_SPLIT = Split(limit=100, max_pieces=50)
+TINY_SPLIT = Split(limit=100)
 
 
 def query(fn: Query) -> Query:
@@ -306,10 +306,14 @@ def run_name_family(spark, d):
 
 
 def _rate(split: Split) -> Query:
+    """A tenth of the events shares one run and one stamp."""
+
     def run(spark, d):
         df = features.with_time(target(spark, d))
         value = role_value(DEFAULT_ROLES, RUDDER, df.columns)
-        df = df.select("event_id", "run_id", "t_us", value.alias("rudder"))
+        tied = F.col("event_id") % 10 == 0
+        run_id, t = F.when(tied, "normal-r01").otherwise(F.col("run_id")), F.when(tied, 1704700000000000).otherwise(F.col("t_us"))
+        df = df.select("event_id", run_id.alias("run_id"), t.alias("t_us"), value.alias("rudder"))
         return features.rate_of_change(df, "rudder", "rudder_rate", split).select("event_id", r6("rudder_rate").alias("rudder_rate"))
 
     return run
@@ -581,10 +585,15 @@ QUERIES["quantiles_hot"] = _quantiles(TINY_SPLIT)
 
 
 def _asof(dense: int, split: Split) -> Query:
+    """Some events have no time, some no run; the run-less phases are those of one run."""
+
     def run(spark, d):
         t = F.when(F.col("event_id") % 101 != 0, F.col("t_us"))
-        rows = target(spark, d).select("event_id", "run_id", t.alias("t_us"))
-        out = episodes.asof_phase(rows, timeline(spark, d), dense=dense, split=split)
+        r = F.when(F.col("event_id") % 103 != 0, F.col("run_id"))
+        rows = target(spark, d).select("event_id", r.alias("run_id"), t.alias("t_us"))
+        lines = timeline(spark, d)
+        shared = lines.filter(F.col("run_id") == "recon-r01").withColumn("run_id", F.lit(None).cast("string"))
+        out = episodes.asof_phase(rows, lines.unionByName(shared), dense=dense, split=split)
         return out.select("event_id", "run_id", "phase_name", "phase_start_us")
 
     return run
@@ -617,9 +626,13 @@ def episode_basis(spark, d):
 
 
 def episode_table(spark, d, seeds):
-    rows = attack_rows(predicted_target(spark, d, seeds))
-    keyed = episodes.with_episode(rows, timeline(spark, d), ["seed", "family"], "phase")
-    return materialize(episodes.episode_summary(keyed, ["seed", "family"]), "episodes")
+    """Episodes are attached once per event; then the seeds fan out."""
+    events = attack_rows(pools.with_family(target(spark, d)).withColumn("y", is_attack()))
+    keyed = episodes.with_episode(events, timeline(spark, d), ["family"], "phase")
+    keyed = keyed.select("event_id", "run_id", "family", "label", "t_us", "y", "basis", "episode")
+    scored_rows = fx.hash_votes(splits.with_seeds(keyed, seeds))
+    predicted = thresholds.apply_threshold(scored_rows, source_thresholds(spark, d, seeds), ["seed"])
+    return materialize(episodes.episode_summary(predicted, ["seed", "family"]), "episodes")
 
 
 @query

@@ -142,18 +142,25 @@ def test_hot_key_is_cut_into_even_segments(spark):
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("k"), F.col("id").alias("t")
     )
     split = Split(limit=500)
-    edges = ordered._cut_points(df, ["k"], "t", split)
-    parts = ordered._with_segment(df, edges, ["k"], "t", split).groupBy("k", "_segment").count()
-    assert parts.filter("k = 'hot'").count() == 20
+    parts = ordered._segments(df, ["k"], ["t"], split).groupBy("k", "_segment").count()
+    assert parts.filter("k = 'hot'").count() >= 20
     assert parts.agg(F.max("count")).first()[0] < 1.6 * split.limit
-    assert ordered._cut_points(df, ["k"], "t", Split(limit=10_001)) is None
+    assert ordered._segments(df, ["k"], ["t"], Split(limit=10_001)) is None
 
 
-def test_search_counts_edges_below(spark):
-    edges = sorted([3, 3, 7, 11, 20, 21, 22])
-    df = spark.range(25).withColumn("_edges", F.array(*[F.lit(e) for e in edges]))
-    got = df.select("id", ordered._edges_below("_edges", "id", 8).alias("n")).collect()
-    assert {r.id: r.n for r in got} == {i: sum(e < i for e in edges) for i in range(25)}
+def test_one_stamp_is_cut_too(spark):
+    """Equal stamps are ordered by the tie and spread over segments; null keys keep their rows."""
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, "hot").alias("k"), F.lit(5).alias("t"), "id", F.lit(1).alias("one")
+    )
+    split = Split(limit=100)
+    parts = ordered._segments(df, ["k"], ["t", "id"], split).groupBy("_segment").count()
+    assert parts.agg(F.max("count")).first()[0] < 2 * split.limit
+    for cut in (Split(), split):
+        got = {r.id: (r.one_before, r.one_total) for r in running_sum(df, ["k"], "t", ["one"], tie=["id"], split=cut).collect()}
+        assert got == {i: (sum(j % 3 > 0 for j in range(i)), 2000) if i % 3 else (i // 3, 1000) for i in range(3000)}
+        back = {r.id: r.previous and r.previous.id for r in ordered.previous_row(df, ["k"], "t", ["id"], ["id"], cut).collect()}
+        assert back == {i: (i - 3 if i % 3 == 0 else i - (2 if i % 3 == 1 else 1)) if i > 2 or i == 2 else None for i in range(3000)}
 
 
 @pytest.mark.parametrize("segment_cells", [10**9, 40])
