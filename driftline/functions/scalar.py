@@ -14,15 +14,30 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+WHITE_SPACE = " \t\n\x0b\x0c\r"
+#: Numbers as text; the engine's own casts would also take type suffixes such as ``3f`` and ``1.5d``.
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity)$"
+
+
+def stripped(c: str | Column) -> Column:
+    """Text without white space at either end."""
+    return F.btrim(col(c).cast("string"), F.lit(WHITE_SPACE))
+
+
 def safe_double(c: str | Column) -> Column:
-    """Double value; unparsable text, NaN and missing all become null."""
-    value = col(c).try_cast("double")
+    """Double value; text that is no number, NaN and missing all become null.
+
+    The type is known when the plan is made, so numeric columns are cast without looking at text.
+    """
+    text = stripped(c)
+    value = F.when(F.typeof(col(c)) != "string", col(c).try_cast("double"))
+    value = value.when(text.rlike(NUMBER), text.try_cast("double"))
     return F.when(F.isnan(value), None).otherwise(value)
 
 
 def scenario_family(c: str | Column) -> Column:
     """Family a scenario name equals or ends with (``<domain>_<family>``), else ``other``."""
-    name = F.lower(F.trim(col(c)))
+    name = F.lower(stripped(c))
     result = F.lit(None)
     for family in reversed(FAMILIES):
         hit = (name == family) | name.endswith(f"_{family}")
@@ -43,7 +58,7 @@ def epoch_micros(c: str | Column) -> Column:
 
     A stamp without offset is UTC, whatever the session's time zone.
     """
-    text = F.trim(col(c))
+    text = stripped(c)
     day_only = text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
     no_offset = text.contains(":") & ~text.rlike("([zZ]|[+-][0-9]{2}(:?[0-9]{2})?)$")
     stamp = (

@@ -3,9 +3,10 @@
 A resample repeats every event of a drawn run, so a replicate is described by one integer per
 run: how often it was drawn. Metrics of a replicate are the ordinary metrics with each count
 multiplied by that integer. Events are therefore counted once per (score, run, family); the
-score range is cut into segments; each task computes the pair counts of all replicates for one
-segment, and segment totals are chained afterwards. Work grows with the counted rows, not with
-pairs of runs, and no resampled copy exists.
+score range is cut into segments, the replicates into blocks; each task computes the pair counts of
+one block for one segment, and segment totals are chained afterwards. Draw counts are sent to a task
+once per run, not with every counted row. Work grows with the counted rows, not with pairs of runs,
+and no resampled copy exists.
 """
 
 from __future__ import annotations
@@ -21,19 +22,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.functions.scalar import hash32
-from driftline.operators.ordered import Split, checkpointed, running_sum, small_side
+from driftline.operators.ordered import Split, checkpointed, running_sum
 from driftline.operators.ranking import ALL_FAMILIES, PRIMARY_METRICS, metric_columns
 
 DRAW_BLOCK = 4096
-SEGMENT_CELLS = 1_000_000
-MAX_SEGMENTS = 20_000
+SEGMENT_CELLS = 50_000
+#: Draw counts (runs times replicates) that one task holds.
+BLOCK_DRAWS = 4_000_000
 
 
 def _draws(strata: DataFrame, replicates: int, size: str) -> DataFrame:
-    """One row per (stratum, replicate, draw); long strata are expanded block by block."""
+    """One row per (stratum, replicate, draw); long strata are expanded block by block.
+
+    The few rows of strata, replicates and blocks are dealt to all partitions before the draws are
+    made. The number is stated, since a runtime that merges small partitions would undo it.
+    """
     blocks = strata.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     last = F.floor((F.col(size) - 1) / DRAW_BLOCK)
     blocks = blocks.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    tasks = int(strata.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.repartition(tasks, "replicate", "_block")
     start = F.col("_block") * DRAW_BLOCK
     stop = F.least(start + DRAW_BLOCK, F.col(size).cast("bigint")) - 1
     return blocks.withColumn("draw", F.explode(F.sequence(start, stop))).drop("_block")
@@ -67,28 +75,31 @@ def resample_multiplicity(
     )
 
 
-def _vectors(multiplicity: DataFrame, replicates: int) -> DataFrame:
-    """One row per run with its draw counts over all replicates as a dense array.
-
-    Zero rows for every replicate of a run fill the gaps, so the array is in replicate order.
-    """
-    every = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
-    zeros = multiplicity.select("run_id").distinct().select(every, "run_id", F.lit(0).cast("bigint").alias("m"))
-    dense = multiplicity.unionByName(zeros).groupBy("run_id", "replicate").agg(
-        F.sum("m").cast("smallint").alias("m")
+def _draw_lists(multiplicity: DataFrame, width: int) -> DataFrame:
+    """Per (run, block of ``width`` replicates) the replicates that draw it and how often."""
+    block = F.floor(F.col("replicate") / width).cast("int").alias("block")
+    return multiplicity.groupBy("run_id", block).agg(
+        F.collect_list("replicate").alias("at"), F.collect_list(F.col("m").cast("int")).alias("times")
     )
-    ordered = F.array_sort(F.collect_list(F.struct("replicate", "m")))
-    return dense.groupBy("run_id").agg(F.transform(ordered, lambda x: x["m"]).alias("m"))
 
 
-def _segment_pairs(families: Sequence[str], replicates: int):
-    """Per-segment pair counts of all replicates; rows of equal score always share a segment."""
+def _segment_pairs(families: Sequence[str], all_replicates: int, width: int):
+    """Pair counts of one segment for one block of replicates; rows of equal score share a segment."""
     index = {f: i for i, f in enumerate(families)}
     k = len(families)
     max_cells = 4_000_000
 
-    def compute(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    def compute(key: tuple, frame: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        segment, block = key
+        first_replicate = block * width
+        replicates = min(width, all_replicates - first_replicate)
+        runs = pd.Index(drawn["run_id"])
+        # The last row stands for runs that no replicate of the block draws.
+        draw_counts = np.zeros((len(runs) + 1, replicates))
+        for i, (at, times) in enumerate(zip(drawn["at"], drawn["times"])):
+            draw_counts[i, np.asarray(at) - first_replicate] = times
         frame = frame.sort_values("score", kind="stable")
+        run = runs.get_indexer(frame["run_id"])
         scores = frame["score"].to_numpy()
         family = frame["family"].map(index).to_numpy()
         pos, neg = frame["pos"].to_numpy(float), frame["neg"].to_numpy(float)
@@ -104,14 +115,14 @@ def _segment_pairs(families: Sequence[str], replicates: int):
             slot = np.repeat(np.arange(last - first), np.diff(bounds[first : last + 1]))
             p = np.zeros((last - first, k, replicates))
             n = np.zeros((last - first, k, replicates))
-            draws = np.stack(frame["m"].iloc[lo:hi].to_list()).astype(float)
+            draws = draw_counts[run[lo:hi]]
             np.add.at(p, (slot, family[lo:hi]), pos[lo:hi, None] * draws)
             np.add.at(n, (slot, family[lo:hi]), neg[lo:hi, None] * draws)
             ahead = np.cumsum(n, axis=0)
             twice += np.einsum("spb,snb->pnb", p, 2.0 * (below + ahead - n) + n, optimize=True)
             below += ahead[-1]
             pos_all += p.sum(axis=0)
-        out = {"segment": key[0], "replicate": np.arange(replicates)}
+        out = {"segment": segment, "replicate": np.arange(replicates) + first_replicate}
         for f, i in index.items():
             out[f"pos_{f}"], out[f"neg_{f}"] = pos_all[i], below[i]
             for g, j in index.items():
@@ -144,8 +155,8 @@ def replicate_metrics(
 ) -> DataFrame:
     """The four primary metrics of every replicate, family weights recomputed inside each.
 
-    A task holds one score segment of about ``segment_cells`` entries, an entry being the draw
-    counts of one (score, run, family). Only one number per cut passes through the driver.
+    A task holds one score segment of about ``segment_cells`` (score, run, family) counts and the draw
+    counts of one block of replicates. Only one number per cut passes through the driver.
     """
     cells = checkpointed(
         scored.groupBy("score", "run_id", "family").agg(
@@ -153,18 +164,27 @@ def replicate_metrics(
             F.sum((F.col("y") == 0).cast("bigint")).alias("neg"),
         )
     )
-    multiplicity = resample_multiplicity(cells, replicates, seed)
-    vectors = small_side(_vectors(multiplicity, replicates), 8_000_000 // replicates)
-    segments = min(MAX_SEGMENTS, max(1, ceil(cells.count() * replicates / segment_cells)))
-    located = _with_segment(cells, segments)
-    rows = located.join(vectors, "run_id").select("segment", "score", "family", "pos", "neg", "m")
+    multiplicity = checkpointed(resample_multiplicity(cells, replicates, seed))
+    size = cells.agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("run_id").alias("runs")).first()
+    width = max(1, min(replicates, BLOCK_DRAWS // max(1, size["runs"])))
+    blocks = ceil(replicates / width)
+    segments = max(1, ceil(size["cells"] / segment_cells))
+    located = _with_segment(cells, segments).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    lists = _draw_lists(multiplicity, width).withColumn(
+        "segment", F.explode(F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda s: s.cast("double")))
+    )
     names = [f"{s}_{f}" for f in families for s in ("pos", "neg")]
     pairs = [(f, g) for f in families for g in families]
     schema = T.StructType(
         [T.StructField("segment", T.DoubleType()), T.StructField("replicate", T.IntegerType())]
         + [T.StructField(n, T.DoubleType()) for n in [*names, *[f"twice_{f}_{g}" for f, g in pairs]]]
     )
-    parts = rows.groupBy("segment").applyInPandas(_segment_pairs(families, replicates), schema)
+    pairs_of = _segment_pairs(families, replicates, width)
+
+    def compute(key: tuple, frame: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        return pairs_of(key, frame, drawn) if len(frame) else pd.DataFrame(columns=schema.names)
+
+    parts = located.groupBy("segment", "block").cogroup(lists.groupBy("segment", "block")).applyInPandas(compute, schema)
 
     earlier = Window.partitionBy("replicate").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     chained = parts.select(

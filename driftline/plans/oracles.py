@@ -289,10 +289,6 @@ cell AS (SELECT seed, run_id, scenario, avg((score >= threshold)::INTEGER) AS ce
   FROM st JOIN thr USING (seed) GROUP BY ALL)"""
 
 
-DAY_EPISODES = """ep AS (SELECT seed, family, run_id, (t_us // 86400000000)::VARCHAR AS episode, max(pred) AS hit,
-  min(t_us) AS first_us, min(t_us) FILTER (pred = 1) AS alarm_us FROM atk GROUP BY ALL)"""
-
-
 def recall_ci(replicates: int, source: str = "ep") -> str:
     return f"""
 hits AS (SELECT seed, family, count(*) AS n_episodes, sum(hit)::BIGINT AS n_hit FROM {source} GROUP BY ALL),
@@ -385,6 +381,12 @@ CONTENT_RULES = r"""r(rule, pattern) AS (VALUES ('host user path', '(?i)[a-z]:[\
   ('private key', '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----'), ('mailbox', '(?i)[a-z0-9._]@[a-z0-9.]'),
   ('long number', '[0-9]{3}[- ][0-9]{2,}'), ('license line', '(?i)license'))"""
 
+# Episodes by phase and by UTC day, all seeds.
+EPISODES = f"""{predicted(ALL)}, rows_of AS (
+  SELECT 'phase' AS scope, seed, family, run_id, phase AS episode, pred, t_us FROM pr WHERE {ATTACKS}
+  UNION ALL SELECT 'day', seed, family, run_id, (t_us // 86400000000)::VARCHAR, pred, CASE WHEN event_id % 7 <> 0 THEN t_us END FROM pr WHERE {ATTACKS}),
+ep AS (SELECT scope, seed, family, run_id, episode, max(pred) AS hit, min(t_us) AS first_us, min(t_us) FILTER (pred = 1) AS alarm_us FROM rows_of GROUP BY ALL)"""
+
 # Each kind of planted difference, with its place among those of one document.
 DEEP = "$.deep" + ".d" * 12
 DIFFERENCES = f"""WITH e AS (SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS n, event_id % 10 AS k FROM events), found AS (
@@ -408,7 +410,7 @@ SQL: dict[str, str] = {
     "manifest_rows": f"WITH {DOC_FILES} SELECT path, bytes, sha256, true AS tag_ok FROM df",
     "result_rounded": f"""WITH {predicted(FEW)}, w AS (SELECT seed, {THRESHOLD_METRICS.replace('round(', '(').replace(', 6)', ')')} FROM pr GROUP BY seed)
 SELECT seed, metric, round_even(value, 6) AS value FROM (UNPIVOT w ON normal_fpr, fault_fpr, manipulation_recall, recon_recall INTO NAME metric VALUE value)""",
-    "safe_numeric": "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN round(value, 6) END AS num FROM events",
+    "safe_numeric": """SELECT event_id, CASE event_id % 8 WHEN 0 THEN round(value, 6) WHEN 3 THEN round(value, 6) WHEN 7 THEN 1500.0 END AS num FROM events""",
     "role_normalize": f"""WITH {SRC} SELECT event_id, round(rudder_angle / 35.0, 6) AS rudder_norm, round(rpm_command / 1200.0, 6) AS propulsion_demand_norm FROM src""",
     "role_coalesce": f"""WITH {TGT} SELECT event_id, round({PROPULSION}, 6) AS propulsion_demand_norm,
   round((coalesce(rudder_angle / 35.0, 0) + pkts_toclient / 35.0) / (1 + (rudder_angle IS NOT NULL)::INTEGER), 6) AS mixed_mean FROM tgt""",
@@ -416,8 +418,8 @@ SELECT seed, metric, round_even(value, 6) AS value FROM (UNPIVOT w ON normal_fpr
   ({PROPULSION} IS NOT NULL)::INTEGER AS propulsion_demand_norm_present, (rudder_angle IS NOT NULL)::INTEGER AS rudder_norm_present FROM tgt""",
     "physical_band": f"WITH {TGT} SELECT event_id, {RUDDER_BAND}, {PROPULSION_BAND} FROM tgt",
     "write_filter": f"WITH {TGT} SELECT event_id, (coalesce(modbus_function, 0) IN (5, 6, 15, 16))::INTEGER AS is_write FROM tgt",
-    "scenario_family": f"""WITH {TGT}, r AS (SELECT CASE event_id % 4 WHEN 0 THEN scenario WHEN 1 THEN ' ' || upper(scenario) || ' ' WHEN 2 THEN family ELSE family || '_x' END AS raw FROM tgt)
-SELECT raw, {FAMILY_OF} AS family, count(*) AS n_rows FROM (SELECT raw, lower(trim(raw)) AS n FROM r) GROUP BY ALL""",
+    "scenario_family": f"""WITH {TGT}, r AS (SELECT CASE event_id % 4 WHEN 0 THEN scenario WHEN 1 THEN chr(10) || ' ' || upper(scenario) || chr(9) WHEN 2 THEN family ELSE family || '_x' END AS raw FROM tgt)
+SELECT raw, {FAMILY_OF} AS family, count(*) AS n_rows FROM (SELECT raw, lower(trim(raw, ' ' || chr(9) || chr(10))) AS n FROM r) GROUP BY ALL""",
     "epoch_seconds": "SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN round(epoch_us(ts) / 1e6, 6) END AS epoch_sec FROM events",
     "features_flow": f"WITH {TGT} SELECT {FLOW_COLUMNS} FROM tgt",
     "features_protocol": f"WITH {TGT} SELECT {FLOW_COLUMNS}, {PROTOCOL_COLUMNS} FROM tgt",
@@ -515,18 +517,22 @@ UNION ALL SELECT run_id, 1704672000000000, 'act' FROM runs12 WHERE run_id LIKE '
   c AS has_column FROM tgt CROSS JOIN (SELECT unnest([true, false]) AS c) WHERE {ATTACKS}""",
     "episode_hits": f"""WITH {predicted(ALL)}, ep AS (SELECT seed, family, run_id, phase, max(pred) AS hit FROM pr WHERE {ATTACKS} GROUP BY ALL)
 SELECT seed, family, count(*) AS n_episodes, sum(hit)::BIGINT AS n_hit, round(avg(hit), 6) AS recall_episode FROM ep GROUP BY ALL""",
-    "episode_recall_ci": f"""WITH {predicted(FEW)}, atk AS (SELECT * FROM pr WHERE {ATTACKS}), {DAY_EPISODES}, {recall_ci(200)}
-SELECT seed, family, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, n_episodes FROM rci""",
-    "detection_latency": f"""WITH {predicted(FEW)}, atk AS (SELECT * REPLACE (CASE WHEN event_id % 7 <> 0 THEN t_us END AS t_us), (t_us // 86400000000) AS day FROM pr WHERE {ATTACKS}),
-ep AS (SELECT seed, family, run_id, day, max(pred) AS hit, min(t_us) AS first_us, min(t_us) FILTER (pred = 1) AS alarm_us FROM atk GROUP BY ALL),
+    "episode_recall_ci": f"""WITH {EPISODES},
+hits AS (SELECT scope, seed, family, count(*) AS n_episodes, sum(hit)::BIGINT AS n_hit FROM ep GROUP BY ALL),
+boot AS (SELECT scope, seed, family, b.replicate, avg(({h('seed', 'scope', 'family', 'b.replicate', 'j.draw')} % n_episodes < n_hit)::INTEGER) AS value
+  FROM hits CROSS JOIN (SELECT unnest(range(2000)) AS replicate) b JOIN (SELECT unnest(range(10000)) AS draw) j ON j.draw < n_episodes GROUP BY ALL)
+SELECT scope, seed, family, round(any_value(n_hit / n_episodes), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS lo,
+  round(quantile_cont(value, 0.975), 6) AS hi, any_value(n_episodes) AS n_episodes FROM hits JOIN boot USING (scope, seed, family) GROUP BY scope, seed, family""",
+    "detection_latency": f"""WITH {EPISODES},
 l AS (SELECT *, hit = 0 OR first_us IS NULL AS missed, (alarm_us - first_us) / 1e6 AS lat FROM ep)
-SELECT seed, family, round(median(lat) FILTER (NOT missed), 6) AS median_sec, round(avg(lat) FILTER (NOT missed), 6) AS mean_sec,
+SELECT scope, seed, family, round(median(lat) FILTER (NOT missed), 6) AS median_sec, round(avg(lat) FILTER (NOT missed), 6) AS mean_sec,
   round(max(lat) FILTER (NOT missed), 6) AS max_sec, count(lat) FILTER (NOT missed) AS n_detected, count(*) FILTER (missed) AS n_missed FROM l GROUP BY ALL""",
     "alarm_load": f"""WITH {predicted(FEW)}, r AS (SELECT seed, run_id, sum(pred) AS alarms, max(t_us) - min(t_us) AS span FROM pr GROUP BY ALL)
 SELECT seed, round(avg(alarms), 6) AS alarms_per_run_mean, max(alarms)::BIGINT AS alarms_per_run_max, count(*) AS n_runs,
   round(sum(alarms) / (sum(span) / 3.6e9), 6) AS alarms_per_hour, round(sum(span) / 3.6e9, 6) AS observed_hours FROM r GROUP BY seed""",
-    "resample_multiplicity": f"WITH {TGT}, {multiplicity(200)} SELECT replicate, run_id, m FROM mult",
-    "bootstrap_intervals": f"""WITH {TGT}, {scores('range(42, 43)')}, {intervals(2000, 'sc')}
+    "resample_multiplicity": f"WITH {TGT}, {multiplicity(2000)} SELECT replicate, run_id, m FROM mult",
+    "bootstrap_intervals": f"""WITH {TGT}, {scores(ALL)},
+mean20 AS (SELECT event_id, run_id, family, y, round(sum(round(score * 200)) / 4000.0, 6) AS score FROM sc GROUP BY ALL), {intervals(2000, 'mean20')}
 SELECT metric, round(lo, 6) AS lo, round(hi, 6) AS hi FROM ci""",
     "readiness_checks": f"WITH {TGT} {readiness('tgt', '(SELECT count(*) FROM runs12)')}",
     "readiness_refused": f"WITH {SRC} {readiness('src', '0')}",

@@ -185,8 +185,11 @@ def result_rounded(spark, d):
 
 @query
 def safe_numeric(spark, d):
-    k = F.col("event_id") % 4
-    text = F.when(k == 0, F.col("value").cast("string")).when(k == 1, "n/a").when(k == 2, "NaN")
+    value = F.col("value").cast("string")
+    texts = [value, "n/a", "NaN", F.concat(F.lit("\t "), value, F.lit("\n")), "3f", "1.5d", "0x1F", "+1.5E3"]
+    text = F.lit(None).cast("string")
+    for i, t in enumerate(texts):
+        text = F.when(F.col("event_id") % 8 == i, F.lit(t) if isinstance(t, str) else t).otherwise(text)
     return fx.load(spark, d, "events").select("event_id", r6(safe_double(text)).alias("num"))
 
 
@@ -236,7 +239,7 @@ def scenario_family_(spark, d):
     k = F.col("event_id") % 4
     bare = F.regexp_replace("scenario", "dom_", "")
     raw = (
-        F.when(k == 0, F.col("scenario")).when(k == 1, F.concat(F.lit(" "), F.upper("scenario"), F.lit(" ")))
+        F.when(k == 0, F.col("scenario")).when(k == 1, F.concat(F.lit("\n "), F.upper("scenario"), F.lit("\t")))
         .when(k == 2, bare).otherwise(F.concat(bare, F.lit("_x")))
     )
     df = target(spark, d).select(raw.alias("raw"))
@@ -640,21 +643,26 @@ def episode_hits(spark, d):
     return rounded(episodes.episode_hits(episode_table(spark, d, ALL_SEEDS), ["seed", "family"]), "recall_episode")
 
 
+def by_phase_and_day(spark, d) -> DataFrame:
+    """Episodes by phase, and, so that some are missed, by UTC day with a seventh of the times missing."""
+    rows = attack_rows(predicted_target(spark, d, ALL_SEEDS))
+    days = rows.withColumn("episode", F.floor(F.col("t_us") / 86400000000).cast("string"))
+    days = days.withColumn("t_us", F.when(F.col("event_id") % 7 != 0, F.col("t_us")))
+    keys = ["seed", "family"]
+    return episode_table(spark, d, ALL_SEEDS).withColumn("scope", F.lit("phase")).unionByName(
+        episodes.episode_summary(days, keys).withColumn("scope", F.lit("day"))
+    )
+
+
 @query
 def episode_recall_ci(spark, d):
-    """Episodes are runs by UTC day, so that some are missed."""
-    rows = attack_rows(predicted_target(spark, d, FEW_SEEDS))
-    rows = rows.withColumn("episode", F.floor(F.col("t_us") / 86400000000).cast("string"))
-    hits = episodes.episode_hits(episodes.episode_summary(rows, ["seed", "family"]), ["seed", "family"])
-    return rounded(bootstrap.episode_recall_ci(hits, ["seed", "family"], 200), "mean", "lo", "hi")
+    hits = episodes.episode_hits(by_phase_and_day(spark, d), ["scope", "seed", "family"])
+    return rounded(bootstrap.episode_recall_ci(hits, ["scope", "seed", "family"], REPLICATES), "mean", "lo", "hi")
 
 
 @query
 def detection_latency(spark, d):
-    rows = attack_rows(predicted_target(spark, d, FEW_SEEDS))
-    rows = rows.withColumn("episode", F.floor(F.col("t_us") / 86400000000).cast("string"))
-    rows = rows.withColumn("t_us", F.when(F.col("event_id") % 7 != 0, F.col("t_us")))
-    out = episodes.detection_latency(episodes.episode_summary(rows, ["seed", "family"]), ["seed", "family"])
+    out = episodes.detection_latency(by_phase_and_day(spark, d), ["scope", "seed", "family"])
     return rounded(out, "median_sec", "mean_sec", "max_sec")
 
 
@@ -670,13 +678,14 @@ def alarm_load(spark, d):
 @query
 def resample_multiplicity(spark, d):
     runs = pools.with_family(target(spark, d)).select("family", "run_id")
-    return bootstrap.resample_multiplicity(runs, 200, BOOTSTRAP_SEED)
+    return bootstrap.resample_multiplicity(runs, REPLICATES, BOOTSTRAP_SEED)
 
 
 @query
 def bootstrap_intervals(spark, d):
-    rows = scored(target(spark, d), [42])
-    return rounded(bootstrap.bootstrap_intervals(rows, REPLICATES, BOOTSTRAP_SEED), "lo", "hi")
+    """Intervals of the mean score of all seeds, which takes thousands of values."""
+    rows = ranking.ensemble_score(scored(target(spark, d), ALL_SEEDS), ["event_id"], ["run_id", "family", "y"])
+    return rounded(bootstrap.bootstrap_intervals(rounded(rows, "score"), REPLICATES, BOOTSTRAP_SEED), "lo", "hi")
 
 
 # --- contracts -------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.catalog import EVENT_SCHEMA
-from driftline.functions.scalar import epoch_micros
+from driftline.functions.scalar import epoch_micros, stripped
 from driftline.session import materialize
 
 GROUND_TRUTH_PHASES = T.ArrayType(
@@ -117,7 +117,7 @@ def scan_ground_truth(spark: SparkSession, path: str, per_run: bool) -> DataFram
 
 def phase_timeline(entries: DataFrame) -> DataFrame:
     """Valid phase starts ``(run_id, t_us, name)``: blank names and bad stamps are dropped."""
-    name = F.trim(F.coalesce("phase", "name", F.lit("")))
+    name = stripped(F.coalesce("phase", "name", F.lit("")))
     return entries.select(
         "run_id", epoch_micros("timestamp").alias("t_us"), name.alias("name")
     ).filter((F.col("name") != "") & F.col("t_us").isNotNull())
