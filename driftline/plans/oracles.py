@@ -6,7 +6,7 @@ sums, ``ASOF JOIN`` instead of interval joins, run-by-run pair counts for the bo
 
 from __future__ import annotations
 
-FEW = "range(42, 47)"
+GATED = "range(42, 47)"
 ALL = "range(42, 62)"
 FAULT_RUNS = "(19, 20, 23, 24, 25, 26, 27, 28)"
 
@@ -201,7 +201,7 @@ TIED = RATE_CTE.replace(
     "CASE event_id % 10 WHEN 0 THEN 'normal-r01' ELSE run_id END AS run_id",
 )
 RATE_ONLY = f"{TIED} SELECT event_id, round(rate, 6) AS rudder_rate FROM rated"
-FPR_CURVE = f"""WITH {SRC}, {validation(FEW)}, {threshold('va', '0.01', 'thr')}
+FPR_CURVE = f"""WITH {SRC}, {validation(ALL)}, {threshold('va', '0.01', 'thr')}
 SELECT seed, round(score, 6) AS score, at_or_above::BIGINT AS at_or_above, round(fpr, 6) AS fpr FROM thr_rate"""
 QUANTILES = """SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.025), 6) AS q025, round(quantile_cont(value, 0.5), 6) AS median,
   round(quantile_cont(value, 0.99), 6) AS q99 FROM events GROUP BY event_type"""
@@ -211,7 +211,7 @@ SELECT e.event_id, e.run_id, coalesce(p.name, 'pre-phase') AS phase_name, p.t_us
 FROM (SELECT *, coalesce(run_id, '') AS k FROM e) e ASOF LEFT JOIN p ON e.k = p.k AND e.t_us >= p.t_us"""
 AUC_EVENT = f"WITH {TGT}, {scores(ALL)} {auc('sc', 'seed')}"
 SPLIT_SOLO = f"""solo AS (SELECT s.seed, event_id, row_number() OVER (PARTITION BY s.seed ORDER BY {h('s.seed', 'event_id')}, event_id) - 1 AS pos,
-  count(*) OVER (PARTITION BY s.seed) AS n FROM src CROSS JOIN (SELECT unnest({FEW}) AS seed) s),
+  count(*) OVER (PARTITION BY s.seed) AS n FROM src CROSS JOIN (SELECT unnest({ALL}) AS seed) s),
 solo_side AS (SELECT seed, event_id, CASE WHEN pos < floor(n * 0.7::DOUBLE) THEN 'train' ELSE 'validation' END AS side FROM solo)"""
 ATTACKS = "family IN ('manipulation', 'recon') AND y = 1"
 
@@ -301,17 +301,17 @@ rci AS (SELECT seed, family, any_value(n_hit / n_episodes) AS mean, quantile_con
 
 def gated_base() -> str:
     """CTEs of the gated evaluation, which trains on the whole source table, faults included."""
-    return f"""WITH {SRC}, {TGT}, {profile(FEW)},
+    return f"""WITH {SRC}, {TGT}, {profile(GATED)},
 gated_va AS (SELECT ss.seed, s.*, (s.label = 'attack')::INTEGER AS y,
   ({h('ss.seed', 's.event_id')} % 141 + CASE WHEN s.label = 'attack' THEN 40 ELSE 0 END) / 200.0::DOUBLE AS score
   FROM src s JOIN ss USING (run_id) WHERE ss.side = 'validation'),
-{threshold('gated_va', '0.01', 'thr')}, {scores(FEW)},
+{threshold('gated_va', '0.01', 'thr')}, {scores(GATED)},
 pr AS (SELECT sc.*, threshold, (score >= threshold)::INTEGER AS pred FROM sc JOIN thr USING (seed)),
 atk AS (SELECT * FROM pr WHERE {ATTACKS}),
 ep AS (SELECT seed, family, run_id, phase AS episode, max(pred) AS hit, min(t_us) AS first_us, min(t_us) FILTER (pred = 1) AS alarm_us FROM atk GROUP BY ALL),
 {recall_ci(200)},
 lat AS (SELECT seed, family, median((alarm_us - first_us) / 1e6) AS med, count(alarm_us) AS det, count(*) FILTER (hit = 0) AS miss FROM ep GROUP BY ALL),
-own AS (SELECT seed, count(*) FILTER (NOT passed) AS n FROM ({split_check_rows()} UNION ALL {composition_rows(FEW)}) GROUP BY seed),
+own AS (SELECT seed, count(*) FILTER (NOT passed) AS n FROM ({split_check_rows()} UNION ALL {composition_rows(GATED)}) GROUP BY seed),
 general AS (SELECT count(*) FILTER (NOT passed) AS n FROM ({readiness('tgt', '(SELECT count(*) FROM runs12)')})),
 modes AS (SELECT seed, own.n + general.n AS n_reasons FROM own CROSS JOIN general),
 by_run AS (SELECT seed, run_id, sum(pred) AS alarms, max(t_us) - min(t_us) AS span FROM pr GROUP BY ALL),
@@ -345,7 +345,7 @@ SOURCE_ROWS = {"main_rows": "6298", "main_normal_rows": "5026", "main_attack_row
 
 LABELLED = f"""WITH {TGT}, lb AS (SELECT event_id, run_id, phase AS phase_name, label AS phase_label FROM tgt)"""
 
-TRANSFER = f"""WITH {predicted(FEW)}, {stress(FEW)},
+TRANSFER = f"""WITH {predicted(ALL)}, {stress(ALL)},
 per_seed AS (SELECT seed, {THRESHOLD_METRICS.replace('round(', '(').replace(', 6)', ')')} FROM pr GROUP BY seed),
 vauc AS ({auc('va', 'seed')}),
 vauc_raw AS (SELECT p.seed, sum(p.c * n.c * CASE WHEN n.score < p.score THEN 2 WHEN n.score = p.score THEN 1 ELSE 0 END)::DOUBLE / (2.0 * sum(p.c * n.c)) AS v
@@ -356,13 +356,13 @@ long AS (SELECT 'source_validation_auc' AS metric, v FROM vauc_raw UNION ALL SEL
   UNION ALL SELECT 'normal_fpr', normal_fpr FROM per_seed UNION ALL SELECT 'fault_fpr', fault_fpr FROM per_seed
   UNION ALL SELECT 'manipulation_recall', manipulation_recall FROM per_seed UNION ALL SELECT 'recon_recall', recon_recall FROM per_seed
   UNION ALL SELECT 'run_scenario_balanced_false_positive_rate', b FROM st_m UNION ALL SELECT 'event_weighted_false_positive_rate', e FROM st_m),
-ens AS (SELECT 0 AS k, event_id, any_value(run_id) AS run_id, any_value(family) AS family, any_value(y) AS y, list_reduce(list(score ORDER BY seed), lambda a, b: a + b) / 5.0::DOUBLE AS score
+ens AS (SELECT 0 AS k, event_id, any_value(run_id) AS run_id, any_value(family) AS family, any_value(y) AS y, list_reduce(list(score ORDER BY seed), lambda a, b: a + b) / 20.0::DOUBLE AS score
   FROM sc GROUP BY event_id),
 {primary('ens', 'k')}, {intervals(2000, 'ens')},
 point AS (SELECT metric, value FROM (UNPIVOT (SELECT {PRIMARY} FROM prim) ON {PRIMARY} INTO NAME metric VALUE value))
 SELECT 'flow' AS schema, 'per_seed_summary' AS section, metric, round(median(v), 6) AS value, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi,
-  round(min(v), 6) AS min, round(max(v), 6) AS max, count(*) AS n FROM long GROUP BY metric
-UNION ALL SELECT 'flow', 'primary_ensemble', metric, round(value, 6), round(lo, 6), round(hi, 6), NULL, NULL, 5 FROM point JOIN ci USING (metric)"""
+  round(min(v), 6) AS min, round(max(v), 6) AS max, count(*) AS n, true AS ready, 0::BIGINT AS n_reasons FROM long GROUP BY metric
+UNION ALL SELECT 'flow', 'primary_ensemble', metric, round(value, 6), round(lo, 6), round(hi, 6), NULL, NULL, 20, true, 0 FROM point JOIN ci USING (metric)"""
 
 PIVOT = ", ".join(
     f"count(*) FILTER (scenario = '{s}') AS {s}" for s in ("fault_comm_dropout", "fault_plc_restart", "fault_poll_storm")
@@ -408,7 +408,7 @@ SQL: dict[str, str] = {
     "scan_campaign": f"WITH {TGT} SELECT run_id AS run, count(*) AS n_rows, 1::BIGINT AS n_run_ids FROM tgt GROUP BY run_id",
     "phase_timeline": f"WITH {TGT} SELECT run_id, t_us, name FROM timeline",
     "manifest_rows": f"WITH {DOC_FILES} SELECT path, bytes, sha256, true AS tag_ok FROM df",
-    "result_rounded": f"""WITH {predicted(FEW)}, w AS (SELECT seed, {THRESHOLD_METRICS.replace('round(', '(').replace(', 6)', ')')} FROM pr GROUP BY seed)
+    "result_rounded": f"""WITH {predicted(ALL)}, w AS (SELECT seed, {THRESHOLD_METRICS.replace('round(', '(').replace(', 6)', ')')} FROM pr GROUP BY seed)
 SELECT seed, metric, round_even(value, 6) AS value FROM (UNPIVOT w ON normal_fpr, fault_fpr, manipulation_recall, recon_recall INTO NAME metric VALUE value)""",
     "safe_numeric": """SELECT event_id, CASE event_id % 8 WHEN 0 THEN round(value, 6) WHEN 3 THEN round(value, 6) WHEN 7 THEN 1500.0 END AS num FROM events""",
     "role_normalize": f"""WITH {SRC} SELECT event_id, round(rudder_angle / 35.0, 6) AS rudder_norm, round(rpm_command / 1200.0, 6) AS propulsion_demand_norm FROM src""",
@@ -463,18 +463,18 @@ FROM (SELECT 'site_a' AS source_dataset, run_id::VARCHAR AS run_id, rpm_command
   UNION ALL SELECT 'site_b', run_id, NULL, throttle_command_left FROM tgt) GROUP BY ALL""",
     "set_difference": f"""WITH {SRC}, e AS (SELECT DISTINCT run_id AS value FROM src WHERE label <> 'attack'), a AS (SELECT DISTINCT run_id + 2 AS value FROM main)
 SELECT value, 'missing' AS side FROM (FROM e EXCEPT FROM a) UNION ALL SELECT value, 'unexpected' FROM (FROM a EXCEPT FROM e)""",
-    "run_overlap": f"WITH {SRC}, {splits(FEW)} SELECT seed, count(DISTINCT run_id) AS n_runs, 0::BIGINT AS n_shared FROM sp GROUP BY seed",
+    "run_overlap": f"WITH {SRC}, {splits(ALL)} SELECT seed, count(DISTINCT run_id) AS n_runs, 0::BIGINT AS n_shared FROM sp GROUP BY seed",
     "split_by_run": f"WITH {SRC}, {splits(ALL)} SELECT seed, run_id, side FROM sp",
     "split_rows": f"WITH {SRC}, {splits(ALL)} SELECT seed, side, label, count(*) AS n_rows FROM main JOIN sp USING (run_id) GROUP BY ALL",
-    "split_basis": f"""WITH {SRC}, {splits(FEW, 'src')}, {SPLIT_SOLO}
+    "split_basis": f"""WITH {SRC}, {splits(ALL, 'src')}, {SPLIT_SOLO}
 SELECT 'many runs' AS scope, seed, 'run' AS basis, side, count(*) AS n_rows, sum(event_id)::BIGINT AS id_sum FROM src JOIN sp USING (run_id) GROUP BY ALL
 UNION ALL SELECT 'one run', seed, 'row', side, count(*), sum(event_id)::BIGINT FROM solo_side GROUP BY ALL""",
     "split_basis_hot": f"WITH {SRC}, {SPLIT_SOLO} SELECT seed, 'row' AS basis, side, count(*) AS n_rows, sum(event_id)::BIGINT AS id_sum FROM solo_side GROUP BY ALL",
-    "apply_threshold": f"WITH {predicted(FEW)} SELECT seed, family, pred, count(*) AS n_rows FROM pr GROUP BY ALL",
+    "apply_threshold": f"WITH {predicted(ALL)} SELECT seed, family, pred, count(*) AS n_rows FROM pr GROUP BY ALL",
     "auc_event": AUC_EVENT,
     "auc_event_hot": AUC_EVENT,
     "auc_labels": f"""WITH sc AS (SELECT 'quality' AS target, quality AS y, ({h('doc_id')} % 97 + 20 * quality) / 200.0::DOUBLE AS score FROM labels) {auc('sc', 'target')}""",
-    "auc_weighted": f"""WITH {TGT}, {scores(FEW)}, w AS (SELECT seed, score, y, sum(CASE family WHEN 'normal' THEN 1 / 2.0::DOUBLE WHEN 'fault' THEN 1 / 3.0::DOUBLE
+    "auc_weighted": f"""WITH {TGT}, {scores(ALL)}, w AS (SELECT seed, score, y, sum(CASE family WHEN 'normal' THEN 1 / 2.0::DOUBLE WHEN 'fault' THEN 1 / 3.0::DOUBLE
   WHEN 'manipulation' THEN 1 / 4.0::DOUBLE ELSE 1 / 5.0::DOUBLE END) AS c FROM sc GROUP BY ALL)
 SELECT p.seed, round(sum(p.c * n.c * CASE WHEN n.score < p.score THEN 2 WHEN n.score = p.score THEN 1 ELSE 0 END) / (2.0 * sum(p.c * n.c)), 6) AS auc
 FROM (SELECT * FROM w WHERE y = 1) p JOIN (SELECT * FROM w WHERE y = 0) n USING (seed) GROUP BY p.seed""",
@@ -488,7 +488,7 @@ UNION ALL SELECT DISTINCT 'no negatives', seed, 0.5::DOUBLE FROM va WHERE y = 1"
     "fpr_curve": FPR_CURVE,
     "fpr_curve_hot": FPR_CURVE,
     "threshold_metrics": f"WITH {predicted(ALL)} SELECT seed, {THRESHOLD_METRICS} FROM pr GROUP BY seed",
-    "lodo_event_rates": f"""WITH {predicted(FEW)}, b AS (SELECT 'all' AS scope, * FROM pr UNION ALL SELECT 'no fault', * FROM pr WHERE family <> 'fault')
+    "lodo_event_rates": f"""WITH {predicted(ALL)}, b AS (SELECT 'all' AS scope, * FROM pr UNION ALL SELECT 'no fault', * FROM pr WHERE family <> 'fault')
 SELECT scope, seed, round({RATE.format(f='normal', y=0)}, 6) AS fpr_normal, count(*) FILTER (family = 'normal' AND y = 0) AS n_normal,
   round({RATE.format(f='fault', y=0)}, 6) AS fpr_fault, count(*) FILTER (family = 'fault' AND y = 0) AS n_fault,
   round({RATE.format(f='manipulation', y=1)}, 6) AS recall_event_manipulation, count(*) FILTER (family = 'manipulation' AND y = 1) AS n_manipulation_attack_rows,
@@ -527,7 +527,7 @@ SELECT scope, seed, family, round(any_value(n_hit / n_episodes), 6) AS mean, rou
 l AS (SELECT *, hit = 0 OR first_us IS NULL AS missed, (alarm_us - first_us) / 1e6 AS lat FROM ep)
 SELECT scope, seed, family, round(median(lat) FILTER (NOT missed), 6) AS median_sec, round(avg(lat) FILTER (NOT missed), 6) AS mean_sec,
   round(max(lat) FILTER (NOT missed), 6) AS max_sec, count(lat) FILTER (NOT missed) AS n_detected, count(*) FILTER (missed) AS n_missed FROM l GROUP BY ALL""",
-    "alarm_load": f"""WITH {predicted(FEW)}, r AS (SELECT seed, run_id, sum(pred) AS alarms, max(t_us) - min(t_us) AS span FROM pr GROUP BY ALL)
+    "alarm_load": f"""WITH {predicted(ALL)}, r AS (SELECT seed, run_id, sum(pred) AS alarms, max(t_us) - min(t_us) AS span FROM pr GROUP BY ALL)
 SELECT seed, round(avg(alarms), 6) AS alarms_per_run_mean, max(alarms)::BIGINT AS alarms_per_run_max, count(*) AS n_runs,
   round(sum(alarms) / (sum(span) / 3.6e9), 6) AS alarms_per_hour, round(sum(span) / 3.6e9, 6) AS observed_hours FROM r GROUP BY seed""",
     "resample_multiplicity": f"WITH {TGT}, {multiplicity(2000)} SELECT replicate, run_id, m FROM mult",
@@ -536,7 +536,7 @@ mean20 AS (SELECT event_id, run_id, family, y, round(sum(round(score * 200)) / 4
 SELECT metric, round(lo, 6) AS lo, round(hi, 6) AS hi FROM ci""",
     "readiness_checks": f"WITH {TGT} {readiness('tgt', '(SELECT count(*) FROM runs12)')}",
     "readiness_refused": f"WITH {SRC} {readiness('src', '0')}",
-    "split_checks": f"WITH {SRC}, {profile(FEW)} {split_check_rows()}",
+    "split_checks": f"WITH {SRC}, {profile(ALL)} {split_check_rows()}",
     "class_composition": f"WITH {SRC}, {TGT}, {profile(ALL)} {composition_rows(ALL)}",
     "source_contract": f"WITH {SRC} " + checks(
         count_row("raw_rows", "count(*)", "(SELECT count(*) FROM events)", "src"),
@@ -566,7 +566,7 @@ SELECT metric, round(lo, 6) AS lo, round(hi, 6) AS hi FROM ci""",
         row("runs_per_label_side", "side || '/' || label", "'>=2'", "n", "n >= 2", "FROM (SELECT seed, side, label, count(DISTINCT run_id) AS n FROM prof GROUP BY ALL)", "seed, "),
         row("validation_normals", "'rows'", "'>=100'", "n", "n >= 100", "FROM (SELECT seed, count(*) FILTER (side = 'validation' AND label = 'normal') AS n FROM prof GROUP BY seed)", "seed, "),
     ),
-    "metric_preconditions": f"WITH {TGT}, {scores(FEW)} " + checks(
+    "metric_preconditions": f"WITH {TGT}, {scores(ALL)} " + checks(
         row("both_classes", "'classes'", "2", "n", "n = 2", "FROM (SELECT seed, count(DISTINCT y) AS n FROM sc GROUP BY seed)", "seed, "),
         row("finite_scores", "'not finite'", "0", "n", "n = 0", "FROM (SELECT seed, count(*) FILTER (NOT isfinite(score)) AS n FROM sc GROUP BY seed)", "seed, "),
         row("mask_not_empty", "s", "'>=1'", "n", "n > 0", """FROM (SELECT seed, CASE WHEN y = 1 THEN family || '_positives' ELSE family || '_negatives' END AS s, count(*) AS n
@@ -592,6 +592,16 @@ te AS (SELECT event_id, pkts_toserver + pkts_toclient + bytes_toserver + bytes_t
 SELECT event_id, (SELECT 4 + count(DISTINCT a) + count(DISTINCT b) + count(DISTINCT c) FROM tr) AS width,
   round(s + (a IN (SELECT a FROM tr))::INTEGER + (b IN (SELECT b FROM tr))::INTEGER + (c IN (SELECT c FROM tr))::INTEGER, 6) AS total FROM te""",
     "rule_scores": "SELECT event_id, (floor(value) > 0)::INTEGER::DOUBLE AS score FROM events",
+    "transfer_refused": """SELECT 'flow' AS schema, section, metric, NULL::DOUBLE AS value, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi, NULL::DOUBLE AS min,
+  NULL::DOUBLE AS max, 20::BIGINT AS n, false AS ready, 20::BIGINT AS n_reasons FROM (
+  SELECT 'per_seed_summary' AS section, unnest(['source_validation_auc', 'source_validation_fpr', 'normal_fpr', 'fault_fpr', 'manipulation_recall',
+    'recon_recall', 'run_scenario_balanced_false_positive_rate', 'event_weighted_false_positive_rate']) AS metric
+  UNION ALL SELECT 'primary_ensemble', unnest(['event_weighted_auc', 'scenario_balanced_auc', 'manipulation_vs_normal_auc', 'recon_vs_normal_auc']))""",
+    "forest_scores": "SELECT seed, n AS n_rows, n AS n_events, true AS in_range, true AS repeatable FROM (SELECT count(*) AS n FROM events) CROSS JOIN (SELECT unnest([42, 43]) AS seed)",
+    "transfer_experiment": """SELECT schema, section, n_metrics::BIGINT AS n_metrics, 2::BIGINT AS n_seeds, true AS in_range, true AS within_budget, true AS ordered
+FROM (SELECT unnest(['flow', 'protocol', 'physical_strict', 'physical_proxy']) AS schema) CROSS JOIN (VALUES ('per_seed_summary', 8), ('primary_ensemble', 4)) v(section, n_metrics)""",
+    "file_inventory": """SELECT 'source=' || source AS folder, sum(strlen(text) + 1)::BIGINT AS bytes, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS sha256
+FROM documents GROUP BY source""",
     "transfer_schema": TRANSFER,
     "lodo_eval": f"""{gated_base()}
 SELECT m.seed, m.n_reasons = 0 AS ready, CASE WHEN m.n_reasons = 0 THEN 'headline' ELSE 'contract' END AS mode, m.n_reasons::BIGINT AS n_reasons,

@@ -9,9 +9,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.catalog import FEATURE_SCHEMAS, feature_schema
+from driftline.catalog import FAMILIES, FEATURE_SCHEMAS, feature_schema
 from driftline.functions.scalar import is_attack, scenario_family
 from driftline.operators.bootstrap import bootstrap_intervals
+from driftline.operators.contracts import metric_preconditions, result_contract, split_contract
 from driftline.operators.features import build_features
 from driftline.operators.pools import main_pool, pool_audit, stress_pool
 from driftline.operators.ranking import (
@@ -20,7 +21,7 @@ from driftline.operators.ranking import (
     long_metrics,
     primary_metrics,
 )
-from driftline.operators.splits import TRAIN, VALIDATION, split_by_run
+from driftline.operators.splits import TRAIN, VALIDATION, split_by_run, split_profile
 from driftline.operators.thresholds import (
     apply_threshold,
     median_min_max,
@@ -54,6 +55,9 @@ class Experiment:
     quantiles: tuple[float, float] = (0.025, 0.975)
     parallel_fits: int = 4
     labels: tuple[str, ...] = field(default=("normal", "attack"))
+    minimum_normals: int = 100
+    #: Show the numbers although a contract failed.
+    force: bool = False
 
 
 def prepare(df: DataFrame, schema: str) -> DataFrame:
@@ -103,8 +107,12 @@ def score_seeds(
         ))
 
 
-def evaluate(scores: dict[str, DataFrame], schema: str, exp: Experiment) -> DataFrame:
-    """Long result table ``(schema, section, metric, value, lo, hi, min, max, n)`` of one schema."""
+def evaluate(scores: dict[str, DataFrame], schema: str, exp: Experiment, checks: DataFrame) -> DataFrame:
+    """Long result table ``(schema, section, metric, value, lo, hi, min, max, n, ready, n_reasons)``.
+
+    ``checks`` are those of the splits. With the preconditions of the metrics and the contract of the
+    results they decide whether numbers are shown: one failed check withholds all of the schema.
+    """
     validation = scores["validation"]
     target = scores["target"].withColumn("family", scenario_family("scenario"))
     thresholds = materialize(threshold_at_fpr(validation, KEYS, exp.max_fpr), "thresholds")
@@ -113,7 +121,7 @@ def evaluate(scores: dict[str, DataFrame], schema: str, exp: Experiment) -> Data
     def at_threshold(rows: DataFrame) -> DataFrame:
         return apply_threshold(rows, thresholds, KEYS)
 
-    fpr = validation_fpr(at_threshold(validation), KEYS)
+    fpr = materialize(validation_fpr(at_threshold(validation), KEYS), "validation-fpr")
     parts = [
         (auc(validation, KEYS).withColumnRenamed("auc", "source_validation_auc"), ["source_validation_auc"]),
         (fpr.withColumnRenamed("validation_fpr", "source_validation_fpr"), ["source_validation_fpr"]),
@@ -128,11 +136,21 @@ def evaluate(scores: dict[str, DataFrame], schema: str, exp: Experiment) -> Data
     )
     point = long_metrics(primary_metrics(ensemble, ["schema"]), ["schema"], PRIMARY_METRICS)
     ranges = bootstrap_intervals(ensemble, exp.replicates, exp.bootstrap_seed, exp.quantiles)
-    primary = point.join(ranges, "metric").select(
+    found = materialize(point.join(ranges, "metric"), "primary")
+    conditions = metric_preconditions(by_seed(target, exp.seeds), KEYS, FAMILIES)
+    results = result_contract(fpr.select("seed", "validation_fpr"), found, exp.seeds, exp.max_fpr)
+    failed = F.count(F.when(~F.coalesce("passed", F.lit(False)), 1)).alias("n")
+    reasons = sum(part.agg(failed).first()["n"] for part in (checks, conditions, results))
+    primary = found.select(
         "schema", F.lit("primary_ensemble").alias("section"), "metric", "value", "lo", "hi",
         none.alias("min"), none.alias("max"), F.lit(len(exp.seeds)).cast("bigint").alias("n"),
     )
-    return summary.unionByName(primary)
+    numbers = ["value", "lo", "hi", "min", "max"]
+    open_ = F.lit(reasons == 0 or exp.force)
+    return summary.unionByName(primary).select(
+        "schema", "section", "metric", *[F.when(open_, F.col(c)).alias(c) for c in numbers], "n",
+        F.lit(reasons == 0).alias("ready"), F.lit(reasons).cast("bigint").alias("n_reasons"),
+    )
 
 
 def transfer_schema(
@@ -143,7 +161,8 @@ def transfer_schema(
     runs = main.select(F.col("run_id").cast("string").alias("run_id"))
     splits = materialize(split_by_run(runs, list(exp.seeds), exp.validation_fraction), "splits")
     scores = score_seeds(main, stress, target, splits, schema, scorer, exp.seeds, exp.parallel_fits)
-    return evaluate(scores, schema, exp)
+    profile = split_profile(main.withColumn("run_id", F.col("run_id").cast("string")), splits)
+    return evaluate(scores, schema, exp, split_contract(profile, exp.labels, minimum_normals=exp.minimum_normals))
 
 
 def transfer_experiment(
@@ -162,5 +181,6 @@ def transfer_experiment(
         F.lit("").alias("schema"), F.concat(F.lit("audit_"), "stage").alias("section"), "metric",
         F.col("value").cast("double").alias("value"), none.alias("lo"), none.alias("hi"), none.alias("min"),
         none.alias("max"), F.lit(1).cast("bigint").alias("n"),
+        F.lit(True).alias("ready"), F.lit(0).cast("bigint").alias("n_reasons"),
     )
     return out.unionByName(rows)

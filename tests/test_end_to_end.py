@@ -94,7 +94,7 @@ def test_multiseed_spread(spark, tables):
 
 def test_transfer_result_is_complete(spark, tables):
     source, target = tables
-    exp = transfer.Experiment(seeds=(42, 43), schemas=("flow", "physical_proxy"), replicates=40)
+    exp = transfer.Experiment(seeds=(42, 43), schemas=("flow", "physical_proxy"), replicates=40, force=True)
     rows = transfer.transfer_experiment(source, target, scoring.forest_scorer(5, 4), exp).collect()
     primary = [r for r in rows if r.section == "primary_ensemble"]
     assert len(primary) == 8 and all(0 <= r.lo <= r.hi <= 1 for r in primary)
