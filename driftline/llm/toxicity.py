@@ -15,7 +15,7 @@ margins among a text's words, and how many are above zero, into its probability.
 Labels belong to texts, so training finds the words behind them: it starts from words far more
 frequent in toxic texts, then takes in turns the most toxic word of each toxic text against the most
 toxic words of clean ones. It uses a bounded sample: whole labelled texts of about ``SAMPLE_BYTES``
-per class, chosen by a hash of the id, and of near copies (by one min-hash of their 3-word shingles) one.
+(at most about ``SAMPLE_TEXTS`` texts) per class, chosen by a hash of the id, and of near copies (by one min-hash of their 3-word shingles) one.
 
 Edge cases: a null or empty text, or one without letters, has no word and scores like one of only
 harmless words; repeated rows score alike; without labelled texts of both classes every score is the
@@ -37,12 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.frames import without
+from driftline.session import materialize
 
 DECAY = 0.6
 WINDOW = 12
 STRIDE = 6
 LANDMARKS = 128
 SAMPLE_BYTES = 8_000_000
+SAMPLE_TEXTS = 20_000
 ROUNDS = 4
 SEED = 2
 THRESHOLD = 0.3
@@ -304,19 +306,25 @@ def _shingle_key(text: str) -> int:
     return min(map(zlib.crc32, (s.encode() for s in shingles)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, learnable: Column, sample_bytes: int) -> pd.DataFrame:
-    """Whole labelled texts (text, toxic, weight) of about ``sample_bytes`` per class."""
+def sample(
+    docs: DataFrame, labels: DataFrame, learnable: Column, sample_bytes: int, sample_texts: int = SAMPLE_TEXTS
+) -> pd.DataFrame:
+    """Whole labelled texts (text, toxic, weight): per class about ``sample_bytes`` and no more than
+    about ``sample_texts``. They are chosen on ids and sizes; only chosen texts move."""
     marks = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(
         F.max((F.col("toxic") > 0).cast("int")).alias("toxic")
     )
-    own = docs.select("doc_id", "text").where(learnable & (F.octet_length("text") > 0))
-    rows = own.join(marks, own["doc_id"] == marks["_id"]).select("doc_id", "text", "toxic")
-    sizes = {r[0]: r[1] for r in rows.groupBy("toxic").agg(F.sum(F.octet_length("text").cast("long"))).collect()}
+    own = docs.where(learnable & (F.octet_length("text") > 0))
+    narrow = own.select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
+    labelled = materialize(narrow.join(marks, narrow["doc_id"] == marks["_id"]).select("_id", "bytes", "toxic"), "labelled")
+    sizes = labelled.groupBy("toxic").agg(F.sum("bytes"), F.count("*")).collect()
     share = F.lit(0.0)
-    for kind, size in sizes.items():
-        share = F.when(F.col("toxic") == kind, F.lit(min(1.0, sample_bytes / size))).otherwise(share)
-    u = F.pmod(F.xxhash64(F.lit("toxic"), F.col("doc_id")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    drawn = rows.withColumn("share", share).where(u < F.col("share")).orderBy("doc_id").toPandas()
+    for kind, size, texts in sizes:
+        share = F.when(F.col("toxic") == kind, F.lit(min(1.0, sample_bytes / size, sample_texts / texts))).otherwise(share)
+    u = F.pmod(F.xxhash64(F.lit("toxic"), F.col("_id")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    chosen = labelled.withColumn("share", share).where(u < F.col("share")).select("_id", "toxic", "share").distinct()
+    rows = own.join(F.broadcast(chosen), own["doc_id"] == chosen["_id"]).select("doc_id", "text", "toxic", "share")
+    drawn = rows.toPandas().sort_values(["doc_id", "text"])
     drawn = drawn[~drawn["text"].map(_shingle_key).duplicated()]
     return pd.DataFrame({"text": drawn["text"], "toxic": drawn["toxic"] > 0, "weight": 1 / drawn["share"]})
 
