@@ -593,13 +593,13 @@ SELECT event_id, (SELECT 4 + count(DISTINCT a) + count(DISTINCT b) + count(DISTI
   round(s + (a IN (SELECT a FROM tr))::INTEGER + (b IN (SELECT b FROM tr))::INTEGER + (c IN (SELECT c FROM tr))::INTEGER, 6) AS total FROM te""",
     "rule_scores": "SELECT event_id, (floor(value) > 0)::INTEGER::DOUBLE AS score FROM events",
     "transfer_refused": """SELECT 'flow' AS schema, section, metric, NULL::DOUBLE AS value, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi, NULL::DOUBLE AS min,
-  NULL::DOUBLE AS max, 20::BIGINT AS n, false AS ready, 20::BIGINT AS n_reasons FROM (
+  NULL::DOUBLE AS max, 3::BIGINT AS n, false AS ready, 3::BIGINT AS n_reasons FROM (
   SELECT 'per_seed_summary' AS section, unnest(['source_validation_auc', 'source_validation_fpr', 'normal_fpr', 'fault_fpr', 'manipulation_recall',
     'recon_recall', 'run_scenario_balanced_false_positive_rate', 'event_weighted_false_positive_rate']) AS metric
   UNION ALL SELECT 'primary_ensemble', unnest(['event_weighted_auc', 'scenario_balanced_auc', 'manipulation_vs_normal_auc', 'recon_vs_normal_auc']))""",
     "forest_scores": "SELECT seed, n AS n_rows, n AS n_events, true AS in_range, true AS repeatable FROM (SELECT count(*) AS n FROM events) CROSS JOIN (SELECT unnest([42, 43]) AS seed)",
     "transfer_experiment": """SELECT schema, section, n_metrics::BIGINT AS n_metrics, 2::BIGINT AS n_seeds, true AS in_range, true AS within_budget, true AS ordered
-FROM (SELECT unnest(['flow', 'protocol', 'physical_strict', 'physical_proxy']) AS schema) CROSS JOIN (VALUES ('per_seed_summary', 8), ('primary_ensemble', 4)) v(section, n_metrics)""",
+FROM (SELECT unnest(['flow', 'physical_proxy']) AS schema) CROSS JOIN (VALUES ('per_seed_summary', 8), ('primary_ensemble', 4)) v(section, n_metrics)""",
     "file_inventory": """SELECT 'source=' || source AS folder, sum(strlen(text) + 1)::BIGINT AS bytes, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS sha256
 FROM documents GROUP BY source""",
     "transfer_schema": TRANSFER,
