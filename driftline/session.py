@@ -30,13 +30,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a temporary folder. On a cluster the setting is
+    A folder given to ``setCheckpointDir`` counts as well. A local session without either gets a temporary folder. On a cluster the setting is
     required: a machine-local folder would be lost with its machine.
     """
     sc = spark.sparkContext
-    folder = spark.conf.get(SHARED_KEY, None)
-    if not folder:
-        folder = sc._conf.get(SHARED_KEY)
+    folder = spark.conf.get(SHARED_KEY, None) or sc.getConf().get(SHARED_KEY) or sc.getCheckpointDir()
     if not folder:
         if not sc.master.startswith("local"):
             raise RuntimeError(f"set {SHARED_KEY} to a folder shared by all executors")
