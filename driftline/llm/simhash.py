@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm.components import connected_components
 from driftline.llm.frames import without
+from driftline.llm.near_copies import near_classes
 from driftline.session import materialize
 
 WORD = re.compile(rb"[^ \t-\r]+")
@@ -215,9 +216,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document, that of the smallest doc_id, of each component; a component without
-    any id is kept whole."""
-    classes = near_duplicates(docs)
+    """``docs`` with one document, that of the smallest doc_id, of each component of near copies: texts
+    whose 5-word shingles agree to 0.8 (``near_copies``), not the 3 bits of ``near_duplicates``. A
+    component without any id is kept whole."""
+    classes = near_classes(docs)
     stay = F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))
     chosen = classes.where(stay).groupBy("doc_id").count()
     chosen = materialize(chosen.select(F.col("doc_id").alias("_sd_id"), "count"), "chosen")
