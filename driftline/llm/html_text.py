@@ -4,8 +4,7 @@ One pass over the parser's events cuts a page into lines (runs of text between b
 its number of tags and the elements around it. The ratio of text to tags is smoothed along the page by
 a Gaussian, so a short line between paragraphs counts as one of them, and a threshold between the two
 clusters of ratios marks content lines. The region is then the element that holds most content text:
-an ``article`` or ``main`` where the page has one, else the smallest element around the content lines
-that hold most of it. All lines of the region are kept, short ones too, except those inside elements
+an ``article`` or ``main`` where the page has one, else the smallest element around all content lines and those nearly as dense. All lines of the region are kept, short ones too, except those inside elements
 that are named as something else: menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments.
 
@@ -189,11 +188,11 @@ def threshold(values: list[float]) -> float:
     return border
 
 
-def content_lines(lines: list[Line]) -> list[bool]:
-    """Which lines have a smoothed text-to-tag ratio in the upper cluster."""
+def content_lines(lines: list[Line], slack: float = 0.0) -> list[bool]:
+    """Which lines have a smoothed text-to-tag ratio in the upper cluster, or up to ``slack`` below it."""
     ratios = smooth([math.log1p(len(line.text) / max(1, line.tags)) for line in lines])
     border = threshold(ratios) if ratios else 0.0
-    return [r >= border for r in ratios]
+    return [r >= border - slack for r in ratios]
 
 
 def region(lines: list[Line]) -> Element | None:
@@ -212,13 +211,16 @@ def region(lines: list[Line]) -> Element | None:
                 size[articles[-1]] = size.get(articles[-1], 0) + len(line.text)
         if size:
             return max(size, key=size.__getitem__)
+    # Two clusters are found in like lines too: one of half the border's density is still the article's.
+    near = content_lines(lines, math.log(2))
+    chosen = [line for line, marked in zip(lines, near) if marked and not line.element.silent] or whole
     total = sum(len(line.text) for line in chosen)
     held: dict[Element, int] = {}
     for line in chosen:
         for e in line.element.up():
             held[e] = held.get(e, 0) + len(line.text)
-    enough = [e for e, n in held.items() if 10 * n >= 7 * total and e.tag not in ("p", *HEADINGS)]
-    return max(enough, key=lambda e: sum(1 for _ in e.up()))
+    around = [e for e, n in held.items() if n == total and e.tag not in ("p", *HEADINGS)]
+    return max(around, key=lambda e: sum(1 for _ in e.up()))
 
 
 def main_text(html: str | None) -> str:
