@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import ann, bpe, html_text, langid, line_dedup, mixing, quality, sharding, simhash, toxicity
+from driftline.llm import (
+    ann, bpe, clusters, html_text, langid, line_dedup, merkle, mixing, quality, sharding, simhash, token_counts, toxicity,
+)
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -99,3 +102,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = mixing.mix_sources(docs)
     return out.select("doc_id", "source", "copy", F.char_length("text").cast("long").alias("n_chars"), "shuffle_key")
+
+
+@query
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings")).rows
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_counts.load(public_tokenizers.path(PIECES))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces)
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents").select(*merkle.FIELDS), tampered=tampered)
