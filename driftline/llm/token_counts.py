@@ -90,14 +90,19 @@ def distinct_pre_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
             for value in batch["text"]:
                 seen.update(set(pre_tokens(value)))
                 if len(seen) >= GATHER:
-                    yield pd.DataFrame({"word": list(seen), "held": list(seen.values())})
+                    yield _counted(seen)
                     seen.clear()
-        yield pd.DataFrame({"word": list(seen), "held": list(seen.values())})
+        if seen:
+            yield _counted(seen)
 
     words = docs.select(F.col(f"`{text}`").alias("text")).mapInPandas(gather, "word string, held long")
     return words.groupBy("word").agg(F.sum("held").alias("held"))
 
 
+def _counted(seen: Counter[str]) -> pd.DataFrame:
+    return pd.DataFrame({"word": pd.Series(list(seen), dtype=object), "held": pd.Series(list(seen.values()), dtype="int64")})
+
+
 def piece_counts(words: DataFrame, pieces: Pieces) -> DataFrame:
     """``words`` with the number of pieces of each, worked out once per word."""
 

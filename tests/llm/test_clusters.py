@@ -48,7 +48,8 @@ def test_as_plain_k_means(spark, spread):
 
 
 def test_intervals_hold_and_settle_rows(spark):
-    rows = spark.createDataFrame(vectors(3000, spread=0.3), SCHEMA)
+    unit = np.random.default_rng(4).normal(scale=0.125, size=(3000, 64)).tolist()
+    rows = spark.createDataFrame([(i, v, "x", "x") for i, v in enumerate(unit)], SCHEMA)
     assert max(clusters.cluster(rows).fetched) < 0.25
     kept = clusters.kept(rows)
     cells = clusters.fit_cells(kept)

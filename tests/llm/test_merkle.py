@@ -85,7 +85,8 @@ def plain(data):
     return sorted(out)
 
 
-TAMPERED = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+def tampered():
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
 def got(df):
@@ -100,11 +101,11 @@ def many(n, sources):
     rows(60) + AWKWARD, many(300, 3), many(40, 40), many(600, 300), [(1, "Only", "en", "s", 4)], many(9000, 1), many(5000, 2),
 ], ids=["awkward", "three", "lone", "many-sources", "single", "two-tiers", "hot"])
 def test_as_plain_trees(spark, data):
-    assert got(merkle.manifest(frame(spark, data).repartition(7), tampered=TAMPERED)) == plain(data)
+    assert got(merkle.manifest(frame(spark, data).repartition(7), tampered=tampered())) == plain(data)
 
 
 def test_tampering_shows(spark):
-    out = merkle.manifest(frame(spark, many(200, 3)), tampered=TAMPERED)
+    out = merkle.manifest(frame(spark, many(200, 3)), tampered=tampered())
     assert out.where("verified").count() == out.count() - sum(zlib.crc32(str(d[0]).encode()) % 5 == 0 for d in many(200, 3))
     assert merkle.manifest(frame(spark, many(200, 3))).where("not verified").count() == 0
 
@@ -124,11 +125,11 @@ def test_log_holds_every_node_once_in_postorder(spark):
 def test_repeated_rows_hot_source_and_clashing_names(spark):
     data = many(50, 2) + [(9, "Same", "en", "hot", 4)] * 300 + [(None, "Same", "en", "hot", 4)] * 5
     more = frame(spark, data).selectExpr("*", *[f"'mine' AS {c}" for c in "tree key leaf other draw place part n index block root".split()])
-    assert got(merkle.manifest(more, tampered=TAMPERED)) == plain(data)
+    assert got(merkle.manifest(more, tampered=tampered())) == plain(data)
     big = frame(spark, [((1 << 60) + 1, "x", "en", "s", 1), (None, "y", "en", "s", 1)])
     assert {r["doc_id"] for r in merkle.manifest(big).collect()} == {(1 << 60) + 1, None}
 
 
 def test_no_rows(spark):
-    out = merkle.manifest(spark.createDataFrame([], DOCS), tampered=TAMPERED)
+    out = merkle.manifest(spark.createDataFrame([], DOCS), tampered=tampered())
     assert out.count() == 0 and out.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
