@@ -980,8 +980,11 @@ def documents_and_rerun(spark, d):
         F.when(k == 5, F.lit("12345678901234567891")).otherwise(big), F.when(k == 6, F.lit("true")).otherwise(one),
         F.when(k == 2, F.lit(',"extra":[true,"x"]')).otherwise(F.lit("")),
     )
-    flat = lambda doc: audit.flatten_json(rows.select("event_id", doc.alias("doc")), "event_id", "doc")
-    return audit.result_diff(flat(before), flat(after), ["event_id", "path"])
+    sides = F.explode(F.array(F.struct(F.lit(False).alias("rerun"), before.alias("doc")), F.struct(F.lit(True), after))).alias("side")
+    pairs = rows.select("event_id", sides).select(F.struct("event_id", "side.rerun").alias("id"), "side.doc")
+    nodes = audit.flatten_variant(pairs, "id", "doc").select("id.event_id", "id.rerun", "path", "steps", "type", "value")
+    first, again = (nodes.filter(F.col("rerun") == r).drop("rerun") for r in (False, True))
+    return audit.result_diff(first, again, ["event_id", "path"])
 
 
 DIFFERENCE = ("event_id", "path", "difference", "expected_type", "actual_type", "expected_value", "actual_value")

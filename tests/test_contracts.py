@@ -192,6 +192,26 @@ def test_nested_diff_has_no_limits(spark):
     assert {r.id: r.path for r in audit.first_difference(diff, ["id"]).collect()} == {k: v[2][0] for k, v in pairs.items() if v[2]}
 
 
+def test_variants_flatten_as_json_does(spark):
+    docs = [
+        ("deep", '{"d":' * 20 + "[1]" + "}" * 20), ("names", '{"a.b":1,"a":{"b":2},"":0,"q\\"x":{"é":[]},"x y":{}}'),
+        ("numbers", "[0,-1,1.0,1.50,1e3,-0.0,0.1,9223372036854775807,9223372036854775808,12345678901234567890,99999999999999999999999999999999999999]"),
+        ("scalars", '[null,true,false,"","a\\"b\\\\","é\\n",[],{},[[]],[{}]]'), ("top", "7"), ("word", '"[1]"'), ("nothing", "null"), ("none", None),
+        ("long", "[" + ",".join(f'{{"i":{i}}}' for i in range(300)) + "]"),
+    ]
+    df = spark.createDataFrame(docs, "id string, doc string")
+    rows = [sorted(map(str, f(df, "id", "doc").collect())) for f in (audit.flatten_json, audit.flatten_variant)]
+    assert rows[0] == rows[1]
+    assert audit.flatten_variant(df.limit(0), "id", "doc").count() == 0
+
+
+def test_variants_stay_in_the_jvm(spark):
+    df = spark.createDataFrame([("k", '{"a":[1]}')], "id string, doc string")
+    flat = audit.flatten_variant(df, "id", "doc")
+    plan = audit.first_difference(audit.result_diff(flat, flat, ["id", "path"]), ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan
+
+
 # --- plan shape ------------------------------------------------------------------------------
 
 
@@ -220,7 +240,12 @@ def test_shared_folder_is_required_on_a_cluster(spark):
 
     class Context:
         master = "spark://host"
-        _conf = Conf()
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
 
     class Session:
         conf = Conf()
