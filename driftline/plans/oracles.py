@@ -600,8 +600,9 @@ SELECT event_id, (SELECT 4 + count(DISTINCT a) + count(DISTINCT b) + count(DISTI
     "forest_scores": "SELECT seed, n AS n_rows, n AS n_events, true AS in_range, true AS repeatable FROM (SELECT count(*) AS n FROM events) CROSS JOIN (SELECT unnest([42, 43]) AS seed)",
     "transfer_experiment": """SELECT schema, section, n_metrics::BIGINT AS n_metrics, 2::BIGINT AS n_seeds, true AS in_range, true AS within_budget, true AS ordered
 FROM (SELECT unnest(['flow', 'physical_proxy']) AS schema) CROSS JOIN (VALUES ('per_seed_summary', 8), ('primary_ensemble', 4)) v(section, n_metrics)""",
-    "file_inventory": """SELECT 'source=' || source AS folder, sum(strlen(text) + 1)::BIGINT AS bytes, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS sha256
-FROM documents GROUP BY source""",
+    "file_inventory": """WITH b AS (SELECT *, (sum(strlen(text) + 1) OVER (PARTITION BY source ORDER BY doc_id) - 1)::BIGINT // 131072 AS bucket FROM documents)
+SELECT 'source=' || source || '/bucket=' || bucket AS folder, sum(strlen(text) + 1)::BIGINT AS bytes, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS sha256
+FROM b GROUP BY source, bucket""",
     "transfer_schema": TRANSFER,
     "lodo_eval": f"""{gated_base()}
 SELECT m.seed, m.n_reasons = 0 AS ready, CASE WHEN m.n_reasons = 0 THEN 'headline' ELSE 'contract' END AS mode, m.n_reasons::BIGINT AS n_reasons,

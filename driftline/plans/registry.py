@@ -44,7 +44,7 @@ from driftline.operators import (
     splits,
     thresholds,
 )
-from driftline.operators.ordered import Split, exact_quantiles
+from driftline.operators.ordered import Split, exact_quantiles, running_sum
 from driftline.plans import gated, scoring, transfer
 from driftline.session import materialize, shared_dir
 from driftline.sources import adapters as fx
@@ -60,6 +60,8 @@ ALL_SEEDS = list(range(42, 62))
 MAX_FPR = 0.01
 REPLICATES = 2000
 BOOTSTRAP_SEED = 20260817
+#: Text of an inventoried file; small, so that the test tables give several files per source.
+FILE_BYTES = 1 << 17
 # Forces the hot-key plan on test-sized tables; production keeps the default limit.
 TINY_SPLIT = Split(limit=100)
 
@@ -163,16 +165,25 @@ def manifest_rows(spark, d):
     return rows.select("path", "bytes", "sha256", (F.col("schema_tag") == "manifest/v1").alias("tag_ok"))
 
 
+def document_buckets(spark, d):
+    """Documents with the bucket of their source they fall in: about ``FILE_BYTES`` of running text each, however large the source."""
+    docs = fx.load(spark, d, "documents").select("source", "doc_id", "text")
+    narrow = docs.select("source", "doc_id", (F.octet_length("text") + 1).cast("long").alias("size"))
+    bucket = F.floor((F.col("size_before") + F.col("size") - 1) / FILE_BYTES).cast("long")
+    placed = running_sum(narrow, ["source"], "doc_id", ["size"]).select("doc_id", bucket.alias("bucket"))
+    return docs.join(placed, "doc_id")
+
+
 @query
 def file_inventory(spark, d):
-    """The documents of each source written as one file, in a folder of its own, then listed and hashed."""
+    """The documents written as bounded files, a folder for each source and bucket, then listed and hashed in chunks."""
     root = f"{shared_dir(spark)}/inventory-{uuid.uuid4().hex}"
-    docs = fx.load(spark, d, "documents").select(F.col("text").alias("value"), "source", "doc_id")
-    docs = docs.repartition("source").sortWithinPartitions("source", "doc_id").select("value", "source")
-    docs.write.partitionBy("source").text(root)
+    docs = document_buckets(spark, d).select(F.col("text").alias("value"), "source", "bucket", "doc_id")
+    docs = docs.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "doc_id").drop("doc_id")
+    docs.write.partitionBy("source", "bucket").text(root)
     folders = F.split("path", "/")
-    named = files.file_inventory(spark, root).filter(F.element_at(folders, -1).startswith("part-"))
-    return named.select(F.get(folders, 0).alias("folder"), "bytes", "sha256")
+    named = files.file_inventory(spark, root, chunk=FILE_BYTES // 8).filter(F.element_at(folders, -1).startswith("part-"))
+    return named.select(F.concat_ws("/", F.get(folders, 0), F.get(folders, 1)).alias("folder"), "bytes", "sha256")
 
 
 @query
@@ -980,7 +991,7 @@ def documents_and_rerun(spark, d):
         F.when(k == 5, F.lit("12345678901234567891")).otherwise(big), F.when(k == 6, F.lit("true")).otherwise(one),
         F.when(k == 2, F.lit(',"extra":[true,"x"]')).otherwise(F.lit("")),
     )
-    sides = F.explode(F.array(F.struct(F.lit(False).alias("rerun"), before.alias("doc")), F.struct(F.lit(True), after))).alias("side")
+    sides = F.explode(F.array(F.struct(F.lit(False).alias("rerun"), before.alias("doc")), F.struct(F.lit(True).alias("rerun"), after.alias("doc")))).alias("side")
     pairs = rows.select("event_id", sides).select(F.struct("event_id", "side.rerun").alias("id"), "side.doc")
     nodes = audit.flatten_variant(pairs, "id", "doc").select("id.event_id", "id.rerun", "path", "steps", "type", "value")
     first, again = (nodes.filter(F.col("rerun") == r).drop("rerun") for r in (False, True))

@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyarrow.fs import FileSelector, FileSystem
+from pyarrow.lib import ArrowInvalid, ArrowNotImplementedError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+#: Bytes of a file in memory at once, and of the files that one task hashes.
+CHUNK_BYTES = 8 << 20
+GROUP_BYTES = 256 << 20
 
 FILE_RECORD = T.StructType(
     [
@@ -72,25 +83,85 @@ def scan_spec(spark: SparkSession, path: str, expected_tag: str) -> DataFrame:
     return spec.withColumn("tag_ok", F.col("schema").eqNullSafe(F.lit(expected_tag)))
 
 
-def file_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, bytes, sha256)`` of every payload file below ``root``, hashed where it is read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select(
-            F.regexp_replace(F.col("path"), "^[a-z0-9]+:/+", "/").alias("full"),
-            F.col("length").alias("bytes"),
-            F.sha2("content", 256).alias("sha256"),
+@dataclass
+class FileGroup(InputPartition):
+    """Files that one task reads: (path, size) each."""
+
+    files: list[tuple[str, int]]
+
+
+class HashedFileReader(DataSourceReader):
+    """Files of a folder in groups of about ``group`` bytes; a larger file is a group of its own."""
+
+    def __init__(self, root: str, chunk: int, group: int):
+        self.root, self.chunk, self.group = root, chunk, group
+
+    def partitions(self) -> list[FileGroup]:
+        fs, base = FileSystem.from_uri(self.root)
+        listed = fs.get_file_info(FileSelector(base, recursive=True))
+        groups, size = [FileGroup([])], 0
+        for info in sorted((i for i in listed if i.is_file), key=lambda i: i.path):
+            if groups[-1].files and size + info.size > self.group:
+                groups.append(FileGroup([]))
+                size = 0
+            groups[-1].files.append((info.path, info.size))
+            size += info.size
+        return groups
+
+    def read(self, partition: FileGroup) -> Iterator[tuple[str, int, str]]:
+        """One running hash per file; a chunk is all of it that is ever in memory."""
+        fs, base = FileSystem.from_uri(self.root)
+        for path, size in partition.files:
+            running = hashlib.sha256()
+            with fs.open_input_file(path) as file:
+                for start in range(0, size, self.chunk):
+                    file.seek(start)
+                    running.update(file.read(min(self.chunk, size - start)))
+            yield path[len(base.rstrip("/")) + 1:], size, running.hexdigest()
+
+
+class HashedFiles(DataSource):
+    """Source of ``(path, bytes, sha256)`` of all files below the folder in option ``root``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "hashed_files"
+
+    def schema(self) -> str:
+        return "path string, bytes bigint, sha256 string"
+
+    def reader(self, schema: T.StructType) -> HashedFileReader:
+        return HashedFileReader(self.options["root"], int(self.options["chunk"]), int(self.options["group"]))
+
+
+def _opens(root: str) -> bool:
+    """Whether tasks can open files of this store themselves and read ranges."""
+    try:
+        FileSystem.from_uri(root)
+    except (ArrowInvalid, ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
+def file_inventory(spark: SparkSession, root: str, chunk: int = CHUNK_BYTES, group: int = GROUP_BYTES) -> DataFrame:
+    """``(path, bytes, sha256)`` of every payload file below ``root``, hashed where it is read.
+
+    Files are read in ranges of ``chunk`` bytes, so they may have any size. A store that only Spark's own
+    readers open is read as whole values instead, of at most 2 GB a file.
+    """
+    if _opens(root):
+        spark.dataSource.register(HashedFiles)
+        found = spark.read.format(HashedFiles.name()).option("root", root).option("chunk", chunk).option("group", group).load()
+    else:
+        whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        base = F.regexp_replace(F.lit(root.rstrip("/") + "/"), "^[a-z0-9]+:/+", "/")
+        full = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
+        found = whole.select(
+            F.substr(full, F.length(base) + 1).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
         )
-    )
-    prefix = root.rstrip("/") + "/"
-    relative = F.expr(f"substring(full, {len(prefix) + 1})")
     parts = F.split("path", "/")
-    return (
-        files.select(relative.alias("path"), "bytes", "sha256")
-        .filter(~F.arrays_overlap(parts, F.array(*[F.lit(s) for s in SKIPPED_FOLDERS])))
-        .filter(F.element_at(parts, -1) != MANIFEST_FILE)
+    return found.filter(~F.arrays_overlap(parts, F.array(*[F.lit(s) for s in SKIPPED_FOLDERS]))).filter(
+        F.element_at(parts, -1) != MANIFEST_FILE
     )
 
 

@@ -250,6 +250,55 @@ def test_inventory_and_manifest(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out/files")).count() == 2
 
 
+@pytest.mark.parametrize("size", [0, 1, 6, 7, 8, 14, 15, 700])
+def test_files_are_hashed_in_chunks(spark, tmp_path, size):
+    import hashlib
+
+    data = bytes(i % 251 for i in range(size))
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "f").write_bytes(data)
+    for root in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}/"):
+        got = files.file_inventory(spark, root, chunk=7).collect()
+        assert [tuple(r) for r in got] == [("d/f", size, hashlib.sha256(data).hexdigest())]
+
+
+def test_a_chunk_is_all_that_is_read_at_once(tmp_path, monkeypatch):
+    (tmp_path / "f").write_bytes(b"x" * 100)
+    reads = []
+
+    class File:
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+        def seek(self, at):
+            self.at = at
+
+        def read(self, n):
+            reads.append((self.at, n))
+            return b"x" * n
+
+    class Store:
+        def open_input_file(self, path):
+            return File()
+
+    reader = files.HashedFileReader(str(tmp_path), 32, 1000)
+    monkeypatch.setattr(files, "FileSystem", type("F", (), {"from_uri": staticmethod(lambda uri: (Store(), uri))}))
+    assert [r[:2] for r in reader.read(files.FileGroup([(f"{tmp_path}/f", 100)]))] == [("f", 100)]
+    assert reads == [(0, 32), (32, 32), (64, 32), (96, 4)]
+
+
+def test_files_are_grouped_by_size(tmp_path):
+    for i, size in enumerate((5, 5, 5, 40, 1, 1)):
+        (tmp_path / f"f{i}").write_bytes(b"x" * size)
+    groups = files.HashedFileReader(str(tmp_path), 7, 12).partitions()
+    assert [[s for _, s in g.files] for g in groups] == [[5, 5], [5], [40], [1, 1]]
+    (tmp_path / "none").mkdir()
+    assert [g.files for g in files.HashedFileReader(str(tmp_path / "none"), 7, 12).partitions()] == [[]]
+
+
 def test_result_documents(spark, tmp_path):
     df = spark.createDataFrame([("a", 0.12345678, None), ("b", 0.0000005, 1.0)], "metric string, value double, lo double")
     docs = {r.document for r in files.result_documents(df, ["metric", "value", "lo"]).collect()}
