@@ -299,6 +299,57 @@ def target_contract(
     )
 
 
+def file_checks(declared: DataFrame, inventory: DataFrame, path: str = "path") -> DataFrame:
+    """Each declared or found file: is it on both sides, and has it the declared hash?
+
+    ``declared`` is ``(path, sha256)`` of a manifest, ``inventory`` what was found. Both sides are joined in
+    full, so that an undeclared file is a failed row as well.
+    """
+    d = declared.select(F.col(path).alias("_path"), F.col("sha256").alias("_declared"), F.lit(True).alias("_d"))
+    a = inventory.select(F.col("path").alias("_found"), F.col("sha256").alias("_actual"), F.lit(True).alias("_a"))
+    both = d.join(a, F.col("_path") == F.col("_found"), "full_outer")
+    subject = F.coalesce("_path", "_found")
+    told, seen = (F.coalesce(c, F.lit(False)) for c in ("_d", "_a"))
+    same = F.coalesce(F.col("_declared") == F.col("_actual"), F.lit(False))
+    return union_checks(
+        check(both, "file_listed", subject, "declared and found", F.when(told & seen, "declared and found").when(told, "missing").otherwise("undeclared"), told & seen),
+        check(both.where(told), "file_hash", subject, "same", F.when(same, "same").when(seen, "other").otherwise("none"), same),
+    )
+
+
+def campaign_contract(
+    target: DataFrame, manifest: DataFrame, inventory: DataFrame, event_types: Sequence[str], labels: Sequence[str],
+    families: Sequence[str], repeats: int = MIN_REPEATS,
+) -> DataFrame:
+    """A campaign against its own manifest: files, hashes, rows and run of each file, totals, and the sets.
+
+    ``manifest`` is ``(run, rows, output, output_sha256)``; ``target`` carries ``output``, the file a row
+    came from, and ``run_id``; ``inventory`` is ``(path, bytes, sha256)``.
+    """
+    seen = with_family(value_profile(target, ["output", "run_id", "scenario", "label", "event_type"]))
+    actual = seen.groupBy("output").agg(F.sum("n_rows").alias("n"), F.count_distinct("run_id").alias("ids"), F.min("run_id").alias("id"))
+    files = checkpointed(manifest.select("run", "rows", "output").join(actual, "output", "full_outer"))
+    subject, none = F.coalesce("run", "output"), F.lit("none")
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), none)
+    runs = seen.groupBy("family").agg(F.count_distinct("run_id").alias("n"))
+    totals = files.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return union_checks(
+        file_checks(manifest.select(F.col("output").alias("path"), F.col("output_sha256").alias("sha256")), inventory),
+        check(files, "run_rows", subject, shown("rows"), shown("n"), F.col("rows") == F.col("n")),
+        check(files, "single_run_id", subject, shown("run"), F.when(F.col("ids") > 1, "several").otherwise(shown("id")), (F.col("ids") == 1) & (F.col("id") == F.col("run"))),
+        check(totals, "total_rows", "count", F.col("rows"), F.col("n"), F.col("rows") == F.col("n")),
+        set_check(seen, "event_type", "event_type_set", event_types, subset=True),
+        set_check(seen, "family", "family_set", families),
+        set_check(seen, "label", "label_set", labels),
+        check(runs, "family_runs", F.col("family"), repeats, F.col("n"), F.col("n") == repeats),
+    )
+
+
+def failures(checks: DataFrame) -> int:
+    """Number of failed checks."""
+    return checks.agg(F.count(F.when(~F.coalesce("passed", F.lit(False)), 1))).first()[0]
+
+
 def split_contract(
     profile: DataFrame, labels: Sequence[str], minimum_runs: int = 2, minimum_normals: int = 100
 ) -> DataFrame:

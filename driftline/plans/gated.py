@@ -52,7 +52,7 @@ EPISODE_METRICS = ("recall_episode_manipulation", "recall_episode_recon")
 
 def contracts(
     train: DataFrame, test: DataFrame, entries: DataFrame | None, seeds: Sequence[int],
-    max_fpr: float, validation_fraction: float, force: bool,
+    max_fpr: float, validation_fraction: float, force: bool, inputs: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(splits or split rows profile, modes)`` for the seed list."""
     runs = train.select("run_id").distinct().limit(2).count()
@@ -64,7 +64,9 @@ def contracts(
         profile = row_split_profile(split_with_basis(train, list(seeds), validation_fraction))
     profile = materialize(profile, "profile")
     own = split_checks(profile, max_fpr).unionByName(class_composition(profile, test, seeds))
-    return splits, refusal_mode(readiness_checks(test, entries), own, seeds, force)
+    general = readiness_checks(test, entries)
+    general = general if inputs is None else general.unionByName(inputs)
+    return splits, refusal_mode(general, own, seeds, force)
 
 
 def _scored(
@@ -110,14 +112,16 @@ def gated_eval(
     validation_fraction: float = 0.3,
     force: bool = False,
     replicates: int = 2000,
+    inputs: DataFrame | None = None,
 ) -> DataFrame:
     """One wide row per seed: mode, threshold, event rates, episode recall, latency, alarm load.
 
-    Refused seeds keep their row with null metrics.
+    Refused seeds keep their row with null metrics. ``inputs`` are checks of the input tables against their
+    manifests; a failed one refuses every seed.
     """
     scorer = scorer or rule_scorer()
     train, test = with_time(train), with_time(test)
-    splits, modes = contracts(train, test, entries, seeds, max_fpr, validation_fraction, force)
+    splits, modes = contracts(train, test, entries, seeds, max_fpr, validation_fraction, force, inputs)
     validation, tested = _scored(train, test, splits, schema, scorer, seeds, validation_fraction)
     with ThreadPoolExecutor(max_workers=2) as pool:
         thresholds, scored = pool.map(
@@ -166,21 +170,21 @@ def gated_eval(
     return gate(wide, modes)
 
 
-def multiseed_summary(per_seed: DataFrame) -> DataFrame:
-    """Mean, min and max of each headline metric over seeds, nulls skipped.
+def multiseed_summary(per_seed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean, min and max of each headline metric over seeds, per ``keys``, nulls skipped.
 
     Per-seed values are rounded before they are summarised: event rates to four digits, episode
     recall to three.
     """
     values = per_seed.select(
-        "seed",
+        *keys, "seed",
         *[F.round(m, 4).alias(m) for m in SUMMARY_METRICS],
         *[F.round(m, 3).alias(m) for m in EPISODE_METRICS],
-    ).unpivot(["seed"], [*SUMMARY_METRICS, *EPISODE_METRICS], "metric", "value")
+    ).unpivot([*keys, "seed"], [*SUMMARY_METRICS, *EPISODE_METRICS], "metric", "value")
     digits = F.when(F.col("metric").isin(list(EPISODE_METRICS)), 3).otherwise(4)
-    spread = mean_min_max(values, ["metric"])
+    spread = mean_min_max(values, [*keys, "metric"])
     return spread.select(
-        "metric", *[F.when(digits == 3, F.round(c, 3)).otherwise(F.round(c, 4)).alias(c) for c in ("mean", "min", "max")]
+        *keys, "metric", *[F.when(digits == 3, F.round(c, 3)).otherwise(F.round(c, 4)).alias(c) for c in ("mean", "min", "max")]
     )
 
 

@@ -277,6 +277,31 @@ def count_row(name: str, aggregate: str, expected: str, table: str) -> str:
     return row(name, "'count'", expected, "n", f"n = {expected}", f"FROM (SELECT {aggregate} AS n FROM {table})")
 
 
+#: Runs as found and as declared; ``wrong`` is the manifest with four planted faults.
+CAMPAIGN = """
+found AS (SELECT run_id AS run, count(*) AS n FROM tgt GROUP BY run_id),
+listed AS (
+  SELECT false AS wrong, run, run AS shown, n AS rows, n, true AS told, true AS seen, true AS same FROM found
+  UNION ALL SELECT true, run, run, CASE run WHEN 'fault-r02' THEN n - 1 WHEN 'recon-r03' THEN NULL ELSE n END, n, run <> 'recon-r03', true, run NOT IN ('normal-r01', 'recon-r03') FROM found
+  UNION ALL SELECT true, 'ghost-r01', 'ghost-r01', n, NULL, true, false, false FROM found WHERE run = 'normal-r01')
+"""
+
+
+def campaign_rows(wrong: str) -> str:
+    b = f"FROM listed WHERE wrong = {wrong}"
+    return checks(
+        row("file_listed", "run", "'declared and found'", "CASE WHEN told AND seen THEN 'declared and found' WHEN told THEN 'missing' ELSE 'undeclared' END", "told AND seen", b),
+        row("file_hash", "run", "'same'", "CASE WHEN same THEN 'same' WHEN seen THEN 'other' ELSE 'none' END", "same", f"{b} AND told"),
+        row("run_rows", "run", "coalesce(rows::VARCHAR, 'none')", "coalesce(n::VARCHAR, 'none')", "rows = n", b),
+        row("single_run_id", "run", "CASE WHEN told THEN run ELSE 'none' END", "CASE WHEN seen THEN run ELSE 'none' END", "told AND seen", b),
+        row("total_rows", "'count'", "rows", "n", "rows = n", f"FROM (SELECT sum(rows)::BIGINT AS rows, sum(n)::BIGINT AS n {b})"),
+        set_row("event_type_set", "event_type", "('flow', 'modbus')", 2, "FROM tgt", subset=True),
+        set_row("family_set", "family", "('normal', 'fault', 'manipulation', 'recon')", 4, "FROM tgt"),
+        set_row("label_set", "label", "('normal', 'fault', 'attack')", 3, "FROM tgt"),
+        row("family_runs", "family", "3", "n", "n = 3", "FROM (SELECT family, count(DISTINCT run_id) AS n FROM tgt GROUP BY family)"),
+    )
+
+
 MAIN_RUNS = "(3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 21, 22)"
 FAULT_NAMES = "('fault_comm_dropout', 'fault_plc_restart', 'fault_poll_storm')"
 
@@ -309,7 +334,7 @@ gated_va AS (SELECT ss.seed, s.*, (s.label = 'attack')::INTEGER AS y,
 pr AS (SELECT sc.*, threshold, (score >= threshold)::INTEGER AS pred FROM sc JOIN thr USING (seed)),
 atk AS (SELECT * FROM pr WHERE {ATTACKS}),
 ep AS (SELECT seed, family, run_id, phase AS episode, max(pred) AS hit, min(t_us) AS first_us, min(t_us) FILTER (pred = 1) AS alarm_us FROM atk GROUP BY ALL),
-{recall_ci(200)},
+{recall_ci(2000)},
 lat AS (SELECT seed, family, median((alarm_us - first_us) / 1e6) AS med, count(alarm_us) AS det, count(*) FILTER (hit = 0) AS miss FROM ep GROUP BY ALL),
 own AS (SELECT seed, count(*) FILTER (NOT passed) AS n FROM ({split_check_rows()} UNION ALL {composition_rows(GATED)}) GROUP BY seed),
 general AS (SELECT count(*) FILTER (NOT passed) AS n FROM ({readiness('tgt', '(SELECT count(*) FROM runs12)')})),
@@ -341,11 +366,9 @@ GATED_JOIN = " ".join(
     for a in ("manipulation", "recon")
 )
 
-SOURCE_ROWS = {"main_rows": "6298", "main_normal_rows": "5026", "main_attack_rows": "1272", "stress_rows": "570"}
-
 LABELLED = f"""WITH {TGT}, lb AS (SELECT event_id, run_id, phase AS phase_name, label AS phase_label FROM tgt)"""
 
-TRANSFER = f"""WITH {predicted(ALL)}, {stress(ALL)},
+TRANSFER_CTES = f"""{predicted(ALL)}, {stress(ALL)},
 per_seed AS (SELECT seed, {THRESHOLD_METRICS.replace('round(', '(').replace(', 6)', ')')} FROM pr GROUP BY seed),
 vauc AS ({auc('va', 'seed')}),
 vauc_raw AS (SELECT p.seed, sum(p.c * n.c * CASE WHEN n.score < p.score THEN 2 WHEN n.score = p.score THEN 1 ELSE 0 END)::DOUBLE / (2.0 * sum(p.c * n.c)) AS v
@@ -359,10 +382,24 @@ long AS (SELECT 'source_validation_auc' AS metric, v FROM vauc_raw UNION ALL SEL
 ens AS (SELECT 0 AS k, event_id, any_value(run_id) AS run_id, any_value(family) AS family, any_value(y) AS y, list_reduce(list(score ORDER BY seed), lambda a, b: a + b) / 20.0::DOUBLE AS score
   FROM sc GROUP BY event_id),
 {primary('ens', 'k')}, {intervals(2000, 'ens')},
-point AS (SELECT metric, value FROM (UNPIVOT (SELECT {PRIMARY} FROM prim) ON {PRIMARY} INTO NAME metric VALUE value))
-SELECT 'flow' AS schema, 'per_seed_summary' AS section, metric, round(median(v), 6) AS value, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi,
+point AS (SELECT metric, value FROM (UNPIVOT (SELECT {PRIMARY} FROM prim) ON {PRIMARY} INTO NAME metric VALUE value))"""
+TRANSFER_ROWS = """SELECT 'flow' AS schema, 'per_seed_summary' AS section, metric, round(median(v), 6) AS value, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi,
   round(min(v), 6) AS min, round(max(v), 6) AS max, count(*) AS n, true AS ready, 0::BIGINT AS n_reasons FROM long GROUP BY metric
 UNION ALL SELECT 'flow', 'primary_ensemble', metric, round(value, 6), round(lo, 6), round(hi, 6), NULL, NULL, 20, true, 0 FROM point JOIN ci USING (metric)"""
+TRANSFER = f"WITH {TRANSFER_CTES} {TRANSFER_ROWS}"
+
+SCHEMAS = "['flow', 'protocol', 'physical_strict', 'physical_proxy']"
+METRIC_ROWS = """(
+  SELECT 'per_seed_summary' AS section, unnest(['source_validation_auc', 'source_validation_fpr', 'normal_fpr', 'fault_fpr', 'manipulation_recall',
+    'recon_recall', 'run_scenario_balanced_false_positive_rate', 'event_weighted_false_positive_rate']) AS metric
+  UNION ALL SELECT 'primary_ensemble', unnest(['event_weighted_auc', 'scenario_balanced_auc', 'manipulation_vs_normal_auc', 'recon_vs_normal_auc']))"""
+#: Rows and runs of the pools, as the experiment reports them.
+AUDIT_ROWS = """SELECT '' AS schema, 'audit_' || stage AS section, metric, value::DOUBLE AS value, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi, NULL::DOUBLE AS min,
+  NULL::DOUBLE AS max, 1::BIGINT AS n, true AS ready, 0::BIGINT AS n_reasons
+FROM (UNPIVOT (SELECT stage, count(*) AS n_rows, count(DISTINCT r) AS n_runs, count(DISTINCT r || '/' || scenario) AS n_cells FROM (
+  SELECT 'raw' AS stage, run_id::VARCHAR AS r, scenario FROM src UNION ALL SELECT 'main', run_id::VARCHAR, scenario FROM main
+  UNION ALL SELECT 'stress', run_id::VARCHAR, scenario FROM stress UNION ALL SELECT 'target', run_id, scenario FROM tgt) GROUP BY stage)
+  ON n_rows, n_runs, n_cells INTO NAME metric VALUE value)"""
 
 PIVOT = ", ".join(
     f"count(*) FILTER (scenario = '{s}') AS {s}" for s in ("fault_comm_dropout", "fault_plc_restart", "fault_poll_storm")
@@ -405,7 +442,15 @@ UNION ALL SELECT event_id, '$["a.b"]', 'type', 'integer', 'boolean', '1', 'true'
 SQL: dict[str, str] = {
     "scan_events": f"""WITH {SRC} SELECT event_id, 'site_a' AS source_dataset, run_id::VARCHAR AS run_id, scenario, label, event_type,
   stamp AS "timestamp", pkts_toserver, flow_state, modbus_function, round(rudder_angle, 6) AS rudder_angle, NULL::DOUBLE AS throttle_command_left FROM src""",
-    "scan_campaign": f"WITH {TGT} SELECT run_id AS run, count(*) AS n_rows, 1::BIGINT AS n_run_ids FROM tgt GROUP BY run_id",
+    "scan_campaign": f"""WITH {TGT} SELECT run_id AS run, count(*) AS n_rows, 1::BIGINT AS n_run_ids,
+  count(throttle_command_left) FILTER (family <> 'normal') AS with_throttle, sum(event_id)::BIGINT AS id_sum, count(rudder_angle) AS with_rudder FROM tgt GROUP BY run_id""",
+    "scan_campaign_parquet": f"WITH {TGT} SELECT run_id AS run, count(*) AS n_rows, 1::BIGINT AS n_run_ids FROM tgt GROUP BY run_id",
+    "campaign_manifest": f"""WITH {TGT} SELECT run_id AS run, count(*) AS rows, CASE WHEN any_value(family) = 'normal' THEN 'baseline' ELSE 'baseline,act' END AS phases,
+  'run=' || run_id AS folder, 64 AS hash_length, true AS no_label FROM tgt GROUP BY run_id""",
+    "spec_rows": f"""WITH {SRC} SELECT tag, tag = 'source/v1' AS tag_ok, (SELECT count(*) FROM src) AS raw_rows, (SELECT count(*) FROM main) AS main_rows,
+  (SELECT count(*) FROM main WHERE label = 'normal') AS main_normal_rows, (SELECT count(*) FROM main WHERE label = 'attack') AS main_attack_rows,
+  (SELECT count(*) FROM stress) AS stress_rows, (SELECT count(DISTINCT run_id) FROM src) AS raw_runs,
+  (SELECT count(DISTINCT run_id || scenario) FROM stress) AS stress_cells FROM (SELECT unnest(['source/v1', 'source/v2']) AS tag)""",
     "phase_timeline": f"WITH {TGT} SELECT run_id, t_us, name FROM timeline",
     "manifest_rows": f"WITH {DOC_FILES} SELECT path, bytes, sha256, true AS tag_ok FROM df",
     "result_rounded": f"""WITH {predicted(ALL)}, w AS (SELECT seed, {THRESHOLD_METRICS.replace('round(', '(').replace(', 6)', ')')} FROM pr GROUP BY seed)
@@ -542,25 +587,19 @@ SELECT metric, round(lo, 6) AS lo, round(hi, 6) AS hi FROM ci""",
         count_row("raw_rows", "count(*)", "(SELECT count(*) FROM events)", "src"),
         count_row("raw_runs", "count(DISTINCT run_id)", "26", "src"),
         set_row("fault_run_set", "run_id", FAULT_RUNS, 8, "FROM stress"),
-        count_row("main_rows", "count(*)", SOURCE_ROWS["main_rows"], "main"),
-        count_row("main_normal_rows", "count(*) FILTER (label = 'normal')", SOURCE_ROWS["main_normal_rows"], "main"),
-        count_row("main_attack_rows", "count(*) FILTER (label = 'attack')", SOURCE_ROWS["main_attack_rows"], "main"),
+        count_row("main_rows", "count(*)", "(SELECT count(*) FROM main)", "main"),
+        count_row("main_normal_rows", "count(*) FILTER (label = 'normal')", "(SELECT count(*) FROM main WHERE label = 'normal')", "main"),
+        count_row("main_attack_rows", "count(*) FILTER (label = 'attack')", "(SELECT count(*) FROM main WHERE label = 'attack')", "main"),
         set_row("main_run_set", "run_id", MAIN_RUNS, 18, "FROM main"),
         set_row("main_label_set", "label", "('normal', 'attack')", 2, "FROM main"),
         count_row("main_leaked_rows", f"count(*) FILTER (run_id IN {FAULT_RUNS})", "0", "main"),
-        count_row("stress_rows", "count(*)", SOURCE_ROWS["stress_rows"], "stress"),
+        count_row("stress_rows", "count(*)", "(SELECT count(*) FROM stress)", "stress"),
         count_row("stress_cells", "count(DISTINCT run_id || scenario)", "24", "stress"),
         set_row("stress_run_set", "run_id", FAULT_RUNS, 8, "FROM stress"),
         set_row("stress_scenario_set", "scenario", FAULT_NAMES, 3, "FROM stress"),
     ),
-    "target_contract": f"WITH {TGT}, r AS (SELECT run_id, count(*) AS n FROM tgt GROUP BY run_id) " + checks(
-        row("run_rows", "run_id", "n", "n", "true", "FROM r"),
-        row("single_run_id", "run_id", "1", "1", "true", "FROM r"),
-        set_row("event_type_set", "event_type", "('flow', 'modbus')", 2, "FROM tgt", subset=True),
-        set_row("family_set", "family", "('normal', 'fault', 'manipulation', 'recon')", 4, "FROM tgt"),
-        set_row("label_set", "label", "('normal', 'fault', 'attack')", 3, "FROM tgt"),
-        row("family_runs", "family", "3", "n", "n = 3", "FROM (SELECT family, count(DISTINCT run_id) AS n FROM tgt GROUP BY family)"),
-    ),
+    "target_contract": f"WITH {TGT}, {CAMPAIGN} " + campaign_rows("false"),
+    "target_contract_faults": f"WITH {TGT}, {CAMPAIGN} " + campaign_rows("true"),
     "split_contract": f"WITH {SRC}, {splits(ALL)}, prof AS (SELECT seed, run_id, side, label FROM main JOIN sp USING (run_id)) " + checks(
         row("run_overlap", "'shared runs'", "0", "0", "true", "FROM (SELECT DISTINCT seed FROM prof)", "seed, "),
         row("runs_per_label_side", "side || '/' || label", "'>=2'", "n", "n >= 2", "FROM (SELECT seed, side, label, count(DISTINCT run_id) AS n FROM prof GROUP BY ALL)", "seed, "),
@@ -592,27 +631,29 @@ te AS (SELECT event_id, pkts_toserver + pkts_toclient + bytes_toserver + bytes_t
 SELECT event_id, (SELECT 4 + count(DISTINCT a) + count(DISTINCT b) + count(DISTINCT c) FROM tr) AS width,
   round(s + (a IN (SELECT a FROM tr))::INTEGER + (b IN (SELECT b FROM tr))::INTEGER + (c IN (SELECT c FROM tr))::INTEGER, 6) AS total FROM te""",
     "rule_scores": "SELECT event_id, (floor(value) > 0)::INTEGER::DOUBLE AS score FROM events",
-    "transfer_refused": """SELECT 'flow' AS schema, section, metric, NULL::DOUBLE AS value, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi, NULL::DOUBLE AS min,
-  NULL::DOUBLE AS max, 3::BIGINT AS n, false AS ready, 3::BIGINT AS n_reasons FROM (
-  SELECT 'per_seed_summary' AS section, unnest(['source_validation_auc', 'source_validation_fpr', 'normal_fpr', 'fault_fpr', 'manipulation_recall',
-    'recon_recall', 'run_scenario_balanced_false_positive_rate', 'event_weighted_false_positive_rate']) AS metric
-  UNION ALL SELECT 'primary_ensemble', unnest(['event_weighted_auc', 'scenario_balanced_auc', 'manipulation_vs_normal_auc', 'recon_vs_normal_auc']))""",
+    "transfer_refused": f"""SELECT 'flow' AS schema, section, metric, NULL::DOUBLE AS value, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi, NULL::DOUBLE AS min,
+  NULL::DOUBLE AS max, 20::BIGINT AS n, false AS ready, 20::BIGINT AS n_reasons FROM {METRIC_ROWS}""",
+    "transfer_withheld": f"""WITH {SRC}, {TGT}, {CAMPAIGN}
+SELECT schema, section, metric, NULL::DOUBLE AS value, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi, NULL::DOUBLE AS min, NULL::DOUBLE AS max, 20::BIGINT AS n,
+  false AS ready, (SELECT count(*) FILTER (NOT passed) FROM ({campaign_rows('true')})) AS n_reasons FROM {METRIC_ROWS} CROSS JOIN (SELECT unnest({SCHEMAS}) AS schema)
+UNION ALL {AUDIT_ROWS}""",
     "forest_scores": "SELECT seed, n AS n_rows, n AS n_events, true AS in_range, true AS repeatable FROM (SELECT count(*) AS n FROM events) CROSS JOIN (SELECT unnest([42, 43]) AS seed)",
-    "transfer_experiment": """SELECT schema, section, n_metrics::BIGINT AS n_metrics, 2::BIGINT AS n_seeds, true AS in_range, true AS within_budget, true AS ordered
-FROM (SELECT unnest(['flow', 'physical_proxy']) AS schema) CROSS JOIN (VALUES ('per_seed_summary', 8), ('primary_ensemble', 4)) v(section, n_metrics)""",
+    "transfer_experiment": f"""WITH {TRANSFER_CTES}, one AS ({TRANSFER_ROWS})
+SELECT s.schema, one.* EXCLUDE (schema) FROM one CROSS JOIN (SELECT unnest({SCHEMAS}) AS schema) s UNION ALL {AUDIT_ROWS}""",
     "file_inventory": """WITH b AS (SELECT *, (sum(strlen(text) + 1) OVER (PARTITION BY source ORDER BY doc_id) - 1)::BIGINT // 131072 AS bucket FROM documents)
 SELECT 'source=' || source || '/bucket=' || bucket AS folder, sum(strlen(text) + 1)::BIGINT AS bytes, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS sha256
 FROM b GROUP BY source, bucket""",
     "transfer_schema": TRANSFER,
     "lodo_eval": f"""{gated_base()}
-SELECT m.seed, m.n_reasons = 0 AS ready, CASE WHEN m.n_reasons = 0 THEN 'headline' ELSE 'contract' END AS mode, m.n_reasons::BIGINT AS n_reasons,
-  {{shown}} FROM modes m JOIN rates USING (seed) JOIN load USING (seed) {GATED_JOIN}""",  # metrics are filled in below
+SELECT schema, m.seed, m.n_reasons = 0 AS ready, CASE WHEN m.n_reasons = 0 THEN 'headline' ELSE 'contract' END AS mode, m.n_reasons::BIGINT AS n_reasons,
+  {{shown}} FROM modes m JOIN rates USING (seed) JOIN load USING (seed) {GATED_JOIN} CROSS JOIN (SELECT unnest({SCHEMAS}) AS schema)""",  # metrics are filled in below
     "lodo_multiseed": f"""{gated_base()},
 v AS (SELECT rates.seed, round(fpr_normal, 4) AS fpr_normal, round(fpr_fault, 4) AS fpr_fault, round(recall_event_manipulation, 4) AS recall_event_manipulation,
   round(recall_event_recon, 4) AS recall_event_recon, round(a.mean, 3) AS recall_episode_manipulation, round(b.mean, 3) AS recall_episode_recon
   FROM rates JOIN rci a ON a.seed = rates.seed AND a.family = 'manipulation' JOIN rci b ON b.seed = rates.seed AND b.family = 'recon')
-SELECT metric, CASE WHEN metric LIKE 'recall_episode%' THEN round(avg(value), 3) ELSE round(avg(value), 4) END AS mean, min(value) AS min, max(value) AS max
-FROM (UNPIVOT v ON fpr_normal, fpr_fault, recall_event_manipulation, recall_event_recon, recall_episode_manipulation, recall_episode_recon INTO NAME metric VALUE value) GROUP BY metric""",
+SELECT schema, metric, CASE WHEN metric LIKE 'recall_episode%' THEN round(avg(value), 3) ELSE round(avg(value), 4) END AS mean, min(value) AS min, max(value) AS max
+FROM (UNPIVOT v ON fpr_normal, fpr_fault, recall_event_manipulation, recall_event_recon, recall_episode_manipulation, recall_episode_recon INTO NAME metric VALUE value)
+CROSS JOIN (SELECT unnest({SCHEMAS}) AS schema) GROUP BY schema, metric""",
     "manifest_build": f"WITH {DOC_FILES} SELECT count(*) AS file_count, sum(bytes)::BIGINT AS total_bytes, true AS release_eligible FROM df",
     "manifest_reconcile": f"WITH {CHANGED} SELECT path, status, declared_bytes, actual_bytes FROM rec",
     "artifact_verify": f"""WITH {CHANGED}, {CONTENT_RULES}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from driftline.catalog import (
     DEFAULT_ROLES,
     FAMILIES,
+    FEATURE_SCHEMAS,
     PROPULSION,
     RUDDER,
     SAFE_BANDS,
@@ -139,8 +140,57 @@ def scan_events(spark, d):
     )
 
 
+def declared_runs(spark, d):
+    """(run, rows, phases) of the campaign, told from the raw events by rules of their own."""
+    return fx.load(spark, d, "events").selectExpr(
+        "CASE event_type WHEN 'error' THEN 'fault' WHEN 'purchase' THEN 'manipulation' WHEN 'signup' THEN 'recon' ELSE 'normal' END AS family",
+        "event_id % 3 + 1 AS number",
+    ).groupBy("family", "number").agg(F.count(F.lit(1)).alias("rows")).selectExpr(
+        "concat(family, '-r0', number) AS run", "rows", "IF(family = 'normal', array('baseline'), array('baseline', 'act')) AS phases"
+    )
+
+
+def campaign(spark, d):
+    """Folder of a campaign: a CSV file per run, in two layouts, and a manifest beside it with rows and hash of each file."""
+    root = f"{shared_dir(spark)}/campaign-{uuid.uuid4().hex}"
+    rows = target(spark, d).drop("t_us").withColumn("run", F.col("run_id"))
+    plain = F.col("run").startswith("normal")
+    short = rows.filter(plain).drop("throttle_command_left", "throttle_command_right", "hydraulic_pump_rpm_left", "hydraulic_pump_rpm_right")
+    for layout, mode in ((short, "overwrite"), (rows.filter(~plain), "append")):
+        dealt = layout.repartition("run").sortWithinPartitions("run", "event_id")
+        dealt.write.mode(mode).option("header", True).partitionBy("run").csv(f"{root}/runs")
+    found = campaign_files(spark, root)
+    run = F.regexp_extract("path", "run=([^/]+)/", 1)
+    listed = declared_runs(spark, d).join(found.select(run.alias("run"), F.col("path").alias("output"), F.col("sha256").alias("output_sha256")), "run")
+    record = F.struct("run", "rows", "phases", "output", "output_sha256")
+    document = listed.agg(F.to_json(F.struct(F.lit("campaign/v1").alias("schema"), F.sort_array(F.collect_list(record)).alias("runs"))))
+    document.write.text(f"{root}/manifest")
+    return root
+
+
+def campaign_files(spark, root):
+    return files.file_inventory(spark, f"{root}/runs").filter(F.element_at(F.split("path", "/"), -1).startswith("part-"))
+
+
+def campaign_rows(spark, root):
+    """All rows of the campaign's files, with ``output``, their file below the folder of runs."""
+    rows = ev.scan_campaign(spark, [f"{root}/runs"])
+    return rows.withColumn("output", F.regexp_extract("file", f"{root.rsplit('/', 1)[1]}/runs/(.*)$", 1))
+
+
 @query
 def scan_campaign(spark, d):
+    """CSV files of two layouts in one scan."""
+    rows = campaign_rows(spark, campaign(spark, d))
+    run = F.regexp_extract("output", "run=([^/]+)/", 1)
+    return rows.groupBy(run.alias("run")).agg(
+        n_rows(), F.count_distinct("run_id").alias("n_run_ids"), F.count("throttle_command_left").alias("with_throttle"),
+        F.sum("event_id").alias("id_sum"), F.count("rudder_angle").alias("with_rudder"),
+    )
+
+
+@query
+def scan_campaign_parquet(spark, d):
     path = f"{shared_dir(spark)}/campaign-{uuid.uuid4().hex}"
     target(spark, d).withColumn("run", F.col("run_id")).write.partitionBy("run").parquet(path)
     rows = ev.scan_campaign(spark, [path], "parquet")
@@ -148,6 +198,40 @@ def scan_campaign(spark, d):
     return rows.groupBy(run.alias("run")).agg(n_rows(), F.count_distinct("run_id").alias("n_run_ids"))
 
 
+@query
+def campaign_manifest(spark, d):
+    """The manifest written beside the campaign, read back."""
+    runs = files.scan_campaign_manifest(spark, f"{campaign(spark, d)}/manifest")
+    return runs.select(
+        "run", "rows", F.array_join("phases", ",").alias("phases"), F.split("output", "/")[0].alias("folder"),
+        F.length("output_sha256").alias("hash_length"), F.col("run_label").isNull().alias("no_label"),
+    )
+
+
+def source_spec(spark, d):
+    """Path of a specification with the counts that the source table must have, told from the raw events by rules of their own."""
+    fault = f"event_id % 26 + 3 IN ({', '.join(map(str, fx.FAULT_RUNS))})"
+    told = fx.load(spark, d, "events").selectExpr(
+        f"{fault} AS fault_run", "event_id % 11 <> 0 AS accepted", "event_type = 'error' AS error", "event_type = 'purchase' AS purchase",
+        "event_id % 26 AS run", "floor(value) % 3 AS kind",
+    ).selectExpr("*", "accepted AND NOT fault_run AS main", "accepted AND fault_run AND error AS stress").agg(
+        F.count(F.lit(1)).alias("raw_rows"), F.count_if("main").alias("main_rows"), F.count_if(F.col("main") & ~F.col("purchase")).alias("main_normal_rows"),
+        F.count_if(F.col("main") & F.col("purchase")).alias("main_attack_rows"), F.count_if("stress").alias("stress_rows"),
+        F.count_distinct("run").alias("raw_runs"), F.count_distinct(F.when(F.col("stress"), F.struct("run", "kind"))).alias("stress_cells"),
+    )
+    path = f"{shared_dir(spark)}/spec-{uuid.uuid4().hex}"
+    told.select(F.to_json(F.struct(F.lit("source/v1").alias("schema"), F.struct("*").alias("expected")))).write.text(path)
+    return path
+
+
+@query
+def spec_rows(spark, d):
+    """The specification read back, under its own tag and under another."""
+    path = source_spec(spark, d)
+    parts = [files.scan_spec(spark, path, tag).select(F.lit(tag).alias("tag"), "tag_ok", "expected.*") for tag in ("source/v1", "source/v2")]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def phase_timeline(spark, d):
     return timeline(spark, d)
@@ -735,31 +819,50 @@ def class_composition(spark, d):
     return contracts.class_composition(profile, target(spark, d), ALL_SEEDS)
 
 
-@query
-def source_contract(spark, d):
+def source_checks(spark, d):
     src = source(spark, d)
     main_runs = [r for r in range(3, 29) if r not in fx.FAULT_RUNS]
-    total = spark.read.parquet(f"{d}/events.parquet").count()
+    counts = files.scan_spec(spark, source_spec(spark, d), "source/v1").select("expected.*").first().asDict()
     expected = {
-        "event_types": ("flow", "modbus"), "fault_runs": fx.FAULT_RUNS, "labels": ("normal", "attack"),
-        "raw_rows": total, "raw_runs": 26, "main_rows": 6298, "main_normal_rows": 5026,
-        "main_attack_rows": 1272, "main_runs": main_runs, "stress_rows": 570, "stress_cells": 24,
-        "stress_scenarios": fx.FAULT_SCENARIOS,
+        **counts, "event_types": ("flow", "modbus"), "fault_runs": fx.FAULT_RUNS, "labels": ("normal", "attack"),
+        "main_runs": main_runs, "stress_scenarios": fx.FAULT_SCENARIOS,
     }
     return contracts.source_contract(src, pools.main_pool(src), pools.stress_pool(src), expected)
 
 
+@query
+def source_contract(spark, d):
+    """Counts from a specification that was written from the raw events."""
+    return source_checks(spark, d)
+
+
+def target_checks(spark, d, faults=False):
+    """The campaign's files against its manifest; with ``faults``, against one that is wrong about four files."""
+    root = campaign(spark, d)
+    manifest = files.scan_campaign_manifest(spark, f"{root}/manifest").select("run", "rows", "output", "output_sha256")
+    if faults:
+        run = F.col("run")
+        manifest = manifest.where(run != "recon-r03").select(
+            "run", F.when(run == "fault-r02", F.col("rows") - 1).otherwise(F.col("rows")).alias("rows"), "output",
+            F.when(run == "normal-r01", F.reverse("output_sha256")).otherwise(F.col("output_sha256")).alias("output_sha256"),
+        )
+        ghost = manifest.where(run == "normal-r01").select(F.lit("ghost-r01").alias("run"), "rows", F.lit("run=ghost-r01/part-0.csv").alias("output"), "output_sha256")
+        manifest = manifest.unionByName(ghost)
+    checks = contracts.campaign_contract(campaign_rows(spark, root), manifest, campaign_files(spark, root), ("flow", "modbus"), ("normal", "fault", "attack"), FAMILIES)
+    # File names carry the writer's id; the run is what stays.
+    named = F.regexp_extract("subject", "run=([^/]+)/", 1)
+    return checks.withColumn("subject", F.when(named == "", F.col("subject")).otherwise(named))
+
+
 @query
 def target_contract(spark, d):
-    df = target(spark, d).withColumn("run", F.col("run_id"))
-    declared = fx.load(spark, d, "events").groupBy(
-        F.concat(
-            F.when(F.col("event_type") == "error", "fault").when(F.col("event_type") == "purchase", "manipulation")
-            .when(F.col("event_type") == "signup", "recon").otherwise("normal"),
-            F.lit("-r0"), (F.col("event_id") % 3 + 1).cast("string"),
-        ).alias("run")
-    ).agg(F.count(F.lit(1)).alias("rows"))
-    return contracts.target_contract(df, declared, ("flow", "modbus"), ("normal", "fault", "attack"), FAMILIES)
+    return target_checks(spark, d)
+
+
+@query
+def target_contract_faults(spark, d):
+    """A wrong hash, a missing file, an undeclared file and an extra row: each is a failed row."""
+    return target_checks(spark, d, faults=True)
 
 
 @query
@@ -812,7 +915,7 @@ def hash_scorer():
     return fit
 
 
-SMALL_FOREST = dict(trees=20, max_depth=6)
+FOREST = dict(trees=200, max_depth=8)
 
 
 @query
@@ -831,7 +934,7 @@ def forest_scores(spark, d):
     rows = materialize(transfer.prepare(target(spark, d), fs.name), "target")
     out = None
     for seed in (42, 43):
-        first, again = (scoring.forest_scorer(**SMALL_FOREST)(train, fs, seed)(rows, "score") for _ in range(2))
+        first, again = (scoring.forest_scorer(**FOREST)(train, fs, seed)(rows, "score") for _ in range(2))
         both = first.select("event_id", "score").join(again.select("event_id", F.col("score").alias("again")), "event_id")
         part = both.agg(
             F.lit(seed).alias("seed"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("event_id").alias("n_events"),
@@ -850,43 +953,49 @@ def rule_scores(spark, d):
 
 
 FROZEN = transfer.Experiment(seeds=tuple(ALL_SEEDS), replicates=REPLICATES)
+RESULT_DOUBLES = ("value", "lo", "hi", "min", "max")
 
 
 @query
 def transfer_schema(spark, d):
     out = transfer.transfer_schema(source(spark, d), target(spark, d), "flow", hash_scorer(), FROZEN)
-    return rounded(out, "value", "lo", "hi", "min", "max")
+    return rounded(out, *RESULT_DOUBLES)
 
 
 @query
 def transfer_refused(spark, d):
     """A target with one normal run has too few to resample: no number may be shown."""
     one = target(spark, d).filter(~F.col("run_id").isin("normal-r02", "normal-r03"))
-    exp = transfer.Experiment(seeds=(42, 43, 44), replicates=200)
-    out = transfer.transfer_schema(source(spark, d), one, "flow", hash_scorer(), exp)
-    return rounded(out, "value", "lo", "hi", "min", "max")
+    out = transfer.transfer_schema(source(spark, d), one, "flow", hash_scorer(), FROZEN)
+    return rounded(out, *RESULT_DOUBLES)
+
+
+@query
+def transfer_withheld(spark, d):
+    """All schemas, when the target's files are not those of its manifest: nothing is scored or shown."""
+    checks = materialize(target_checks(spark, d, faults=True), "contracts")
+    out = transfer.transfer_experiment(source(spark, d), target(spark, d), hash_scorer(), FROZEN, checks)
+    return rounded(out, *RESULT_DOUBLES)
 
 
 @query
 def transfer_experiment(spark, d):
-    """Invariants of the experiment with forests, small ones, for two seeds and the two outer schemas."""
-    exp = transfer.Experiment(seeds=(42, 43), schemas=("flow", "physical_proxy"), replicates=200, force=True)
-    out = transfer.transfer_experiment(source(spark, d), target(spark, d), scoring.forest_scorer(trees=5, max_depth=4), exp)
-    rates = out.filter(F.col("section").isin("per_seed_summary", "primary_ensemble"))
-    fpr = F.when(F.col("metric") == "source_validation_fpr", F.col("max") <= MAX_FPR)
-    return rates.groupBy("schema", "section").agg(
-        F.count(F.lit(1)).alias("n_metrics"), F.min("n").alias("n_seeds"),
-        F.bool_and(F.col("value").between(0.0, 1.0)).alias("in_range"),
-        F.bool_and(F.coalesce(fpr, F.lit(True))).alias("within_budget"),
-        F.bool_and(F.coalesce(F.col("lo") <= F.col("hi"), F.lit(True))).alias("ordered"),
-    )
+    """All schemas and seeds with the replayable score, under the contracts of both tables."""
+    checks = materialize(source_checks(spark, d).unionByName(target_checks(spark, d)), "contracts")
+    out = transfer.transfer_experiment(source(spark, d), target(spark, d), hash_scorer(), FROZEN, checks)
+    return rounded(out, *RESULT_DOUBLES)
 
 
 def _gated(spark, d, seeds, force=False):
+    """One row per schema and seed."""
     src = source(spark, d).withColumn("run_id", F.col("run_id").cast("string"))
-    return gated.gated_eval(
-        src, target(spark, d), "flow", ground_truth(spark, d), hash_scorer(), seeds, MAX_FPR, force=force, replicates=200
-    )
+    parts = [
+        gated.gated_eval(
+            src, target(spark, d), schema, ground_truth(spark, d), hash_scorer(), seeds, MAX_FPR, force=force, replicates=REPLICATES
+        ).select(F.lit(schema).alias("schema"), "*")
+        for schema in FEATURE_SCHEMAS
+    ]
+    return ev.union_runs(*parts)
 
 
 GATED_DOUBLES = (
@@ -905,7 +1014,7 @@ def lodo_eval(spark, d):
 
 @query
 def lodo_multiseed(spark, d):
-    return gated.multiseed_summary(materialize(_gated(spark, d, GATED_SEEDS, force=True), "per-seed"))
+    return gated.multiseed_summary(materialize(_gated(spark, d, GATED_SEEDS, force=True), "per-seed"), ["schema"])
 
 
 # --- artifact audit --------------------------------------------------------------------------

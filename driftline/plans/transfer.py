@@ -6,13 +6,13 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.catalog import FAMILIES, FEATURE_SCHEMAS, feature_schema
 from driftline.functions.scalar import is_attack, scenario_family
 from driftline.operators.bootstrap import bootstrap_intervals
-from driftline.operators.contracts import metric_preconditions, result_contract, split_contract
+from driftline.operators.contracts import failures, metric_preconditions, result_contract, split_contract, union_checks
 from driftline.operators.features import build_features
 from driftline.operators.pools import main_pool, pool_audit, stress_pool
 from driftline.operators.ranking import (
@@ -139,8 +139,7 @@ def evaluate(scores: dict[str, DataFrame], schema: str, exp: Experiment, checks:
     found = materialize(point.join(ranges, "metric"), "primary")
     conditions = metric_preconditions(by_seed(target, exp.seeds), KEYS, FAMILIES)
     results = result_contract(fpr.select("seed", "validation_fpr"), found, exp.seeds, exp.max_fpr)
-    failed = F.count(F.when(~F.coalesce("passed", F.lit(False)), 1)).alias("n")
-    reasons = sum(part.agg(failed).first()["n"] for part in (checks, conditions, results))
+    reasons = failures(union_checks(*[part.select("passed") for part in (checks, conditions, results)]))
     primary = found.select(
         "schema", F.lit("primary_ensemble").alias("section"), "metric", "value", "lo", "hi",
         none.alias("min"), none.alias("max"), F.lit(len(exp.seeds)).cast("bigint").alias("n"),
@@ -153,25 +152,45 @@ def evaluate(scores: dict[str, DataFrame], schema: str, exp: Experiment, checks:
     )
 
 
+def withheld(spark: SparkSession, schema: str, exp: Experiment, reasons: int) -> DataFrame:
+    """The result rows of a schema whose numbers may not be made."""
+    metrics = [("per_seed_summary", m) for m in ("source_validation_auc", "source_validation_fpr", *THRESHOLD_METRICS, *STRESS_METRICS)]
+    metrics += [("primary_ensemble", m) for m in PRIMARY_METRICS]
+    rows = [(schema, section, metric, None, None, None, None, None, len(exp.seeds), False, reasons) for section, metric in metrics]
+    return spark.createDataFrame(
+        rows, "schema string, section string, metric string, value double, lo double, hi double, min double, max double, "
+        "n bigint, ready boolean, n_reasons bigint"
+    )
+
+
 def transfer_schema(
-    source: DataFrame, target: DataFrame, schema: str, scorer: Scorer, exp: Experiment = Experiment()
+    source: DataFrame, target: DataFrame, schema: str, scorer: Scorer, exp: Experiment = Experiment(),
+    contracts: DataFrame | None = None,
 ) -> DataFrame:
-    """One feature schema end to end."""
+    """One feature schema end to end.
+
+    ``contracts`` are checks of the input tables. They are counted before anything is scored: if one failed, nothing
+    is fitted and the schema keeps its rows without numbers, unless the experiment is forced.
+    """
+    broken = failures(contracts) if contracts is not None else 0
+    if broken and not exp.force:
+        return withheld(source.sparkSession, schema, exp, broken)
     main, stress = main_pool(source, exp.labels), stress_pool(source)
     runs = main.select(F.col("run_id").cast("string").alias("run_id"))
     splits = materialize(split_by_run(runs, list(exp.seeds), exp.validation_fraction), "splits")
     scores = score_seeds(main, stress, target, splits, schema, scorer, exp.seeds, exp.parallel_fits)
     profile = split_profile(main.withColumn("run_id", F.col("run_id").cast("string")), splits)
-    return evaluate(scores, schema, exp, split_contract(profile, exp.labels, minimum_normals=exp.minimum_normals))
+    checks = split_contract(profile, exp.labels, minimum_normals=exp.minimum_normals).drop("seed")
+    return evaluate(scores, schema, exp, checks if contracts is None else checks.unionByName(contracts))
 
 
 def transfer_experiment(
-    source: DataFrame, target: DataFrame, scorer: Scorer, exp: Experiment = Experiment()
+    source: DataFrame, target: DataFrame, scorer: Scorer, exp: Experiment = Experiment(), contracts: DataFrame | None = None
 ) -> DataFrame:
-    """All schemas and the row audit as one long table."""
+    """All schemas and the row audit as one long table; ``contracts`` guard every schema."""
     out = None
     for schema in exp.schemas:
-        part = transfer_schema(source, target, schema, scorer, exp)
+        part = transfer_schema(source, target, schema, scorer, exp, contracts)
         out = part if out is None else out.unionByName(part)
     audit = pool_audit({
         "raw": source, "main": main_pool(source, exp.labels), "stress": stress_pool(source), "target": target,

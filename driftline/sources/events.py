@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import csv
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from driftline.catalog import EVENT_SCHEMA
 from driftline.functions.scalar import epoch_micros, stripped
+from driftline.operators.ordered import small_side
 from driftline.session import materialize
 
 GROUND_TRUTH_PHASES = T.ArrayType(
@@ -52,27 +53,32 @@ def scan_campaign(
 ) -> DataFrame:
     """One table over many per-run files, with the file each row came from.
 
-    Parquet files that differ in optional columns are merged by name in one multi-path scan; CSV
-    files are grouped by header so that each layout is one scan. Headers are read a few files at a
-    time; campaigns of very many files are better kept as Parquet.
+    Parquet files that differ in optional columns are merged by name in one multi-path scan. CSV files are
+    read as lines in one scan: the first line of each file names its columns, and each line is parsed by
+    the layout of its file. No job runs per file; only the distinct layouts come to the driver. Values that do not fit
+    their type fail the read; quoted line breaks are not supported here (``scan_events`` has them).
     """
     if fmt == "parquet":
         df = spark.read.option("mergeSchema", True).parquet(*paths)
         return align_columns(df.withColumn("file", F.col("_metadata.file_path")), schema)
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    ordered = sorted(paths)
-    with ThreadPoolExecutor(max_workers=16) as pool:
-        headers = pool.map(lambda p: tuple(spark.read.option("header", True).csv(p).columns), ordered)
-        for path, header in zip(ordered, headers):
-            layouts.setdefault(header, []).append(path)
-    parts = [
-        scan_events(spark, group, fmt, schema).withColumn("file", F.col("_metadata.file_path"))
-        for group in layouts.values()
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"))
+    first = F.min_by("value", "_line").alias("_header")
+    heads = lines.withColumn("_line", F.monotonically_increasing_id()).where(F.col("_start") == 0).groupBy("file").agg(first)
+    heads = small_side(heads)
+    layouts = {r["_header"]: next(csv.reader([r["_header"]])) for r in heads.select("_header").distinct().collect()}
+    types = {f.name: f.dataType.simpleString() for f in schema.fields}
+    names = list(dict.fromkeys(sorted({c for cols in layouts.values() for c in cols}, key=lambda c: (list(types).index(c) if c in types else len(types), c))))
+    record = None
+    for header, columns in sorted(layouts.items()):
+        ddl = ", ".join(f"`{c}` {types.get(c, 'string')}" for c in columns)
+        parsed = F.from_csv("value", ddl, {"mode": "FAILFAST"})
+        fields = [(parsed[c] if c in columns else F.lit(None).cast(types.get(c, "string"))).alias(c) for c in names]
+        here = F.col("_header") == header
+        record = F.when(here, F.struct(*fields)) if record is None else record.when(here, F.struct(*fields))
+    if record is None:
+        return align_columns(spark.createDataFrame([], "file string"), schema)
+    rows = lines.join(heads, "file").where((F.col("value") != F.col("_header")) & (F.col("value") != ""))
+    return align_columns(rows.select(record.alias("r"), "file").select("r.*", "file"), schema)
 
 
 def number_events(df: DataFrame) -> DataFrame:
