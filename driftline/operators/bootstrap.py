@@ -26,6 +26,8 @@ from driftline.operators.ordered import Split, checkpointed, running_sum
 from driftline.operators.ranking import ALL_FAMILIES, PRIMARY_METRICS, metric_columns
 
 DRAW_BLOCK = 4096
+#: Standard deviations of a binomial count that are tabulated on either side of its mean.
+SPREADS = 12
 SEGMENT_CELLS = 50_000
 #: Draw counts (runs times replicates) that one task holds.
 BLOCK_DRAWS = 4_000_000
@@ -225,19 +227,40 @@ def episode_recall_ci(
 ) -> DataFrame:
     """Mean and percentile interval of resampled episode recall, from hit counts alone.
 
-    ``hits`` has one row per key with ``n_episodes`` and ``n_hit``. Episodes are exchangeable, so a
-    draw is a hit when its index falls below ``n_hit``: no episode list is joined or collected.
-    The draw hash takes the value of ``seed_column`` and the other keys.
+    ``hits`` has one row per key with ``n_episodes`` and ``n_hit``. Episodes are exchangeable, so a resample's
+    hits follow the binomial distribution of (episodes, share hit). A replicate is one hash, inverted at that
+    distribution: no draw per episode is made. ``SPREADS`` standard deviations of it are tabulated, beyond which
+    less than 1e-30 lies, so work grows with the root of the number of episodes at most.
+    The hash takes the value of ``seed_column`` and the other keys. A key without episodes has no interval.
     """
     others = [k for k in keys if k != seed_column]
-    draws = _draws(hits, replicates, "n_episodes")
-    index = hash32(seed_column, *others, "replicate", "draw") % F.col("n_episodes")
-    means = draws.groupBy(*keys, "replicate").agg(
-        F.avg((index < F.col("n_hit")).cast("int")).alias("value")
+    n, hit = F.col("n_episodes").cast("double"), F.col("n_hit").cast("double")
+    wide = F.ceil(SPREADS * F.sqrt(hit * (n - hit) / n) + SPREADS)
+    first = F.greatest(F.col("n_hit") - wide, F.lit(0)).cast("bigint")
+    last = F.least(F.col("n_hit") + wide, F.col("n_episodes")).cast("bigint")
+    table = hits.where("n_episodes > 0").select(
+        *keys, "n_episodes", "n_hit", first.alias("_first"), F.explode(F.sequence(first, last)).alias("k")
     )
-    lo = F.percentile("value", alpha / 2).alias("lo")
-    hi = F.percentile("value", 1 - alpha / 2).alias("hi")
-    point = hits.select(*keys, "n_episodes", (F.col("n_hit") / F.col("n_episodes")).alias("mean"))
-    return point.join(means.groupBy(*keys).agg(lo, hi), list(keys), "left").select(
-        *keys, "mean", "lo", "hi", "n_episodes"
+    certain = (F.col("n_hit") == 0) | (F.col("n_hit") == F.col("n_episodes"))
+    table = table.where(~certain | (F.col("k") == F.col("n_hit")))
+    # Each count's weight by that of the count before it; the largest weight is brought to one.
+    odds = F.log(n - F.col("k") + 1) - F.log(F.col("k").cast("double")) + F.log(hit) - F.log(n - hit)
+    step = F.when(certain | (F.col("k") == F.col("_first")), F.lit(0.0)).otherwise(odds)
+    ordered = Window.partitionBy(*keys).orderBy("k")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    group = Window.partitionBy(*keys)
+    weighted = table.withColumn("_log", F.sum(step).over(upto)).withColumn("_w", F.exp(F.col("_log") - F.max("_log").over(group)))
+    below = weighted.select(*keys, "k", F.coalesce(F.sum("_w").over(ordered.rowsBetween(Window.unboundedPreceding, -1)) / F.sum("_w").over(group), F.lit(0.0)).alias("at"))
+    draws = hits.where("n_episodes > 0").select(*keys, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    at = (hash32(seed_column, *others, "replicate") + F.lit(0.5)) / F.lit(float(1 << 32))
+    # A replicate's count is the last one whose lower bound lies at or below its hash.
+    both = below.select(*keys, "at", "k", F.lit(0).alias("drawn")).unionByName(
+        draws.select(*keys, at.alias("at"), F.lit(None).cast("bigint").alias("k"), F.lit(1).alias("drawn"))
+    )
+    found = F.last("k", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("at", "drawn").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counts = both.withColumn("_found", found).where("drawn = 1")
+    spread = counts.groupBy(*keys).agg(F.percentile("_found", alpha / 2).alias("_lo"), F.percentile("_found", 1 - alpha / 2).alias("_hi"))
+    point = hits.select(*keys, "n_episodes", F.try_divide("n_hit", "n_episodes").alias("mean"))
+    return point.join(spread, list(keys), "left").select(
+        *keys, "mean", F.try_divide("_lo", "n_episodes").alias("lo"), F.try_divide("_hi", "n_episodes").alias("hi"), "n_episodes"
     )

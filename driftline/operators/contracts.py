@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from driftline.catalog import OTHER
 from driftline.operators.ordered import checkpointed
-from driftline.operators.pools import with_family
+from driftline.operators.pools import rows_of, with_family
 from driftline.operators.splits import TRAIN, VALIDATION
 
 MIN_REPEATS = 3
@@ -97,7 +97,7 @@ def value_profile(df: DataFrame, columns: Sequence[str], times: bool = False) ->
     run, scenario, label and type are few next to the events.
     """
     have = [c for c in columns if c in df.columns]
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    aggs = [rows_of(df).alias("n_rows")]
     if times and "t_us" in df.columns:
         aggs += [F.min("t_us").alias("lo"), F.max("t_us").alias("hi")]
     return checkpointed(df.groupBy(*have).agg(*aggs))
@@ -427,12 +427,14 @@ def result_contract(
 ) -> DataFrame:
     """All seeds present once, validation rate within budget, each point inside its interval.
 
-    ``validation`` is ``(seed, validation_fpr)``; ``intervals`` is ``(metric, value, lo, hi)``.
+    ``validation`` is ``(seed, validation_fpr)``; ``intervals`` is ``(metric, value, lo, hi)``. The list of seeds
+    must be in order: results are reported by it.
     """
     listed = F.col("seed").isin(list(seeds))
     row = validation.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_distinct(F.when(listed, F.col("seed"))).alias("hit"),
+        F.array_join(F.sort_array(F.collect_list("seed")).cast("array<string>"), ",").alias("order"),
         F.count(F.when(~F.coalesce(F.col("validation_fpr") <= F.lit(max_fpr), F.lit(False)), 1)).alias("over"),
     )
     inside = (F.col("lo") <= F.col("value")) & (F.col("value") <= F.col("hi"))
@@ -440,6 +442,7 @@ def result_contract(
     return union_checks(
         checks_from_aggregate(row, [
             ("seeds_complete", "seeds", len(seeds), F.col("hit"), (F.col("hit") == len(seeds)) & (F.col("n") == len(seeds))),
+            ("seed_list", "in order", ",".join(map(str, seeds)), F.col("order"), F.col("order") == ",".join(map(str, seeds))),
             ("validation_fpr_within_budget", "seeds over budget", 0, F.col("over"), F.col("over") == 0),
         ]),
         check(intervals, "interval_holds_point", F.col("metric"), "inside", shown, inside),

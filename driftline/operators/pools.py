@@ -4,12 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.catalog import ACCEPTED_TYPES
 from driftline.functions.scalar import is_attack, scenario_family
-from driftline.operators.ordered import small_side
+from driftline.operators.ordered import checkpointed, small_side
+
+
+POOL_COLUMNS = ("run_id", "scenario", "label", "event_type")
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """Rows per run, scenario, label and type, as ``n_rows``, checkpointed.
+
+    The pools are defined by these columns, so every pool of the counted table is the count of the pool: audits
+    and contracts of all pools then come from one pass over the events.
+    """
+    return checkpointed(df.groupBy(*POOL_COLUMNS).agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+def rows_of(df: DataFrame) -> Column:
+    """Number of events in an aggregate, of an event table or of a counted one."""
+    return F.coalesce(F.sum("n_rows"), F.lit(0)) if "n_rows" in df.columns else F.count(F.lit(1))
 
 
 def accepted_events(df: DataFrame, types: Sequence[str] = ACCEPTED_TYPES) -> DataFrame:
@@ -115,7 +132,7 @@ def pool_audit(pools: dict[str, DataFrame]) -> DataFrame:
     out = None
     for stage, df in pools.items():
         # Several distinct counts over raw rows would copy each row; count cells first.
-        cells = df.groupBy("run_id", "scenario").agg(F.count(F.lit(1)).alias("n"))
+        cells = df.groupBy("run_id", "scenario").agg(rows_of(df).alias("n"))
         one = cells.agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
             F.count_distinct("run_id").alias("n_runs"),

@@ -314,12 +314,22 @@ cell AS (SELECT seed, run_id, scenario, avg((score >= threshold)::INTEGER) AS ce
   FROM st JOIN thr USING (seed) GROUP BY ALL)"""
 
 
+def inverted(replicates: int, keys: str) -> str:
+    """CTE ``boot``: per key of ``hits`` and replicate the share hit, a hash inverted at the whole binomial distribution."""
+    hashed = h(*["seed", *[k for k in keys.split(", ") if k != "seed"], "b.replicate"])
+    return f"""
+pmf AS (SELECT {keys}, n_episodes, k, CASE WHEN n_hit IN (0, n_episodes) THEN (k = n_hit)::INTEGER::DOUBLE
+    ELSE exp(lgamma(n_episodes + 1) - lgamma(k + 1) - lgamma(n_episodes - k + 1) + k * ln(n_hit / n_episodes) + (n_episodes - k) * ln(1 - n_hit / n_episodes)) END AS w
+  FROM (SELECT *, unnest(range(n_episodes + 1)) AS k FROM hits)),
+cdf AS (SELECT *, sum(w) OVER (PARTITION BY {keys} ORDER BY k) AS c FROM pmf),
+boot AS (SELECT {keys}, replicate, count(*) FILTER (c <= u) / any_value(n_episodes) AS value
+  FROM cdf JOIN (SELECT hits.* EXCLUDE (n_episodes, n_hit), b.replicate, ({hashed} + 0.5::DOUBLE) / 4294967296::DOUBLE AS u
+    FROM hits CROSS JOIN (SELECT unnest(range({replicates})) AS replicate) b) USING ({keys}) GROUP BY ALL)"""
+
+
 def recall_ci(replicates: int, source: str = "ep") -> str:
     return f"""
-hits AS (SELECT seed, family, count(*) AS n_episodes, sum(hit)::BIGINT AS n_hit FROM {source} GROUP BY ALL),
-boot AS (SELECT seed, family, b.replicate, avg(({h('seed', 'family', 'b.replicate', 'j.draw')} % n_episodes < n_hit)::INTEGER) AS value
-  FROM hits CROSS JOIN (SELECT unnest(range({replicates})) AS replicate) b
-  JOIN (SELECT unnest(range(10000)) AS draw) j ON j.draw < n_episodes GROUP BY ALL),
+hits AS (SELECT seed, family, count(*) AS n_episodes, sum(hit)::BIGINT AS n_hit FROM {source} GROUP BY ALL), {inverted(replicates, 'seed, family')},
 rci AS (SELECT seed, family, any_value(n_hit / n_episodes) AS mean, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi,
   any_value(n_episodes) AS n_episodes FROM hits JOIN boot USING (seed, family) GROUP BY seed, family)"""
 
@@ -564,8 +574,7 @@ UNION ALL SELECT run_id, 1704672000000000, 'act' FROM runs12 WHERE run_id LIKE '
 SELECT seed, family, count(*) AS n_episodes, sum(hit)::BIGINT AS n_hit, round(avg(hit), 6) AS recall_episode FROM ep GROUP BY ALL""",
     "episode_recall_ci": f"""WITH {EPISODES},
 hits AS (SELECT scope, seed, family, count(*) AS n_episodes, sum(hit)::BIGINT AS n_hit FROM ep GROUP BY ALL),
-boot AS (SELECT scope, seed, family, b.replicate, avg(({h('seed', 'scope', 'family', 'b.replicate', 'j.draw')} % n_episodes < n_hit)::INTEGER) AS value
-  FROM hits CROSS JOIN (SELECT unnest(range(2000)) AS replicate) b JOIN (SELECT unnest(range(10000)) AS draw) j ON j.draw < n_episodes GROUP BY ALL)
+{inverted(2000, 'scope, seed, family').lstrip()}
 SELECT scope, seed, family, round(any_value(n_hit / n_episodes), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS lo,
   round(quantile_cont(value, 0.975), 6) AS hi, any_value(n_episodes) AS n_episodes FROM hits JOIN boot USING (scope, seed, family) GROUP BY scope, seed, family""",
     "detection_latency": f"""WITH {EPISODES},
@@ -622,6 +631,7 @@ SELECT scope, seed, own.n + g.n = 0 AS ready, CASE WHEN own.n + g.n = 0 THEN 'he
 f AS (SELECT seed, avg((score >= threshold)::INTEGER) FILTER (y = 0) AS v FROM va JOIN thr USING (seed) GROUP BY seed),
 pt AS (SELECT metric, value, lo, hi FROM (UNPIVOT (SELECT {PRIMARY} FROM prim) ON {PRIMARY} INTO NAME metric VALUE value) JOIN ci USING (metric)) """ + checks(
         row("seeds_complete", "'seeds'", "20", "n", "n = 20", "FROM (SELECT count(DISTINCT seed) AS n FROM f)"),
+        row("seed_list", "'in order'", "(SELECT string_agg(seed::VARCHAR, ',') FROM (SELECT unnest(range(42, 62)) AS seed))", "s", "true", "FROM (SELECT string_agg(seed::VARCHAR, ',' ORDER BY seed) AS s FROM f)"),
         row("validation_fpr_within_budget", "'seeds over budget'", "0", "n", "n = 0", "FROM (SELECT count(*) FILTER (v > 0.01) AS n FROM f)"),
         row("interval_holds_point", "metric", "'inside'", "CASE WHEN value BETWEEN lo AND hi THEN 'inside' ELSE 'outside' END", "value BETWEEN lo AND hi", "FROM pt"),
     ),

@@ -495,10 +495,10 @@ def run_duration(spark, d):
 
 @query
 def pool_audit(spark, d):
-    src = source(spark, d)
+    src = pools.counted(source(spark, d))
     return pools.pool_audit({
         "raw": src, "accepted": pools.accepted_events(src), "main": pools.main_pool(src),
-        "stress": pools.stress_pool(src), "target": target(spark, d),
+        "stress": pools.stress_pool(src), "target": pools.counted(target(spark, d)),
     })
 
 
@@ -606,7 +606,7 @@ def primary_metrics(spark, d):
 
 @query
 def threshold_fpr(spark, d):
-    rows = validation_scores(spark, d, ALL_SEEDS)
+    rows = materialize(validation_scores(spark, d, ALL_SEEDS).select("seed", "score", "y"), "validation")
     cases = [
         thresholds.threshold_at_fpr(rows, ["seed"], 0.01).withColumn("budget", F.lit("one percent")),
         thresholds.threshold_at_fpr(rows, ["seed"], 0.0).withColumn("budget", F.lit("zero")),
@@ -748,11 +748,15 @@ def episode_hits(spark, d):
 
 def by_phase_and_day(spark, d) -> DataFrame:
     """Episodes by phase, and, so that some are missed, by UTC day with a seventh of the times missing."""
-    rows = attack_rows(predicted_target(spark, d, ALL_SEEDS))
+    events = attack_rows(pools.with_family(target(spark, d)).withColumn("y", is_attack()))
+    keyed = episodes.with_episode(events, timeline(spark, d), ["family"], "phase")
+    keyed = keyed.select("event_id", "run_id", "family", "label", "t_us", "y", "basis", "episode")
+    scored_rows = fx.hash_votes(splits.with_seeds(keyed, ALL_SEEDS))
+    rows = materialize(thresholds.apply_threshold(scored_rows, source_thresholds(spark, d, ALL_SEEDS), ["seed"]), "predicted")
     days = rows.withColumn("episode", F.floor(F.col("t_us") / 86400000000).cast("string"))
     days = days.withColumn("t_us", F.when(F.col("event_id") % 7 != 0, F.col("t_us")))
     keys = ["seed", "family"]
-    return episode_table(spark, d, ALL_SEEDS).withColumn("scope", F.lit("phase")).unionByName(
+    return episodes.episode_summary(rows, keys).withColumn("scope", F.lit("phase")).unionByName(
         episodes.episode_summary(days, keys).withColumn("scope", F.lit("day"))
     )
 
@@ -820,7 +824,7 @@ def class_composition(spark, d):
 
 
 def source_checks(spark, d):
-    src = source(spark, d)
+    src = pools.counted(source(spark, d))
     main_runs = [r for r in range(3, 29) if r not in fx.FAULT_RUNS]
     counts = files.scan_spec(spark, source_spec(spark, d), "source/v1").select("expected.*").first().asDict()
     expected = {

@@ -212,6 +212,26 @@ def test_variants_stay_in_the_jvm(spark):
     assert "Python" not in plan and "InPandas" not in plan
 
 
+def test_seed_list_must_be_in_order(spark):
+    found = spark.createDataFrame([(3, 0.0), (1, 0.0), (2, 0.0)], "seed int, validation_fpr double")
+    inside = spark.createDataFrame([("auc", 0.5, 0.4, 0.6)], "metric string, value double, lo double, hi double")
+    failed = lambda seeds, rows=found: {r.check_name for r in contracts.result_contract(rows, inside, seeds, 0.01).filter("not passed").collect()}
+    assert failed([1, 2, 3]) == set()
+    assert failed([2, 1, 3]) == {"seed_list"}
+    assert failed([1, 2]) == {"seed_list", "seeds_complete"}
+    assert failed([1, 2, 3], found.unionByName(found.filter("seed = 2"))) == {"seed_list", "seeds_complete"}
+
+
+def test_pools_of_a_counted_table_are_the_counts_of_pools(spark):
+    rows = [(r, "s", l, t) for r in (1, 2, 3) for l in ("normal", "attack", "fault") for t in ("flow", "alert") if (r, l) != (1, "fault")] * 3
+    df = spark.createDataFrame(rows, "run_id int, scenario string, label string, event_type string")
+    found = []
+    for src in (df, pools.counted(df)):
+        stages = {"raw": src, "main": pools.main_pool(src), "stress": pools.stress_pool(src), "none": src.limit(0)}
+        found.append(sorted(map(tuple, pools.pool_audit(stages).collect())))
+    assert found[0] == found[1] and ("none", "n_rows", 0) in found[0] and ("main", "n_rows", 6) in found[0]
+
+
 # --- plan shape ------------------------------------------------------------------------------
 
 

@@ -195,6 +195,19 @@ def test_episode_interval_is_ordered(spark):
     assert r["mean"] == 0.6
 
 
+def test_episode_interval_follows_the_binomial(spark):
+    """Against the exact quantiles of the distribution; ten million episodes cost no more rows than its spread."""
+    rows = [(1, "a", 10, 3), (1, "b", 1, 1), (1, "c", 7, 0), (1, "d", 10_000_000, 2_500_000), (1, "e", 0, 0), (2, "a", 400, 399)]
+    hits = spark.createDataFrame(rows, "seed int, family string, n_episodes long, n_hit long")
+    got = {(r.seed, r.family): r for r in bootstrap.episode_recall_ci(hits, ["seed", "family"], 4000).collect()}
+    assert (got[1, "b"].lo, got[1, "b"].hi, got[1, "c"].lo, got[1, "c"].hi) == (1.0, 1.0, 0.0, 0.0)
+    assert got[1, "e"].lo is None and got[1, "e"].n_episodes == 0
+    assert (got[1, "a"].lo, got[1, "a"].hi) == (0.0, 0.6)
+    sd = (0.25 * 0.75 / 1e7) ** 0.5
+    assert abs(got[1, "d"].lo - (0.25 - 1.96 * sd)) < 0.15 * sd and abs(got[1, "d"].hi - (0.25 + 1.96 * sd)) < 0.15 * sd
+    assert got[2, "a"].hi == 1.0 and 0.99 <= got[2, "a"].lo < 1.0
+
+
 def test_long_strata_are_drawn_in_blocks(spark):
     n = bootstrap.DRAW_BLOCK * 2 + 7
     strata = spark.createDataFrame([("f", n)], "family string, n long")
