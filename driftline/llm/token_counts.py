@@ -8,9 +8,8 @@ affect each other, and its tokens are the sum over its pre-tokens.
 1. Distinct pre-tokens of all texts, with the number of documents that hold each: counted in each batch, then
    by a map-side combined aggregate.
 2. Each distinct pre-token is encoded once by the library; only the number of pieces is kept.
-3. Every document's pre-tokens are counted in its own row. Those held by at least ``held / COMMON_TOKENS``
-   documents (``held``: all pairs of document and pre-token), so at most ``COMMON_TOKENS`` of them, long ones by their
-   hash, are matched where the document is read; a pre-token of most documents is thus no hot key. The others
+3. Every document's pre-tokens are counted in its own row. The ``COMMON_TOKENS`` or fewer held by most documents,
+   long ones by their hash, are matched where the document is read; a pre-token of most documents is thus no hot key. The others
    go through a join on the pre-token and are summed per document.
 
 Ids are never made for documents. Edge cases: null and empty texts have no tokens; blanks-only texts,
@@ -40,6 +39,8 @@ BREAK = "\n"
 COMMON_TOKENS = 200_000
 #: Longer pre-tokens are looked up by their hash.
 LONG = 64
+#: Classes of counts per power of two.
+STEPS = 8
 #: Distinct pre-tokens a task gathers before it hands them on.
 GATHER = 200_000
 LIMIT = 4096
@@ -121,9 +122,19 @@ def short(word: str) -> str:
 
 def common_pre_tokens(counts: DataFrame, most: int = COMMON_TOKENS) -> dict[str, int]:
     """Pieces of the pre-tokens that many documents hold, by their short form: at most ``most``."""
-    held = counts.agg(F.sum("held")).first()[0] or 0
+    # Counts fall into at most 64 * STEPS classes by their logarithm; whole classes are taken from the top.
+    class_of = F.floor(F.log2("held") * STEPS)
+    classes = counts.groupBy(class_of.alias("class")).count().collect()
+    room, least = most, None
+    for row in sorted(classes, key=lambda r: -r["class"]):
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["class"]
+    if least is None:
+        return {}
     name = F.when(F.char_length("word") <= LONG, F.col("word")).otherwise(F.concat(F.lit(BREAK), F.sha2("word", 256)))
-    often = counts.where(F.col("held") * most >= held)
+    often = counts.where(class_of >= least)
     return {r["name"]: r["pieces"] for r in often.select(name.alias("name"), "pieces").collect()}
 
 
