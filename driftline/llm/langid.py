@@ -19,11 +19,11 @@ columns replace those of their names.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,8 @@ SAMPLE_BYTES = 2_000_000
 UNKNOWN = "und"
 #: Bytes scored at once.
 CHUNK = 1 << 19
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters only: number signs such as fractions and circled digits are none.
+LETTER = regex.compile(r"\p{L}")
 PAD = b"\0" * DEPTH
 
 
