@@ -9,12 +9,13 @@ proportion to its own subsequences, whatever the number of landmarks.
 
 A text is the words in it: runs without white space, reduced to letters (case, accents and common
 digit spellings folded, other characters left out); letters that stand alone in a row of three or more
-are one word; long words are cut into overlapping windows. A logistic model turns the highest
+are one word; words chained by other signs count joined and apart; long words are cut into overlapping windows. A logistic model turns the highest
 margins among a text's words, and how many are above zero, into its probability.
 
 Labels belong to texts, so training finds the words behind them: it starts from words far more
 frequent in toxic texts, then takes in turns the most toxic word of each toxic text against the most
-toxic words of clean ones. It uses a bounded sample: whole labelled texts of about ``SAMPLE_BYTES``
+toxic words of clean ones (at most ``OTHERS`` drawn and ``HARD`` hardest ones). Variants of the learned words with a letter put in
+are trained on beside them. It uses a bounded sample: whole labelled texts of about ``SAMPLE_BYTES``
 (at most about ``SAMPLE_TEXTS`` texts) per class, chosen by a hash of the id, and of near copies (by one min-hash of their 3-word shingles) one.
 
 Edge cases: a null or empty text, or one without letters, has no word and scores like one of only
@@ -39,14 +40,22 @@ from pyspark.sql import functions as F
 from driftline.llm.frames import without
 from driftline.session import materialize
 
-DECAY = 0.6
+DECAY = 0.75
 WINDOW = 12
-STRIDE = 6
+STRIDE = 3
 LANDMARKS = 128
 SAMPLE_BYTES = 8_000_000
 SAMPLE_TEXTS = 20_000
 ROUNDS = 4
 SEED = 2
+#: Learned words, the most frequent in toxic texts, of which variants with a letter put in are trained on, and variants per place.
+VARIED, PER_PLACE = 300, 2
+#: Variants together weigh as much as so many times the learned words.
+VARIANT_WEIGHT = 2.0
+#: Clean words drawn for each turn of training, and the hardest ones beside them.
+OTHERS, HARD = 15_000, 5_000
+#: Toxic texts that must hold a word before it counts as one of theirs.
+SUPPORT = 3
 THRESHOLD = 0.3
 #: Margins below count as this.
 FLOOR = -3.0
@@ -59,6 +68,8 @@ TOGETHER = 4096
 SPELLINGS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a"}
 ALONE = re.compile(r"(?<!\S)\w(?:[^\S\n]\w){2,}(?!\S)")
 SKIPPED, BREAK = 255, 254
+#: What parts a word from its neighbour in a chain without blanks.
+JOINT = re.compile(r"[^\w@]+|_+")
 
 
 @cache
@@ -87,22 +98,41 @@ def words_of(text: str | None) -> set[str]:
 
 
 def to_units(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words as symbols: (units, WINDOW) padded matrix, the length of each unit, and its word's number."""
-    data = "\n".join(words) + "\n"
+    """Words as symbols: (units, WINDOW) padded matrix, the length of each unit, and its word's number.
+
+    A word with other characters between its letters gives units of its joined form and of each part of three or more."""
+    forms: list[str] = []
+    word_of: list[int] = []
+    for i, word in enumerate(words):
+        parts = [p for p in JOINT.split(word) if p]
+        forms += [word, *(p for p in parts if len(p) >= 3 and len(parts) > 1)]
+        word_of += [i] * (len(forms) - len(word_of))
+    data = "\n".join(forms) + "\n"
     symbols = alphabet()[np.frombuffer(data.encode("utf-32-le", "replace"), dtype=np.uint32)]
     symbols = symbols[symbols != SKIPPED]
     ends = np.flatnonzero(symbols == BREAK)
     starts = np.concatenate([[0], ends[:-1] + 1])
     sizes = ends - starts
     pieces = np.maximum(1, -(-(sizes - WINDOW) // STRIDE) + 1)
-    owner = np.repeat(np.arange(len(words)), pieces)
+    owner = np.repeat(np.arange(len(forms)), pieces)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     first = starts[owner] + nth * STRIDE
     length = np.minimum(WINDOW, ends[owner] - first)
     at = np.minimum(first[:, None] + np.arange(WINDOW), len(symbols) - 1)
     units = symbols[at]
     units[np.arange(WINDOW) >= length[:, None]] = 0
-    return units, length, owner
+    return units, length, np.array(word_of, dtype=np.int64)[owner]
+
+
+def with_letters_put_in(units: np.ndarray, length: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """For every inner place of every unit ``PER_PLACE`` variants with some letter put in there."""
+    made, sizes = [], []
+    for unit, size in zip(units, length.tolist()):
+        for place in range(1, size):
+            for letter in rng.integers(0, 26, PER_PLACE):
+                made.append(np.concatenate([unit[:place], [letter], unit[place:]])[:WINDOW])
+                sizes.append(min(size + 1, WINDOW))
+    return np.array(made, dtype=np.uint8).reshape(-1, WINDOW), np.array(sizes, dtype=np.int64)
 
 
 @cache
@@ -264,7 +294,7 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Scorer:
     if not len(seeds):
         seeds = np.argsort(-gain, kind="stable")[:1]
     clean = np.flatnonzero(in_clean > 0)
-    positive, negative = seeds, rng.permutation(clean)[:20_000]
+    positive, negative = seeds, rng.permutation(clean)[:OTHERS]
     weights, bias = np.zeros(1 << 15), 0.0
     for turn in range(ROUNDS):
         marks = _landmarks(positive, in_toxic, negative)
@@ -272,9 +302,13 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Scorer:
         values, vectors = np.linalg.eigh(phi.T @ phi)
         root = vectors[:, values > 1e-8] / np.sqrt(values[values > 1e-8])  # (K ** -1/2) of the landmarks
         train_at = np.concatenate([positive, negative])
-        x = margins(units[train_at], length[train_at], phi @ root)
-        y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        cost = np.where(y > 0, 10.0 * max(1.0, len(negative) / len(positive) / 20), 10.0)
+        frequent = positive[np.argsort(-in_toxic[positive], kind="stable")][:VARIED]
+        varied, varied_length = with_letters_put_in(units[frequent], length[frequent], rng)
+        x = margins(np.vstack([units[train_at], varied]), np.concatenate([length[train_at], varied_length]), phi @ root)
+        y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative)), np.ones(len(varied))])
+        own_cost = 10.0 * max(1.0, len(negative) / len(positive) / 20)
+        cost = np.where(y > 0, own_cost, 10.0)
+        cost[len(train_at):] = own_cost * min(1.0, VARIANT_WEIGHT * len(positive) / max(1, len(varied)))
         w = train_machine(x, y, cost)
         weights, bias = phi @ (root @ w[:-1]), float(w[-1])
         score = margins(units, length, weights[:, None])[:, 0] + bias
@@ -283,10 +317,11 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Scorer:
         # Witnesses of toxic texts, and the words of clean ones that look most like them.
         witness = np.unique(pair_unit[(score[pair_unit] >= best[pair_text]) & toxic[pair_text] & (best[pair_text] > 0)])
         witness = witness[in_clean[witness] <= in_toxic[witness] * (~toxic).sum() / toxic.sum() / 8]
-        hard = clean[np.argsort(-score[clean], kind="stable")][:5000]
+        witness = witness[in_toxic[witness] >= SUPPORT]
+        hard = clean[np.argsort(-score[clean], kind="stable")][:HARD]
         hard = hard[~np.isin(hard, witness)]
         positive = np.union1d(seeds, witness)
-        negative = np.setdiff1d(np.union1d(hard, rng.permutation(clean)[:15_000]), positive)
+        negative = np.setdiff1d(np.union1d(hard, rng.permutation(clean)[:OTHERS]), positive)
     scorer = Scorer(weights, bias, np.zeros(6))
     scorer.curve = logistic(np.stack([scorer.features(t) for t in texts]), toxic, weight)
     scorer.known = {}

@@ -108,6 +108,30 @@ def test_toxic_words_are_learned_and_gaps_tolerated():
         assert min(scorer.score(f"{t} {word} on") for t in fresh[:5]) >= 0.3, word
 
 
+def test_learned_words_with_letters_put_in_and_in_chains():
+    """Nearly all insertions into the learned words are flagged, and all chains by punctuation at any offset."""
+    clean = [r[1] for r in rows(300, seed=4)]
+    insults = ["grumblax", "snorkwit", "dreckulon", "vombastik", "plunzel"]
+    texts = clean + [f"{c} {insults[i % 5]} and" for i, c in enumerate(clean[:100])]
+    scorer = toxicity.train(texts, np.array([False] * 300 + [True] * 100), np.ones(400))
+    calm = [r[1] for r in rows(3, seed=9)][0]
+    put_in = [w[:i] + c + w[i:] for w in insults for i in range(1, len(w)) for c in "aehkqtxz"]
+    flagged = [scorer.score(f"{calm} {v} on") >= 0.3 for v in put_in]
+    assert np.mean(flagged) >= 0.9
+    chains = [f"{'walk,' * n}{w}{after}" for w in insults for n in range(1, 6) for after in (",fine", "/or/so", ".b", "_y", "")]
+    assert all(scorer.score(f"{calm} {c} on") >= 0.3 for c in chains)
+
+
+def test_forms_of_chained_words():
+    units, length, owner = toxicity.to_units(["good,idiot", "plain", "", "a.b"])
+    assert owner.tolist() == sorted(owner.tolist()) and set(owner) == {0, 1, 2, 3}
+    assert {bytes(u[:n]) for u, n, o in zip(units, length, owner) if o == 0} >= {bytes(toxicity.to_units(["idiot"])[0][0][:5])}
+
+
+def test_number_signs_are_no_letters(spark):
+    assert not any(map(langid.LETTER.search, ("½", "²", "Ⅷ", "①", "12_3"))) and all(map(langid.LETTER.search, ("a", "ß", "Ж", "字", "ñ1")))
+
+
 def test_toxicity_held_out(spark, sf):
     wide = sf.replace("sf0.001", "sf0.01")
     labels = spark.read.parquet(f"{wide}/labels.parquet")
