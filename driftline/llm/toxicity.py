@@ -34,7 +34,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.llm.frames import without
@@ -46,6 +46,7 @@ STRIDE = 3
 LANDMARKS = 128
 SAMPLE_BYTES = 8_000_000
 SAMPLE_TEXTS = 20_000
+ROWS_PER_ID = 8
 ROUNDS = 4
 SEED = 2
 #: Learned words, the most frequent in toxic texts, of which variants with a letter put in are trained on, and variants per place.
@@ -345,7 +346,8 @@ def sample(
     docs: DataFrame, labels: DataFrame, learnable: Column, sample_bytes: int, sample_texts: int = SAMPLE_TEXTS
 ) -> pd.DataFrame:
     """Whole labelled texts (text, toxic, weight): per class about ``sample_bytes`` and no more than
-    about ``sample_texts``. They are chosen on ids and sizes; only chosen texts move."""
+    about ``sample_texts``, of one id no more than ``ROWS_PER_ID`` rows. They are chosen on ids and sizes;
+    only chosen texts move."""
     marks = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(
         F.max((F.col("toxic") > 0).cast("int")).alias("toxic")
     )
@@ -359,6 +361,9 @@ def sample(
     u = F.pmod(F.xxhash64(F.lit("toxic"), F.col("_id")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     chosen = labelled.withColumn("share", share).where(u < F.col("share")).select("_id", "toxic", "share").distinct()
     rows = own.join(F.broadcast(chosen), own["doc_id"] == chosen["_id"]).select("doc_id", "text", "toxic", "share")
+    # The limit by rank is applied before the exchange as well: an id that repeats brings few rows.
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    rows = rows.withColumn("_rank", rank).where(F.col("_rank") <= ROWS_PER_ID).drop("_rank")
     drawn = rows.toPandas().sort_values(["doc_id", "text"])
     drawn = drawn[~drawn["text"].map(_shingle_key).duplicated()]
     return pd.DataFrame({"text": drawn["text"], "toxic": drawn["toxic"] > 0, "weight": 1 / drawn["share"]})
