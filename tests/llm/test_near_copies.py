@@ -69,3 +69,19 @@ def test_planted_copies_go(spark, monkeypatch, paired):
     assert {r.doc_id for r in stage(spark, frame(spark, data), "").collect()} == want
     closer = simhash.near_duplicates(frame(spark, data)).where(F.col("doc_id") == F.col("component_id")).count()
     assert closer > len(want)  # what 3 bits leave
+
+
+def test_ids_that_repeat_or_miss(spark):
+    """Rows are told apart by id and text; each component keeps one row, repeated rows one of them."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [
+        (1, a, "s", "x"), (1, b, "s", "x"), (1, a, "s", "x"), (2, a + " more", "s", "x"),  # two texts of one id
+        (None, c, "s", "x"), (None, c.upper(), "s", "x"), (None, None, "s", "x"), (None, "", "s", "x"),  # no ids
+        (7, b + " more", "s", "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sid string, root string").repartition(3)
+    out = near_copies.keep_one_each(docs)
+    assert out.columns == docs.columns
+    got = sorted((r.doc_id or 0, (r.text or "").lower()) for r in out.collect())
+    assert got == sorted([(1, a), (1, b), (0, c), (0, "")])
+    assert near_copies.keep_one_each(docs.limit(0)).count() == 0
