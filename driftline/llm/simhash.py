@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from driftline.llm.components import connected_components
 from driftline.llm.frames import without
-from driftline.llm.near_copies import near_classes
 from driftline.session import materialize
 
 WORD = re.compile(rb"[^ \t-\r]+")
@@ -213,19 +212,3 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     named = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
     classes = materialize(rooted.join(named, "root").select(F.col("fp").alias("_fp"), "component_id"), "classes")
     return prints.join(classes, prints["fp"] == classes["_fp"], "left").drop("_fp")
-
-
-def keep_one_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document, that of the smallest doc_id, of each component of near copies: texts
-    whose 5-word shingles agree to 0.8 (``near_copies``), not the 3 bits of ``near_duplicates``. A
-    component without any id is kept whole."""
-    classes = near_classes(docs)
-    stay = F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))
-    chosen = classes.where(stay).groupBy("doc_id").count()
-    chosen = materialize(chosen.select(F.col("doc_id").alias("_sd_id"), "count"), "chosen")
-    once, often = chosen.where("count = 1 or _sd_id is null"), chosen.where("count > 1 and _sd_id is not null")
-    out = docs.join(once, docs["doc_id"].eqNullSafe(once["_sd_id"]), "left_semi")
-    if not often.isEmpty():
-        again = docs.join(often, docs["doc_id"] == often["_sd_id"], "left_semi")
-        out = out.unionByName(again.dropDuplicates(["doc_id"]))
-    return out
