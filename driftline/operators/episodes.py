@@ -184,6 +184,11 @@ def alarm_load(predicted: DataFrame, keys: Sequence[str]) -> DataFrame:
     per_run = predicted.groupBy(*keys, "run_id").agg(
         F.sum("pred").alias("_alarms"), (F.max("t_us") - F.min("t_us")).alias("_span")
     )
+    return load_of_runs(per_run, keys)
+
+
+def load_of_runs(per_run: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Alarm load from the alarms and the span of each run."""
     hours = F.coalesce(F.sum("_span"), F.lit(0)) / F.lit(3.6e9)
     observed = F.when(hours > 0, hours)
     return per_run.groupBy(*keys).agg(

@@ -583,6 +583,12 @@ SELECT scope, seed, family, round(median(lat) FILTER (NOT missed), 6) AS median_
   round(max(lat) FILTER (NOT missed), 6) AS max_sec, count(lat) FILTER (NOT missed) AS n_detected, count(*) FILTER (missed) AS n_missed FROM l GROUP BY ALL""",
     "alarm_load": f"""WITH {predicted(ALL)}, r AS (SELECT seed, run_id, sum(pred) AS alarms, max(t_us) - min(t_us) AS span FROM pr GROUP BY ALL)
 SELECT seed, round(avg(alarms), 6) AS alarms_per_run_mean, max(alarms)::BIGINT AS alarms_per_run_max, count(*) AS n_runs,
+  round(sum(alarms) / (sum(span) / 3.6e9), 6) AS alarms_per_hour, round(sum(span) / 3.6e9, 6) AS observed_hours FROM r GROUP BY seed""",
+    "alarm_load_live": f"""WITH {predicted(GATED)}, r AS (SELECT seed, run_id, sum(pred) AS alarms, max(t_us) - min(t_us) AS span FROM pr WHERE t_us IS NOT NULL GROUP BY ALL)
+SELECT seed, round(avg(alarms), 6) AS alarms_per_run_mean, max(alarms)::BIGINT AS alarms_per_run_max, count(*) AS n_runs,
+  round(sum(alarms) / (sum(span) / 3.6e9), 6) AS alarms_per_hour, round(sum(span) / 3.6e9, 6) AS observed_hours FROM r GROUP BY seed""",
+    "result_document": f"""WITH {predicted(ALL)}, r AS (SELECT seed, run_id, sum(pred) AS alarms, max(t_us) - min(t_us) AS span FROM pr GROUP BY ALL)
+SELECT 'target' AS experiment, 0::BIGINT AS n_differences, seed, round(avg(alarms), 6) AS alarms_per_run_mean, max(alarms)::BIGINT AS alarms_per_run_max, count(*) AS n_runs,
   round(sum(alarms) / (sum(span) / 3.6e9), 6) AS alarms_per_hour, round(sum(span) / 3.6e9, 6) AS observed_hours FROM r GROUP BY seed""",
     "resample_multiplicity": f"WITH {TGT}, {multiplicity(2000)} SELECT replicate, run_id, m FROM mult",
     "bootstrap_intervals": f"""WITH {TGT}, {scores(ALL)},

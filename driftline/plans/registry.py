@@ -51,6 +51,7 @@ from driftline.session import materialize, shared_dir
 from driftline.sources import adapters as fx
 from driftline.sources import events as ev
 from driftline.sources import files
+from driftline.streaming import alarms
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,6 +61,8 @@ GATED_SEEDS = [42, 43, 44, 45, 46]
 ALL_SEEDS = list(range(42, 62))
 MAX_FPR = 0.01
 REPLICATES = 2000
+#: Slices of time in which the streamed rows arrive.
+SLICES = 4
 BOOTSTRAP_SEED = 20260817
 #: Text of an inventoried file; small, so that the test tables give several files per source.
 FILE_BYTES = 1 << 17
@@ -779,6 +782,47 @@ def alarm_load(spark, d):
     return rounded(out, "alarms_per_run_mean", "alarms_per_hour", "observed_hours")
 
 
+@query
+def alarm_load_live(spark, d):
+    """The load of all stamped rows, taken in as a stream of files; a tenth of the rows of each slice of time
+    arrives with the slice after it."""
+    rows = materialize(
+        predicted_target(spark, d, GATED_SEEDS).filter(F.col("t_us").isNotNull()).select("event_id", "seed", "run_id", "t_us", "pred"),
+        "predicted",
+    )
+    folder = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    first, last = rows.agg(F.min("t_us"), F.max("t_us")).first()
+    width = ((last or 0) - (first or 0)) // SLICES + 1
+    late = F.when(hash32(F.lit("late"), "event_id") % 10 == 0, 1).otherwise(0)
+    arrival = F.least(F.floor((F.col("t_us") - F.lit(first or 0)) / F.lit(width)) + late, F.lit(SLICES - 1))
+    sliced = rows.withColumn("_slice", arrival)
+    for i in range(SLICES):
+        sliced.filter(F.col("_slice") == i).drop("_slice").write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    lateness = f"{2 * width // 1_000_000 + 1} seconds"
+    alarms.follow(alarms.alarm_cells(stream, ["seed"], "1 hour", lateness), f"{folder}/cells", f"{folder}/state")
+    out = alarms.live_alarm_load(alarms.latest_cells(spark, f"{folder}/cells", ["seed"]), ["seed"])
+    return rounded(out, "alarms_per_run_mean", "alarms_per_hour", "observed_hours")
+
+
+@query
+def result_document(spark, d):
+    """The nested result document of all seeds, written, read again and compared with what was to be written."""
+    load = episodes.alarm_load(predicted_target(spark, d, ALL_SEEDS), ["seed"])
+    rates = materialize(load.withColumn("experiment", F.lit("target")), "load")
+    document = files.nested_members(rates, ["experiment"], "seed", "seeds").withColumn("withheld", F.lit(None).cast("string"))
+    path = f"{shared_dir(spark)}/document-{uuid.uuid4().hex}"
+    files.write_documents(document, path)
+    as_text = F.to_json(F.struct(*document.columns), {"ignoreNullFields": "false"}).alias("document")
+    meant = audit.flatten_variant(document.select("experiment", as_text), "experiment", "document")
+    lines = spark.read.text(path).select(F.get_json_object("value", "$.experiment").alias("experiment"), F.col("value").alias("document"))
+    written = audit.flatten_variant(lines, "experiment", "document")
+    found = audit.result_diff(meant, written, ["experiment", "path"]).groupBy("experiment").agg(n_rows())
+    seeds = files.scan_documents(spark, path, document.schema).select("experiment", F.explode("seeds").alias("seed", "_v"))
+    rows = seeds.select("experiment", F.col("seed").cast("int").alias("seed"), "_v.*").join(found, "experiment", "left")
+    return rows.withColumn("n_differences", F.coalesce("n_rows", F.lit(0).cast("long"))).drop("n_rows")
+
+
 # --- bootstrap -------------------------------------------------------------------------------
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyarrow.fs import FileSelector, FileSystem
@@ -200,3 +200,31 @@ def write_result(metrics: DataFrame, path: str, fmt: str = "json", digits: int =
         *[(round_result(c, digits) if types[c] == "double" else F.col(c)).alias(c) for c in metrics.columns]
     )
     rounded.write.format(fmt).save(path)
+
+
+def nested_members(rows: DataFrame, keys: Sequence[str], member: str, name: str, digits: int = 6) -> DataFrame:
+    """One row per ``keys`` with ``name``: a map from the text of ``member`` to a struct of all other columns,
+    doubles rounded, in the order of ``member``.
+
+    A map is one value: meant for results, whose members are seeds, schemas or scenarios, not for events.
+    Members must be distinct and not null.
+    """
+    types = dict(rows.dtypes)
+    values = [
+        (round_result(c, digits) if types[c] == "double" else F.col(c)).alias(c)
+        for c in rows.columns if c not in (*keys, member)
+    ]
+    entry = F.struct(F.col(member).alias("_order"), F.col(member).cast("string").alias("key"), F.struct(*values).alias("value"))
+    ordered = F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(e["key"], e["value"]))
+    return rows.groupBy(*keys).agg(F.map_from_entries(ordered).alias(name))
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """One JSON object a row, one row a line, nulls written out."""
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in documents.columns]), {"ignoreNullFields": "false"})
+    documents.select(text.alias("value")).write.text(path)
+
+
+def scan_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Written documents under a declared schema; a line that is no such document fails the query."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
