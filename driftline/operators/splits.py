@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.scalar import hash32
-from driftline.operators.ordered import Split, running_sum, small_side
+from driftline.operators.ordered import Split, checkpointed, running_sum, small_side
 
 TRAIN, VALIDATION = "train", "validation"
+#: Low bits of the 32-bit hash order that the cells of a row split leave out.
+CELL_BITS = 24
 
 
 def with_seeds(df: DataFrame, seeds: list[int]) -> DataFrame:
@@ -43,6 +45,23 @@ def split_rows(df: DataFrame, splits: DataFrame) -> DataFrame:
     return df.join(small_side(splits), "run_id")
 
 
+def _last_training_row(df: DataFrame, seeds: list[int], validation_fraction: float, split: Split) -> DataFrame:
+    """``(seed, _last)``: hash and id of each seed's last training row; no row where none trains.
+
+    Rows are counted per cell of the hash order; only those of the cell in which the cut falls are ranked,
+    so that neither the rows nor their hashes are shuffled or written.
+    """
+    hashed = with_seeds(df, seeds).withColumn("_h", hash32("seed", "event_id"))
+    hashed = hashed.withColumn("_cell", F.shiftright("_h", CELL_BITS))
+    cells = checkpointed(hashed.groupBy("seed", "_cell").agg(F.count(F.lit(1)).alias("_n")))
+    ranked = running_sum(cells, ["seed"], "_cell", ["_n"], split=split)
+    rank = _cut("_n_total", validation_fraction) - F.col("_n_before")
+    hit = ranked.select("seed", "_cell", "_n", rank.alias("_rank")).filter(F.col("_rank").between(1, F.col("_n")))
+    near = hashed.join(small_side(hit.drop("_n")), ["seed", "_cell"]).withColumn("_one", F.lit(1))
+    placed = running_sum(checkpointed(near), ["seed"], "_h", ["_one"], tie=["event_id"], split=split)
+    return placed.filter(F.col("_one_before") == F.col("_rank") - 1).select("seed", F.struct("_h", "event_id").alias("_last"))
+
+
 def split_with_basis(
     df: DataFrame, seeds: list[int], validation_fraction: float = 0.3, split: Split = Split()
 ) -> DataFrame:
@@ -55,12 +74,8 @@ def split_with_basis(
     if runs >= 2:
         splits = split_by_run(df, seeds, validation_fraction, split)
         return split_rows(df, splits).withColumn("basis", F.lit("run"))
-    # Only (seed, event_id) is ranked; the rows themselves are placed by comparing with the last
-    # training position of their seed, without being shuffled.
-    placed = _position(with_seeds(df.select("event_id"), seeds), "event_id", split)
-    training = placed.filter(F.col("_one_before") < _cut("_one_total", validation_fraction))
-    bound = training.groupBy("seed").agg(F.max(F.struct("_h", "event_id")).alias("_last"))
-    rows = with_seeds(df, seeds).join(small_side(bound), "seed", "left")
+    last = _last_training_row(df.select("event_id"), seeds, validation_fraction, split)
+    rows = with_seeds(df, seeds).join(small_side(last), "seed", "left")
     here = F.struct(hash32("seed", "event_id").alias("_h"), "event_id")
     side = F.when(here <= F.col("_last"), TRAIN).otherwise(VALIDATION)
     return rows.select("seed", *df.columns, side.alias("side"), F.lit("row").alias("basis"))

@@ -48,6 +48,27 @@ def test_single_run_is_split_by_rows_and_refused(spark, sf):
     assert ("split_basis", "basis") in bad and ("run_overlap", "shared runs") in bad
 
 
+@pytest.mark.parametrize("limit", [10**6, 3])
+def test_row_split_ranks_the_cell_of_the_cut_only(spark, monkeypatch, limit):
+    from hashlib import md5
+
+    ranked = []
+    real = splits.running_sum
+    monkeypatch.setattr(splits, "running_sum", lambda df, *a, **k: ranked.append(df.count()) or real(df, *a, **k))
+    ids = [7 * i for i in range(1500)] + [0, 0, None]
+    df = spark.createDataFrame([(1, i) for i in ids], "run_id int, event_id long").repartition(3)
+    rows = splits.split_with_basis(df, [5, 6], split=Split(limit=limit))
+    order = lambda s: sorted((int(md5(f"{s}|{i}".encode()).hexdigest()[:8], 16), i) for i in ids if i is not None)
+    for seed in (5, 6):
+        none = int(md5(str(seed).encode()).hexdigest()[:8], 16)
+        wanted = sorted([*order(seed), (none, -1)])[:int(len(ids) * 0.7)]
+        got = rows.filter((F.col("seed") == seed) & (F.col("side") == splits.TRAIN)).select("event_id").collect()
+        assert sorted(-1 if r.event_id is None else r.event_id for r in got) == sorted(i for _, i in wanted)
+    assert max(ranked) < len(ids)  # before, every row of every seed was ranked
+    few = splits.split_with_basis(df.limit(1), [5]).collect()
+    assert [r.side for r in few] == [splits.VALIDATION]
+
+
 def test_run_split_is_clamped_and_stable(spark):
     df = spark.createDataFrame([(i,) for i in (1, 2)], "run_id int")
     got = {r.side for r in splits.split_by_run(df, [7], 0.999).collect()}
