@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 from driftline.session import materialize, shared_dir
 
 ROW_LIMIT = 5_000_000
+#: Segments are files, so there are no more of them unless each would exceed ``ROW_LIMIT`` rows.
+MOST_SEGMENTS = 256
 BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
 class Split:
-    """When to cut keys: above ``limit`` rows of one key, into segments of about as many."""
+    """When to cut keys: above ``limit`` rows of one key, into segments of about as many (see ``_segments``)."""
 
     limit: int = ROW_LIMIT
 
@@ -51,13 +53,15 @@ def _segments(df: DataFrame, keys: list[str], order: list[str], split: Split) ->
 
     Rows are dealt by ranges of (keys, order) and written, so that a retried task sees the same
     segments. Cuts may fall anywhere, also among rows of one key and one stamp; segment numbers
-    ascend with the order. There is no bound on the number of segments.
+    ascend with the order. A ``limit`` that is tiny beside the table gives ``MOST_SEGMENTS`` larger
+    segments; their number grows only with segments of ``ROW_LIMIT`` rows.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     size = counts.agg(F.max("_rows").alias("largest"), F.sum("_rows").alias("rows")).first()
     if (size["largest"] or 0) <= split.limit:
         return None
-    dealt = df.repartitionByRange(ceil(size["rows"] / split.limit), *keys, *order)
+    most = max(MOST_SEGMENTS, ceil(size["rows"] / ROW_LIMIT))
+    dealt = df.repartitionByRange(min(ceil(size["rows"] / split.limit), most), *keys, *order)
     return materialize(dealt.withColumn("_segment", F.spark_partition_id()), "segments")
 
 

@@ -148,6 +148,16 @@ def test_hot_key_is_cut_into_even_segments(spark):
     assert ordered._segments(df, ["k"], ["t"], Split(limit=10_001)) is None
 
 
+def test_a_tiny_limit_does_not_make_a_file_per_few_rows(spark, monkeypatch):
+    df = spark.range(4000).select(F.lit(1).alias("k"), F.col("id").alias("t"), F.lit(1).alias("one"))
+    found = lambda: ordered._segments(df, ["k"], ["t"], Split(limit=2)).groupBy("_segment").count().count()
+    assert found() <= ordered.MOST_SEGMENTS
+    got = {r.t: r.one_before for r in running_sum(df, ["k"], "t", ["one"], split=Split(limit=2)).collect()}
+    assert got == {i: i for i in range(4000)}
+    monkeypatch.setattr(ordered, "ROW_LIMIT", 10)  # a task never takes more than this
+    assert found() >= 390
+
+
 def test_one_stamp_is_cut_too(spark):
     """Equal stamps are ordered by the tie and spread over segments; null keys keep their rows."""
     df = spark.range(3000).select(
