@@ -155,41 +155,60 @@ def flatten_json(documents: DataFrame, key: str, text: str) -> DataFrame:
 LEVELS_PER_PASS = 8
 
 
-def _opened(rows: DataFrame, key: str) -> DataFrame:
-    """Each node once more, and after a container that was new its members or items, which are new in turn."""
-    members = F.expr("try_variant_get(v, '$', 'map<string,variant>')")
-    items = F.expr("try_variant_get(v, '$', 'array<variant>')")
-    kept = ["path", "steps", "type", "value"]
+def _step(index: Column, member: Column) -> Column:
+    return F.struct(index.cast("int").alias("index"), member.cast("string").alias("member"))
+
+
+def _member_tail(name: Column) -> Column:
+    return F.when(name.rlike(f"^{PLAIN_NAME.pattern}$"), F.concat(F.lit("."), name)).otherwise(F.to_json(F.array(name)))
+
+
+def _item_tail(index: Column) -> Column:
+    return F.concat(F.lit("["), index.cast("string"), F.lit("]"))
 
-    def child(step: Column, tail: Column, value: Column) -> Column:
-        path, steps = F.concat("path", tail), F.concat("steps", F.array(step))
-        return F.struct(path.alias("path"), steps.alias("steps"), F.lit(None).cast("string").alias("type"),
-                        F.lit(None).cast("string").alias("value"), value.alias("v"))
 
-    def step(index: Column, member: Column) -> Column:
-        return F.struct(index.cast("int").alias("index"), member.cast("string").alias("member"))
+def _members(v: str) -> Column:
+    return F.expr(f"try_variant_get({v}, '$', 'map<string,variant>')")
 
-    quoted = lambda name: F.to_json(F.array(name))
-    tail = lambda name: F.when(name.rlike(f"^{PLAIN_NAME.pattern}$"), F.concat(F.lit("."), name)).otherwise(quoted(name))
-    of_object = F.transform(F.map_entries("_members"), lambda e: child(step(F.lit(None), e["key"]), tail(e["key"]), e["value"]))
-    of_array = F.transform("_items", lambda x, i: child(step(i, F.lit(None)), F.concat(F.lit("["), i.cast("string"), F.lit("]")), x))
-    number = F.expr("CAST(v AS DOUBLE)") + F.lit(0.0)
-    tag = F.expr("schema_of_variant(v)")
+
+def _items(v: str) -> Column:
+    return F.expr(f"try_variant_get({v}, '$', 'array<variant>')")
+
+
+def _kind_and_value(v: str, members: str, items: str) -> tuple[Column, Column]:
+    """Type and value of the node in column ``v``, whose members and items were taken out."""
+    number = F.expr(f"CAST({v} AS DOUBLE)") + F.lit(0.0)
+    tag = F.expr(f"schema_of_variant({v})")
     # More than 18 digits are a decimal without places; fewer with a point in the text are one too, but a double.
     whole = (tag == "BIGINT") | tag.rlike(r"^DECIMAL\((19|[23][0-9]),0\)$")
     scalar = (
-        F.when(F.expr("is_variant_null(v)"), F.lit("null")).when(tag == "STRING", "string").when(tag == "BOOLEAN", "boolean")
+        F.when(F.expr(f"is_variant_null({v})"), F.lit("null")).when(tag == "STRING", "string").when(tag == "BOOLEAN", "boolean")
         .when(whole, "integer").otherwise("double")
     )
-    kind = F.when(F.col("_members").isNotNull(), "object").when(F.col("_items").isNotNull(), "array").otherwise(scalar)
+    kind = F.when(F.col(members).isNotNull(), "object").when(F.col(items).isNotNull(), "array").otherwise(scalar)
     value = (
-        F.when(F.col("_members").isNotNull(), F.to_json(F.array_sort(F.map_keys("_members"))))
-        .when(F.col("_items").isNotNull(), F.size("_items").cast("string"))
+        F.when(F.col(members).isNotNull(), F.to_json(F.array_sort(F.map_keys(members))))
+        .when(F.col(items).isNotNull(), F.size(items).cast("string"))
         .when(tag == "DOUBLE", number.cast("string")).when(tag.startswith("DECIMAL") & ~whole, number.cast("string"))
-        .otherwise(F.expr("to_json(v)"))
+        .otherwise(F.expr(f"to_json({v})"))
     )
+    return kind, value
+
+
+def _opened(rows: DataFrame, key: str) -> DataFrame:
+    """Each node once more, and after a container that was new its members or items, which are new in turn."""
+    kept = ["path", "steps", "type", "value"]
+
+    def child(step: Column, tail: Column, value: Column) -> Column:
+        path, steps = F.concat("path", tail), F.concat("steps", F.array(step))
+        return F.struct(path.alias("path"), steps.alias("steps"), F.lit(None).cast("string").alias("type"),
+                        F.lit(None).cast("string").alias("value"), value.alias("v"))
+
+    of_object = F.transform(F.map_entries("_members"), lambda e: child(_step(F.lit(None), e["key"]), _member_tail(e["key"]), e["value"]))
+    of_array = F.transform("_items", lambda x, i: child(_step(i, F.lit(None)), _item_tail(i), x))
+    kind, value = _kind_and_value("v", "_members", "_items")
     new = F.col("type").isNull()
-    told = rows.withColumn("_members", F.when(new, members)).withColumn("_items", F.when(new, items))
+    told = rows.withColumn("_members", F.when(new, _members("v"))).withColumn("_items", F.when(new, _items("v")))
     here = F.struct("path", "steps", F.when(new, kind).otherwise(F.col("type")).alias("type"),
                     F.when(new, value).otherwise(F.col("value")).alias("value"), F.expr("CAST(NULL AS VARIANT)").alias("v"))
     children = F.when(F.col("_members").isNotNull(), of_object).when(F.col("_items").isNotNull(), of_array)
@@ -244,6 +263,78 @@ def result_diff(expected: DataFrame, actual: DataFrame, keys: Sequence[str] = ("
     return joined.filter(F.col("difference").isNotNull()).drop("_e", "_a")
 
 
+FOUND = ("path", "steps", "difference", "expected_type", "actual_type", "expected_value", "actual_value")
+
+
+def _same(e: str, a: str) -> Column:
+    """Whether all below two nodes is surely the same. Numbers with a point may read as integers in the text of a
+    variant, and the type of an array hides those of its items; such nodes are compared further down."""
+    types = [F.expr(f"schema_of_variant({v})") for v in (e, a)]
+    plain = (types[0] == types[1]) & ~types[0].rlike("DECIMAL|DOUBLE|VARIANT")
+    return F.coalesce((F.expr(f"to_json({e})") == F.expr(f"to_json({a})")) & plain, F.lit(False))
+
+
+def _compared(rows: DataFrame, key: str) -> DataFrame:
+    """Differences found so far, those of the open pairs of nodes, and their open children that may differ."""
+    new = F.col("difference").isNull()
+    told = rows
+    for v in ("e", "a"):
+        told = told.withColumn(f"_m{v}", F.when(new, _members(v))).withColumn(f"_i{v}", F.when(new, _items(v)))
+    (e_kind, e_value), (a_kind, a_value) = (_kind_and_value(v, f"_m{v}", f"_i{v}") for v in ("e", "a"))
+    for side, v, kind, value in (("expected", "e", e_kind, e_value), ("actual", "a", a_kind, a_value)):
+        there = new & F.col(v).isNotNull()
+        told = told.withColumn(f"{side}_type", F.when(there, kind).otherwise(F.col(f"{side}_type")))
+        told = told.withColumn(f"{side}_value", F.when(there, value).otherwise(F.col(f"{side}_value")))
+    kind = (
+        F.when(~new, F.col("difference")).when(F.col("a").isNull(), "missing").when(F.col("e").isNull(), "unexpected")
+        .when(F.col("expected_type") != F.col("actual_type"), "type").when(F.col("expected_value") != F.col("actual_value"), "value")
+    )
+    none, text = F.expr("CAST(NULL AS VARIANT)"), F.lit(None).cast("string")
+
+    def child(step: Column, tail: Column, e: Column, a: Column) -> Column:
+        return F.struct(F.concat("path", tail).alias("path"), F.concat("steps", F.array(step)).alias("steps"),
+                        *[text.alias(c) for c in FOUND[2:]], e.alias("e"), a.alias("a"))
+
+    told = told.withColumn("_kind", kind)
+    here = F.array(F.struct("path", "steps", F.col("_kind").alias("difference"), *FOUND[3:], none.alias("e"), none.alias("a")))
+    nothing = F.slice(here, 1, 0)
+    no_names = F.array().cast("array<string>")
+    names = F.array_union(*[F.coalesce(F.map_keys(m), no_names) for m in ("_me", "_ma")])
+    of_object = F.transform(names, lambda k: child(
+        _step(F.lit(None), k), _member_tail(k), F.try_element_at(F.col("_me"), k), F.try_element_at(F.col("_ma"), k)))
+    longest = F.greatest(F.lit(0), F.coalesce(F.size("_ie"), F.lit(0)), F.coalesce(F.size("_ia"), F.lit(0)))
+    places = F.when(longest > 0, F.sequence(F.lit(0), longest - 1)).otherwise(F.array().cast("array<int>"))
+    of_array = F.transform(places, lambda i: child(_step(i, F.lit(None)), _item_tail(i), F.get(F.col("_ie"), i), F.get(F.col("_ia"), i)))
+    every = F.concat(F.when(F.col("_kind").isNotNull(), here).otherwise(nothing), of_object, of_array)
+    opened = told.select(key, F.inline(every))
+    return opened.where(F.col("difference").isNotNull() | ~_same("e", "a")).select(key, *FOUND, "e", "a")
+
+
+def variant_diff(pairs: DataFrame, key: str, expected: str, actual: str) -> DataFrame:
+    """``result_diff`` of the nodes of two JSON texts per row, with ``steps``, as ``flatten_variant`` tells them.
+
+    Both texts are opened together, level by level; what is the same below a pair of nodes is left there and then,
+    so that the work is that of the differing parts and no node is shuffled. A null text has no nodes.
+    """
+    text = F.lit(None).cast("string")
+    differ = ~F.col(expected).eqNullSafe(F.col(actual))
+    steps = F.array().cast("array<struct<index:int,member:string>>")
+    rows = pairs.where(differ).select(
+        key, F.lit("$").alias("path"), steps.alias("steps"), *[text.alias(c) for c in FOUND[2:]],
+        F.parse_json(expected).alias("e"), F.parse_json(actual).alias("a"),
+    )
+    out = None
+    while True:
+        for _ in range(LEVELS_PER_PASS):
+            rows = _compared(rows, key)
+        written = materialize(rows, "differences")
+        done = written.where(F.col("difference").isNotNull()).drop("e", "a")
+        out = done if out is None else out.unionByName(done)
+        rows = written.where(F.col("difference").isNull())
+        if rows.isEmpty():
+            return out
+
+
 def first_difference(differences: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The difference that comes first in document order, one row per ``keys``; no row where none is."""
     rest = [c for c in differences.columns if c not in keys]

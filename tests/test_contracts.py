@@ -226,6 +226,25 @@ def test_variants_flatten_as_json_does(spark):
     assert audit.flatten_variant(df.limit(0), "id", "doc").count() == 0
 
 
+def test_pairs_of_variants_differ_as_their_nodes_do(spark):
+    """Opened together and pruned, or flattened in full and joined: the same rows."""
+    deep = lambda v: '{"d":' * 20 + v + "}" * 20
+    pairs = [
+        (deep("1"), deep("2")), (deep("1"), deep("1.0")), ("[1.0,1e3]", "[1,1e3]"), ("[1,1.0]", "[1.0,1]"), ('["x",1.0]', '["x",1]'), ('{"x":[1.50,-0.0]}', '{"x":[1.5,0.0]}'),
+        ('{"a":null,"b":1}', '{"b":1}'), ('{"a":null}', '{"a":"null"}'), ('{"a":[1,[2,{}]]}', '{"a":{"0":1}}'), ("[[1,2],3]", "[[1]]"),
+        ('{"a.b":1,"a":{"b":2}}', '{"a.b":2,"a":{"b":2,"c":[]}}'), ("7", '"7"'), ("null", "[]"), (None, '{"a":[true]}'), ("[false]", None), (None, None),
+        ("[12345678901234567890]", "[12345678901234567891]"), ('{"DECIMAL":[1]}', '{"DECIMAL":[2]}'), ('{"same":[1,{"x":"y"}],"z":0}', '{"z":0, "same":[1,{"x":"y"}]}'),
+    ]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id int, e string, a string")
+    columns = ["id", *audit.FOUND]
+    flat = [audit.flatten_variant(df, "id", c) for c in ("e", "a")]
+    want = sorted(map(str, audit.result_diff(*flat, ["id", "path"]).select(*columns).collect()))
+    found = audit.variant_diff(df, "id", "e", "a")
+    assert sorted(map(str, found.select(*columns).collect())) == want and len(want) > 30
+    assert audit.variant_diff(df.limit(0), "id", "e", "a").count() == 0
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_variants_stay_in_the_jvm(spark):
     df = spark.createDataFrame([("k", '{"a":[1]}')], "id string, doc string")
     flat = audit.flatten_variant(df, "id", "doc")
