@@ -1,8 +1,9 @@
 """Pairs of texts whose sets of 5-word shingles agree to at least 0.8, and their components.
 
-Texts with equal sets are one row from then on. Candidates share one of 24 bands of six MinHash values
-each: a pair at exactly 0.8 shares one with probability 0.999, closer pairs almost surely. Every
-candidate is then verified on its shingles, so a link is never an estimate.
+Texts with equal sets are one row from then on. SimHash (``simhash.py``: fingerprints within 3 bits, found by
+Hamming balls in two tables) names the first candidates. What 3 bits leave shares one of 24 bands of six
+MinHash values each: a pair at exactly 0.8 shares one with probability 0.999, closer pairs almost surely. Every
+candidate is then verified on its shingles, so a link is never an estimate; pairs that SimHash joined are not made again.
 
 Pairs of a band's bucket are made at once only in small buckets. In a larger one all members are first
 compared with one of them, then with 4, 16 and so on chosen by a hash, until the bucket is one component
@@ -18,13 +19,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from driftline.llm import simhash
 from driftline.llm.components import connected_components
 from driftline.session import materialize
 
@@ -40,6 +43,9 @@ PAIRED = 8
 BROADCAST_ROWS = 500_000
 #: Shingles hashed by all MinHash functions at once.
 HASHED = 1 << 12
+#: Rows of texts that a Python worker holds at once, and texts whose shingles it keeps.
+BATCH_ROWS, KEPT = 256, 64
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _drawn = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
 _FACTORS, _SHIFTS = _drawn[0] * np.uint64(2) + np.uint64(1), _drawn[1]
@@ -71,11 +77,27 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return UNDER * common >= OVER * (len(a) + len(b) - common)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts go to Python in small batches; a default batch of long ones would fill a worker."""
+    before = spark.conf.get(BATCH_KEY)
+    spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_KEY, before)
+
+
 def _sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
-        found = [shingles(t) for t in texts]
-        ids = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], dtype=np.uint64).view(np.int64)
-        yield pd.DataFrame({"sid": ids, "size": [len(h) for h in found], "bands": [bands(h) for h in found]})
+        rows = []
+        for t in texts:
+            found = shingles(t)
+            rows.append((xxhash.xxh64_intdigest(found.tobytes(), SEED), len(found), simhash.fingerprint(t), bands(found)))
+        out = pd.DataFrame(rows, columns=["sid", "size", "fp", "bands"])
+        for c in ("sid", "fp"):
+            out[c] = np.array([r[0 if c == "sid" else 2] for r in rows], dtype=np.uint64).view(np.int64)
+        yield out
 
 
 def _similar(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -83,6 +105,8 @@ def _similar(left: pd.Series, right: pd.Series) -> pd.Series:
 
     def of(text: str | None) -> np.ndarray:
         if text not in known:
+            if len(known) >= KEPT:
+                del known[next(iter(known))]
             known[text] = shingles(text)
         return known[text]
 
@@ -127,18 +151,33 @@ def _unsettled(members: DataFrame) -> DataFrame:
     return materialize(members.join(_exchanged(spread.select("bucket"), "bucket"), "bucket", "left_semi"), "near-members")
 
 
-def near_links(sets: DataFrame, texts_of, paired: int = PAIRED) -> DataFrame | None:
+def _alike(prints: DataFrame) -> DataFrame:
+    """Candidates (a, b) by SimHash among the sets of ``prints`` (sid, fp): every set with one of its fingerprint,
+    and one set each of any two fingerprints that a link of their Hamming balls joins."""
+    sets = materialize(prints.select("sid", "fp").distinct(), "near-fps")
+    firsts = materialize(sets.groupBy("fp").agg(F.min("sid").alias("first")), "near-firsts")
+    equal = sets.join(_exchanged(firsts, "fp"), "fp").select(F.col("first").alias("a"), F.col("sid").alias("b"))
+    left, right = (firsts.select(F.col("fp").alias(f"_{x}"), F.col("first").alias(x)) for x in "ab")
+    links = materialize(simhash.near_links(firsts.select("fp")).toDF("_a", "_b"), "near-balls")
+    both = _exchanged(_exchanged(links, "_a"), "_b").join(left, "_a").join(right, "_b").select("a", "b")
+    pairs = equal.union(both).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return materialize(pairs.distinct(), "near-alike")
+
+
+def near_links(sets: DataFrame, texts_of, alike: DataFrame, paired: int = PAIRED) -> DataFrame | None:
     """Links (a, b) among the sets (sid, size, bands), enough to have all components; None without any
-    candidate. ``texts_of`` gives (sid, text) for a table of sids."""
+    candidate. ``texts_of`` gives (sid, text) for a table of sids; the pairs ``alike`` are verified first."""
     cells = sets.select("sid", "size", F.explode("bands").alias("bucket"))
     shared = cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(cells.join(_exchanged(shared, "bucket"), "bucket"), "near-members")
-    if members.isEmpty():
+    wanted = members.select("sid").union(alike.select("a")).union(alike.select("b")).distinct()
+    if members.isEmpty() and alike.isEmpty():
         return None
-    texts = materialize(texts_of(members.select("sid").distinct()), "near-texts")
+    texts = materialize(texts_of(wanted), "near-texts")
+    links = _verified(alike, texts)
     place = F.shiftrightunsigned(F.xxhash64("sid"), 24).cast("double") / float(1 << 40)
-    small = _with_roots(members.where(F.col("n") <= paired), None)
-    links = _verified(_pairs(small, small, ordered=True), texts)
+    small = materialize(_with_roots(members.where(F.col("n") <= paired), links), "near-members")
+    links = links.unionByName(_verified(_pairs(small, small, ordered=True), texts))
     large = members.where(F.col("n") > paired).withColumn("place", place)
     most = large.agg(F.max("n")).first()[0] or 0
     hubs, last = 0, 0
@@ -165,8 +204,13 @@ def near_links(sets: DataFrame, texts_of, paired: int = PAIRED) -> DataFrame | N
 def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, _key, sid, size, bands), one per row of ``docs``, and the component ``root`` of every set
     (sid, least, root). ``_key`` is a hash of id and text."""
+    with _small_batches(docs.sparkSession):
+        return _rooted_in_batches(docs)
+
+
+def _rooted_in_batches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = F.xxhash64("doc_id", "text")
-    sketch = F.pandas_udf(_sketch, "sid long, size long, bands array<long>")
+    sketch = F.pandas_udf(_sketch, "sid long, size long, fp long, bands array<long>")
     prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("_key"), sketch("text").alias("_s"))
     prints = materialize(prints.select("doc_id", "_key", "_s.*"), "near-prints")
     found = prints.groupBy("sid").agg(
@@ -181,7 +225,7 @@ def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
         return docs.select(key.alias("_key"), "text").join(wanted, "_key").select("sid", "text").dropDuplicates(["sid"])
 
-    links = near_links(sets, texts_of)
+    links = near_links(sets, texts_of, _alike(prints))
     return prints, materialize(_with_roots(found.select("sid", "least"), links), "near-rooted")
 
 

@@ -85,3 +85,28 @@ def test_ids_that_repeat_or_miss(spark):
     got = sorted((r.doc_id or 0, (r.text or "").lower()) for r in out.collect())
     assert got == sorted([(1, a), (1, b), (0, c), (0, "")])
     assert near_copies.keep_one_each(docs.limit(0)).count() == 0
+
+
+def test_simhash_names_the_first_candidates(spark, monkeypatch):
+    """The stage takes its fingerprints and balls from simhash.py; texts that only their repeated lines make alike stay."""
+    rng, calls = random.Random(5), []
+    real = simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda df, *a: calls.append(df.count()) or real(df, *a))
+    words = rng.choices(WORDS, k=600)
+    apart = lambda a, b: (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count()
+    text = " ".join(words)
+    copies = (" ".join([*words[:at], "new", *words[at + 1:]]) for at in range(600))
+    copy = next(c for c in copies if 0 < apart(text, c) <= simhash.RADIUS)
+    line = rng.choices(WORDS, k=7) * 400
+    full = [" ".join([*line, *rng.choices(WORDS, k=8)]) for _ in range(2)]
+    assert apart(*full) <= simhash.RADIUS
+    out = near_copies.keep_one_each(frame(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate([text, copy, *full])]))
+    assert {r.doc_id for r in out.collect()} == {0, 2, 3} and calls == [len({simhash.fingerprint(t) for t in [text, copy, *full]})]
+
+
+def test_batches_of_texts_are_small_and_the_setting_returns(spark, monkeypatch):
+    seen, before = [], spark.conf.get(near_copies.BATCH_KEY)
+    real = near_copies._rooted_in_batches
+    monkeypatch.setattr(near_copies, "_rooted_in_batches", lambda d: seen.append(spark.conf.get(near_copies.BATCH_KEY)) or real(d))
+    near_copies.keep_one_each(frame(spark, [(1, "a b c", "en", "s", 5)])).collect()
+    assert seen == [str(near_copies.BATCH_ROWS)] and spark.conf.get(near_copies.BATCH_KEY) == before
