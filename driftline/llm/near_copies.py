@@ -123,7 +123,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("sid").alias("a"), F.col("text").alias("_a"))
     right = texts.select(F.col("sid").alias("b"), F.col("text").alias("_b"))
     both = _exchanged(pairs, "a").join(left, "a").join(right, "b")
-    return materialize(both.where(F.pandas_udf(_similar, "boolean")("_a", "_b")).select("a", "b"), "near-links")
+    with _small_batches(pairs.sparkSession):
+        return materialize(both.where(F.pandas_udf(_similar, "boolean")("_a", "_b")).select("a", "b"), "near-links")
 
 
 def _pairs(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
@@ -204,15 +205,11 @@ def near_links(sets: DataFrame, texts_of, alike: DataFrame, paired: int = PAIRED
 def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, _key, sid, size, bands), one per row of ``docs``, and the component ``root`` of every set
     (sid, least, root). ``_key`` is a hash of id and text."""
-    with _small_batches(docs.sparkSession):
-        return _rooted_in_batches(docs)
-
-
-def _rooted_in_batches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = F.xxhash64("doc_id", "text")
     sketch = F.pandas_udf(_sketch, "sid long, size long, fp long, bands array<long>")
     prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("_key"), sketch("text").alias("_s"))
-    prints = materialize(prints.select("doc_id", "_key", "_s.*"), "near-prints")
+    with _small_batches(docs.sparkSession):
+        prints = materialize(prints.select("doc_id", "_key", "_s.*"), "near-prints")
     found = prints.groupBy("sid").agg(
         F.min("doc_id").alias("least"), F.min("_key").alias("_key"), F.first("size").alias("size")
     )

@@ -105,8 +105,11 @@ def test_simhash_names_the_first_candidates(spark, monkeypatch):
 
 
 def test_batches_of_texts_are_small_and_the_setting_returns(spark, monkeypatch):
-    seen, before = [], spark.conf.get(near_copies.BATCH_KEY)
-    real = near_copies._rooted_in_batches
-    monkeypatch.setattr(near_copies, "_rooted_in_batches", lambda d: seen.append(spark.conf.get(near_copies.BATCH_KEY)) or real(d))
-    near_copies.keep_one_each(frame(spark, [(1, "a b c", "en", "s", 5)])).collect()
-    assert seen == [str(near_copies.BATCH_ROWS)] and spark.conf.get(near_copies.BATCH_KEY) == before
+    """Tables with texts only; the cells of fingerprints keep the batches they had."""
+    seen, before = {}, spark.conf.get(near_copies.BATCH_KEY)
+    real = near_copies.materialize
+    monkeypatch.setattr(near_copies, "materialize", lambda df, n: seen.update({n: spark.conf.get(near_copies.BATCH_KEY)}) or real(df, n))
+    texts = ["a b c d e f", "a b c d e f a b c d e f"]
+    near_copies.keep_one_each(frame(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)])).collect()
+    assert seen["near-prints"] == str(near_copies.BATCH_ROWS) and seen["near-balls"] == before
+    assert spark.conf.get(near_copies.BATCH_KEY) == before
