@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from driftline.functions.scalar import hash32
 from driftline.operators.ordered import Split, checkpointed, running_sum
-from driftline.operators.ranking import ALL_FAMILIES, PRIMARY_METRICS, metric_columns
+from driftline.operators.ranking import ALL_FAMILIES, PRIMARY_METRICS, counts_of, metric_columns
 
 DRAW_BLOCK = 4096
 #: Standard deviations of a binomial count that are tabulated on either side of its mean.
@@ -162,8 +162,8 @@ def replicate_metrics(
     """
     cells = checkpointed(
         scored.groupBy("score", "run_id", "family").agg(
-            F.sum((F.col("y") == 1).cast("bigint")).alias("pos"),
-            F.sum((F.col("y") == 0).cast("bigint")).alias("neg"),
+            F.sum((F.col("y") == 1).cast("bigint") * counts_of(scored)).alias("pos"),
+            F.sum((F.col("y") == 0).cast("bigint") * counts_of(scored)).alias("neg"),
         )
     )
     multiplicity = checkpointed(resample_multiplicity(cells, replicates, seed))

@@ -371,9 +371,17 @@ def split_contract(
 
 
 def metric_preconditions(scored: DataFrame, keys: Sequence[str], families: Sequence[str]) -> DataFrame:
-    """What must hold before metrics mean anything: classes, strata, masks and finite scores."""
-    y, fam, score = F.col("y"), F.col("family"), F.col("score")
-    finite = score.isNotNull() & ~F.isnan(score) & (F.abs(score) < F.lit(float("inf")))
+    """What must hold before metrics mean anything: classes, strata, masks and finite scores.
+
+    ``scored`` has events, or cells of them with ``n_rows`` and ``n_bad``, as :func:`thresholds.seed_counts` makes.
+    """
+    y, fam = F.col("y"), F.col("family")
+    if "n_bad" in scored.columns:
+        bad, n_rows = F.sum("n_bad"), F.sum("n_rows")
+    else:
+        score = F.col("score")
+        finite = score.isNotNull() & ~F.isnan(score) & (F.abs(score) < F.lit(float("inf")))
+        bad, n_rows = F.count(F.when(~finite, 1)), F.count(F.lit(1))
     masks = {
         "normal_negatives": (fam == "normal") & (y == 0),
         "fault_negatives": (fam == "fault") & (y == 0),
@@ -382,7 +390,7 @@ def metric_preconditions(scored: DataFrame, keys: Sequence[str], families: Seque
     }
     # Counting cells first keeps the distinct counts below off the raw rows.
     cells = scored.groupBy(*keys, "family", "run_id", "y").agg(
-        F.count(F.when(~finite, 1)).alias("bad"), F.count(F.lit(1)).alias("n_rows")
+        bad.alias("bad"), n_rows.alias("n_rows")
     )
     row = cells.groupBy(*keys).agg(
         F.count_distinct("y").alias("classes"),

@@ -4,6 +4,8 @@ Scored events are first counted per distinct score and family (map-side combined
 never moves as rows). One prefix sum over the distinct scores then gives, for each pair of
 families, twice the number of correctly ordered (positive, negative) pairs with ties as one half.
 All four metrics are ratios of those integers, so they do not depend on row order.
+
+Scored events may come counted: a row with ``n_rows`` stands for that many equal ones.
 """
 
 from __future__ import annotations
@@ -27,11 +29,21 @@ PRIMARY_METRICS = (
 COUNT = "decimal(18,0)"
 
 
+def counts_of(scored: DataFrame) -> Column:
+    """Events that a row stands for: ``n_rows`` of a counted table, else one."""
+    return F.col("n_rows") if "n_rows" in scored.columns else F.lit(1).cast("bigint")
+
+
+def counted_scores(scored: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of equal ``columns`` as one row with ``n_rows``."""
+    return scored.groupBy(*columns).agg(F.sum(counts_of(scored)).alias("n_rows"))
+
+
 def auc(
     scored: DataFrame, keys: Sequence[str], weight: str | None = None, split: Split = Split()
 ) -> DataFrame:
     """Area under the ROC curve of ``score`` for ``y`` per key; null unless both classes occur."""
-    w = F.col(weight).cast("double") if weight else F.lit(1).cast("bigint")
+    w = F.col(weight).cast("double") if weight else counts_of(scored)
     zero = F.lit(0.0) if weight else F.lit(0).cast("bigint")
     counts = scored.groupBy(*keys, "score").agg(
         F.sum(F.when(F.col("y") == 1, w).otherwise(zero)).alias("pos"),
@@ -57,11 +69,11 @@ def concordance(
     split: Split = Split(),
 ) -> DataFrame:
     """One row per key: ``pos_<f>``, ``neg_<f>`` and ``twice_<f>_<g>`` for every family pair."""
-    y, family = F.col("y"), F.col("family")
+    y, family, n = F.col("y"), F.col("family"), counts_of(scored)
     aggs = []
     for f in families:
-        aggs.append(F.sum(((family == f) & (y == 1)).cast("bigint")).alias(f"pos_{f}"))
-        aggs.append(F.sum(((family == f) & (y == 0)).cast("bigint")).alias(f"neg_{f}"))
+        aggs.append(F.sum(((family == f) & (y == 1)).cast("bigint") * n).alias(f"pos_{f}"))
+        aggs.append(F.sum(((family == f) & (y == 0)).cast("bigint") * n).alias(f"neg_{f}"))
     counts = scored.groupBy(*keys, "score").agg(*aggs)
     negatives = [f"neg_{f}" for f in families]
     ranked = running_sum(checkpointed(counts), list(keys), "score", negatives, split=split)
