@@ -138,14 +138,18 @@ def _pairs(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
     return materialize(both.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct(), "near-pairs")
 
 
-def _with_roots(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
+def _with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
         return members.withColumn("root", F.col("sid"))
-    roots = connected_components(links)
     joined = members.join(roots, members["sid"] == roots["node"], "left")
     return joined.withColumn("root", F.coalesce("root", "sid")).drop("node")
 
 
+def _stars(roots: DataFrame) -> DataFrame:
+    """One link per node to its root: the same components in fewer links, which need no further round."""
+    return roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+
+
 def _unsettled(members: DataFrame) -> DataFrame:
     """Members of buckets with several components."""
     spread = members.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi")
@@ -177,13 +181,16 @@ def near_links(sets: DataFrame, texts_of, alike: DataFrame, paired: int = PAIRED
     texts = materialize(texts_of(wanted), "near-texts")
     links = _verified(alike, texts)
     place = F.shiftrightunsigned(F.xxhash64("sid"), 24).cast("double") / float(1 << 40)
-    small = materialize(_with_roots(members.where(F.col("n") <= paired), links), "near-members")
-    links = links.unionByName(_verified(_pairs(small, small, ordered=True), texts))
+    roots = connected_components(links)
+    small = materialize(_with_roots(members.where(F.col("n") <= paired), roots), "near-members")
+    links = _stars(roots).unionByName(_verified(_pairs(small, small, ordered=True), texts))
     large = members.where(F.col("n") > paired).withColumn("place", place)
     most = large.agg(F.max("n")).first()[0] or 0
     hubs, last = 0, 0
     while last < most:
-        large = _unsettled(_with_roots(large.drop("root"), links))
+        roots = connected_components(links)
+        links = _stars(roots)
+        large = _unsettled(_with_roots(large.drop("root"), roots))
         if large.isEmpty():
             break
         if not hubs:
@@ -223,7 +230,8 @@ def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return docs.select(key.alias("_key"), "text").join(wanted, "_key").select("sid", "text").dropDuplicates(["sid"])
 
     links = near_links(sets, texts_of, _alike(prints))
-    return prints, materialize(_with_roots(found.select("sid", "least"), links), "near-rooted")
+    roots = None if links is None else connected_components(links)
+    return prints, materialize(_with_roots(found.select("sid", "least"), roots), "near-rooted")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
