@@ -1,4 +1,4 @@
-"""Scorers: a seeded forest from ``pyspark.ml``, any other estimator, and a deterministic rule.
+"""Scorers: a seeded forest, any estimator of ``pyspark.ml``, and a deterministic rule.
 
 A scorer is ``scorer(train, schema, seed) -> apply``, and ``apply(table, name)`` adds the score
 column ``name`` to a feature table. Because applying a model is a narrow projection, the models of
@@ -11,13 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.catalog import FeatureSchema
+from driftline.operators import forest
 
 Apply = Callable[[DataFrame, str], DataFrame]
 Scorer = Callable[[DataFrame, FeatureSchema, int], Apply]
@@ -67,14 +67,14 @@ def estimator_scorer(make: Callable[[int], Estimator]) -> Scorer:
 
 
 def forest_scorer(trees: int = 200, max_depth: int = 15) -> Scorer:
-    """Random forest per seed. Depth is bounded: each level is a pass over the training data."""
+    """Random forest per seed. Depth is bounded: each level is a pass over the counted training rows."""
 
-    def make(seed: int) -> RandomForestClassifier:
-        return RandomForestClassifier(
-            labelCol="y", numTrees=trees, maxDepth=max_depth, seed=seed, featureSubsetStrategy="sqrt"
-        )
+    def fit(train: DataFrame, schema: FeatureSchema, seed: int) -> Apply:
+        cells = forest.Cells.count(train, schema)
+        grown = forest.grow(cells, seed, trees, max_depth)
+        return lambda table, name: forest.score(cells.encoding, {name: grown}, table)
 
-    return estimator_scorer(make)
+    return fit
 
 
 def rule_scorer() -> Scorer:
